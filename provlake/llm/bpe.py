@@ -19,7 +19,7 @@ PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?[^\w{_SPACE}_]+(?:_+[^\w{
 _OUTSIDE = re.compile("[^\x00-ɏ‐-‧]")
 _CACHE: dict[tuple[str, bool], "Pieces"] = {}
 #: Distinct pieces kept by a worker beside the proven whole tokens; beyond it the memory starts anew.
-KEPT = 600_000
+KEPT = 900_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,6 +47,19 @@ class Pieces:
     def _value(self, ids: list[int]):
         return np.array(ids, "<u4").tobytes() if self.as_bytes else len(ids)
 
+    def _values(self, pieces: list[str]) -> list:
+        """Many pieces in one call: the special string stands between them, which the library always cuts at."""
+        if not self.special:
+            return list(map(self._value, self._ids(pieces)))
+        mark = self.tokenizer.token_to_id(self.special[0])
+        ids = np.array(self._ids([self.special[0].join(pieces)])[0], "<u4")
+        ends = np.append(np.flatnonzero(ids == mark), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        if not self.as_bytes:
+            return (ends - starts).tolist()
+        held = ids.tobytes()
+        return [held[x:y] for x, y in zip((starts * 4).tolist(), (ends * 4).tolist())]
+
     def _prove(self) -> dict:
         """Vocabulary strings that are one piece and that the library encodes alone as exactly their one token."""
         letters, strings = _byte_letters(), []
@@ -70,9 +83,9 @@ class Pieces:
             self.known = dict(self.proven)
         known = self.known
         fresh = [p for p in set().union(*filter(None, cut)) if p not in known]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            known.update(zip(part, map(self._value, self._ids(part))))
+        for k in range(0, len(fresh), 5_000):
+            part = fresh[k : k + 5_000]
+            known.update(zip(part, self._values(part)))
         out = []
         for text, pieces in zip(texts, cut):
             if pieces is None:
