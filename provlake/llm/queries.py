@@ -23,7 +23,7 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.findings(docs, secrets.scan(docs))
+    found = secrets.findings(docs, secrets.scan(docs), keep=["doc_id"])
     base = [r.kind for r in secrets.RULES if r.base]
 
     def count(kind: str):

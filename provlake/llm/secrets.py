@@ -14,28 +14,34 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.runtime import written
+
 
 @dataclass(frozen=True)
 class Rule:
     kind: str
     pattern: str  # group 1: the whole match; group 2: the part that must be long enough
     least: int
+    needles: tuple[str, ...]  # one of them is in every match, whatever the case of its letters; none: see HEX_RUN
     base: bool = False
 
 
 RULES = (
-    Rule("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 12, True),
-    Rule("access", r"((AKIA[A-Z0-9]+))", 18, True),
-    Rule("hex", r"(([0-9a-f]+))", 16, True),
-    Rule("github", r"((gh[pousr]_[A-Za-z0-9]+))", 40),
-    Rule("slack", r"((xox[abprs]-[A-Za-z0-9-]+))", 20),
-    Rule("jwt", r"((eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))", 30),
-    Rule("private_key", r"((-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----))", 1),
+    Rule("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 12, ("passw", "secret", "token", "apikey", "api_key"), True),
+    Rule("access", r"((AKIA[A-Z0-9]+))", 18, ("akia",), True),
+    Rule("hex", r"(([0-9a-f]+))", 16, (), True),
+    Rule("github", r"((gh[pousr]_[A-Za-z0-9]+))", 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack", r"((xox[abprs]-[A-Za-z0-9-]+))", 20, ("xox",)),
+    Rule("jwt", r"((eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))", 30, ("eyj",)),
+    Rule("private_key", r"((-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----))", 1, ("private key-----",)),
 )
+HEX_RUN = "[0-9a-f]{16}"
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
@@ -43,10 +49,10 @@ def version(rules: tuple[Rule, ...] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()
 
 
-def _spans(text: Column, rule: Rule, no: int) -> Column:
+def _spans(text: Column, lower: Column, rule: Rule, no: int) -> Column:
     every = r"\G(?s:.*?)" + rule.pattern
-    # A hex run of any length is common: a text without one long enough is not searched further.
-    short = rule.pattern[:-3] + "{%d,}))" % rule.least if rule.kind == "hex" else rule.pattern
+    # Only a text that can hold a match is searched: plain substring tests are far cheaper than the patterns.
+    possible = reduce(or_, [lower.contains(x) for x in rule.needles]) if rule.needles else text.rlike(HEX_RUN)
     with_gap, whole, part = (F.regexp_extract_all(text, F.lit(every), F.lit(g)) for g in (0, 1, 2))
     empty = F.array().cast("array<struct<start:int,end:int,size:int>>")
     rows = F.arrays_zip(with_gap.alias("g"), whole.alias("w"), part.alias("p"))
@@ -59,7 +65,7 @@ def _spans(text: Column, rule: Rule, no: int) -> Column:
 
     found = F.filter(F.aggregate(rows, acc, step, lambda a: a["all"]), lambda s: s["size"] >= rule.least)
     spans = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
-    return F.when(text.rlike(short), spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    return F.when(possible, spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def blobs(df: DataFrame, text_col: str = "text") -> Column:
@@ -73,13 +79,15 @@ def scan(df: DataFrame, text_col: str = "text", ledger: DataFrame | None = None,
         seen = ledger.where(F.col("rules") == version(rules)).select("blob")
         texts = texts.join(seen, "blob", "left_anti")
     once = texts.groupBy("blob").agg(F.first("__text").alias("__text"))
-    spans = F.array_sort(F.concat(*[_spans(F.col("__text"), r, k) for k, r in enumerate(rules)]))
-    return once.select("blob", F.lit(version(rules)).alias("rules"), spans.alias("spans"))
+    once = once.withColumn("__lower", F.lower("__text"))
+    spans = F.array_sort(F.concat(*[_spans(F.col("__text"), F.col("__lower"), r, k) for k, r in enumerate(rules)]))
+    # Written: the ledger outlasts the run, and its readers do not scan again.
+    return written(once.select("blob", F.lit(version(rules)).alias("rules"), spans.alias("spans")), "ledger")
 
 
-def findings(df: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of df, as (row STRUCT<all columns>, spans), with what the ledger holds for its blob."""
-    paths = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), blobs(df, text_col).alias("__blob"))
+def findings(df: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
+    """Every row of df, as (row STRUCT<the columns kept, all by default>, spans), with what the ledger holds for its blob."""
+    paths = df.select(F.struct(*[df[c] for c in keep or df.columns]).alias("row"), blobs(df, text_col).alias("__blob"))
     known = ledger.where((F.col("rules") == version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
     return paths.join(known, paths["__blob"] == known["blob"], "left").select("row", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
