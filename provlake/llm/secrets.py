@@ -35,7 +35,8 @@ class Rule:
 RULES = (
     Rule("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 12, ("passw", "secret", "token", "apikey", "api_key"), True),
     Rule("access", r"((AKIA[A-Z0-9]+))", 18, ("akia",), True),
-    Rule("hex", r"(([0-9a-f]+))", 16, (), True),
+    # Runs are maximal, so the long ones are what {16,} finds from the left; short runs are too many to list.
+    Rule("hex", r"(([0-9a-f]{16,}))", 16, (), True),
     Rule("github", r"((gh[pousr]_[A-Za-z0-9]+))", 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", r"((xox[abprs]-[A-Za-z0-9-]+))", 20, ("xox",)),
     Rule("jwt", r"((eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))", 30, ("eyj",)),
