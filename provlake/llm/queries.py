@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm import mixture, packing, secrets, tokens
+from provlake.llm import minhash, mixture, packing, secrets, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "row.text", "copy", "n_copies", "shuffle_key")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.findings(docs, secrets.scan(docs), keep=["doc_id"])
@@ -38,7 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op8_secrets, op9_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op7_minhash, op8_secrets, op9_packing)}
 
 
 MIXTURE_SQL = """
@@ -67,9 +71,10 @@ def _secrets_sql() -> str:
     """The same definition over RE2: each match with the text before it, and running sums of their lengths."""
     parts = []
     for no, r in enumerate(secrets.RULES):
+        pattern = "(([0-9a-f]+))" if r.kind == "hex" else r.pattern  # as the definition has it
         parts.append(f"""SELECT doc_id, text, {no} AS kind_no, '{r.kind}' AS kind, {r.least} AS least,
-  regexp_extract_all(coalesce(text, ''), $re$(?s).*?(?-s){r.pattern}$re$, 0) AS g, regexp_extract_all(coalesce(text, ''), $re$(?s).*?(?-s){r.pattern}$re$, 1) AS w,
-  regexp_extract_all(coalesce(text, ''), $re$(?s).*?(?-s){r.pattern}$re$, 2) AS p FROM documents""")
+  regexp_extract_all(coalesce(text, ''), $re$(?s).*?(?-s){pattern}$re$, 0) AS g, regexp_extract_all(coalesce(text, ''), $re$(?s).*?(?-s){pattern}$re$, 1) AS w,
+  regexp_extract_all(coalesce(text, ''), $re$(?s).*?(?-s){pattern}$re$, 2) AS p FROM documents""")
     base = ", ".join(f"'{r.kind}'" for r in secrets.RULES if r.base)
     return f"""
 WITH every AS ({' UNION ALL '.join(parts)}),
