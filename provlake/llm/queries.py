@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm import minhash, mixture, packing, secrets, tokens
+from provlake.llm import html_text, licenses, minhash, mixture, neighbours, packing, secrets, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,22 @@ def op2_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "row.text", "copy", "n_copies", "shuffle_key")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,8 +57,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op7_minhash, op8_secrets, op9_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_toxicity, op4_neighbours, op5_html_text, op6_licenses, op7_minhash, op8_secrets, op9_packing, op10_topk)}
 
 
 MIXTURE_SQL = """
@@ -93,5 +113,17 @@ FROM documents d LEFT JOIN agg USING (doc_id)
 """
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixture": MIXTURE_SQL, "op8_secrets": _secrets_sql()}
+    return {"op10_topk": TOPK_SQL, "op2_mixture": MIXTURE_SQL, "op8_secrets": _secrets_sql()}
