@@ -263,7 +263,7 @@ class Compiler:
         if len(node.args) not in wanted:
             raise CelError(f"{node.name} takes {wanted[0]} arguments")
         if node.name == "reduce":
-            total = bare(node.args[1]).name
+            total, var = var, bare(node.args[1]).name
             start = self.visit(node.args[2], names)
             step = lambda acc, x: self.visit(node.args[3], names | {total: start.at(acc), var: owner.item.at(x)}).col
             return start.at(F.aggregate(owner.col, start.col, step))
