@@ -5,8 +5,6 @@ Ids are hashes of what makes the label, so that a retried task gives the same id
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,8 +100,6 @@ def collect_all(labels: Column) -> Column:
     def step(acc: Column, x: Column) -> Column:
         return F.when(x.isNull() | F.exists(acc, lambda y: y["value_id"] == x["value_id"]), acc).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(labels, start, step)
-
+    several = F.aggregate(labels, start, step)
+    return F.when(F.size(labels) <= 1, F.filter(labels, lambda x: x.isNotNull())).otherwise(several)
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))

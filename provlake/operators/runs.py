@@ -39,7 +39,7 @@ def entries(policy: Policy, seen: Column, seq: Column) -> Column:
         agents = F.transform(F.filter(before, lambda e: e["source"].eqNullSafe(s)), lambda e: e["agent_id"])
         return F.struct(s.alias("source"), trust.source_trust(policy, s).alias("trust"), agents.alias("ingested_by"))
 
-    return F.coalesce(F.transform(sources, one), trust.no_entries())
+    return F.when(F.get(seen, F.lit(0))["at"] < seq, F.transform(sources, one)).otherwise(trust.no_entries())
 
 
 def with_run_state(calls: DataFrame, ingress: DataFrame | None, policy: Policy) -> DataFrame:

@@ -67,3 +67,10 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan dealt to all cores where its files split into fewer parts than there are cores: only a small input, or
+    one of a few unsplittable files, is moved. Not for a plan with joins or aggregates, which this would run."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions import labels
 from provlake.operators.trust import no_labels
+from provlake.runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,7 @@ def line_ingress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem")
+    t = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus"))
     args = F.to_json(F.struct(F.col("l_quantity").alias("quantity"), F.col("l_linestatus").alias("status"), F.col("l_partkey").alias("part")))
     made = labels.fresh(_name("supplier_", "l_suppkey", 5), F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), _name("agent-", "l_orderkey", 3))
     return t.select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").cast("long").alias("seq"), _name("agent-", "l_orderkey", 3).alias("agent_id"), _name("default.step_", "l_partkey", 4).alias("tool"), args.alias("args"), F.array(made).alias("labels"))
