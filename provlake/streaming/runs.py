@@ -69,7 +69,7 @@ def run_state(log: DataFrame, policy: Policy, ttl_ms: int = 24 * 3600 * 1000) ->
     ship(log.sparkSession)
     can = {k: list(s.capabilities) for k, s in policy.sinks.items() if s.capabilities}
     keyed = log.where("run_id IS NOT NULL").groupBy("run_id")
-    return keyed.transformWithStateInPandas(RunState(dict(policy.sources), can, ttl_ms), OUTPUT, "Append", "None")
+    return keyed.transformWithStateInPandas(RunState(dict(policy.sources), can, ttl_ms), OUTPUT, "Append", "ProcessingTime")
 
 
 def decide_stream(log: DataFrame, policy: Policy, mode: str = "enforce", ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
