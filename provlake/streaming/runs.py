@@ -27,7 +27,7 @@ OUTPUT = "run_id string, seq long, agent_id string, session_id string, tool stri
 class RunState(StatefulProcessor):
     """Ingress sources with their agents, capabilities and the last seq of one run."""
 
-    def __init__(self, trusts: dict[str, str], can: dict[str, list[str]], ttl_ms: int):
+    def __init__(self, trusts: dict[str, str], can: dict[str, list[str]], ttl_ms: int | None):
         self.trusts, self.can, self.ttl_ms = trusts, can, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -63,16 +63,19 @@ class RunState(StatefulProcessor):
         pass
 
 
-def run_state(log: DataFrame, policy: Policy, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def run_state(log: DataFrame, policy: Policy, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Calls of a streaming log (run_id, seq, kind, agent_id, session_id, source, tool, args_json, labels_json) with their
-    run state. kind: ingress, call or run_end. Rows without a run are left to the caller: they have no state."""
+    run state. kind: ingress, call or run_end. Rows without a run are left to the caller: they have no state.
+
+    ttl_ms: how long an abandoned run is kept. None keeps it until its run_end; a stream that is to stop by itself when
+    its input is used up needs that, since expiry by the clock has no last batch."""
     ship(log.sparkSession)
     can = {k: list(s.capabilities) for k, s in policy.sinks.items() if s.capabilities}
     keyed = log.where("run_id IS NOT NULL").groupBy("run_id")
-    return keyed.transformWithStateInPandas(RunState(dict(policy.sources), can, ttl_ms), OUTPUT, "Append", "ProcessingTime")
+    return keyed.transformWithStateInPandas(RunState(dict(policy.sources), can, ttl_ms), OUTPUT, "Append", "None" if ttl_ms is None else "ProcessingTime")
 
 
-def decide_stream(log: DataFrame, policy: Policy, mode: str = "enforce", ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def decide_stream(log: DataFrame, policy: Policy, mode: str = "enforce", ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Decisions of a streaming log; late calls carry late = true and are not to be acted on again."""
     calls = run_state(log, policy, ttl_ms)
     calls = calls.withColumn("args", F.coalesce("args_json", F.lit("{}"))).withColumn("labels", F.from_json("labels_json", f"array<{decide.trust.LABEL}>"))

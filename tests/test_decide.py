@@ -192,7 +192,7 @@ def test_stream_equals_batch(spark, tmp_path):
         (tmp_path / f"{n}").mkdir()
         (tmp_path / f"{n}" / "log.json").write_text("\n".join(json.dumps(x) for x in part))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "*"))
-    q = decide_stream(stream, from_text(LOOP)).select("run_id", "seq", "action", "matched_rule", F.array_sort("run_trifecta").alias("legs"), "late").writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = decide_stream(stream, from_text(LOOP), ttl_ms=None).select("run_id", "seq", "action", "matched_rule", F.array_sort("run_trifecta").alias("legs"), "late").writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(180)
     streamed = {(r["run_id"], r["seq"]): (r["action"], r["matched_rule"], r["legs"]) for r in spark.table("decided").where("NOT late").collect()}
     batch = check(spark, calls, ingress)
