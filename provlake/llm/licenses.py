@@ -23,30 +23,30 @@ from provlake.runtime import ship, small_batches
 SENTENCES = [
     ("MITrelease", r"(?:this (?:work|software|project|code|file) is )?(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit licen[cs]e"),
     ("MITtitle", r"(?:the )?mit licen[cs]e(?: mit)?"),
-    ("MITperm", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction .*"),
+    ("MITperm", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction(?: .*)?"),
     ("MITcond", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("MITwarr", r"the software is provided as is without warranty of any kind express or implied .*"),
-    ("ISCperm", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted .*"),
-    ("ISCwarr", r"the software is provided as is and the author disclaims all warranties .*"),
+    ("MITwarr", r"the software is provided as is without warranty of any kind express or implied(?: .*)?"),
+    ("ISCperm", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?: .*)?"),
+    ("ISCwarr", r"the software is provided as is and the author disclaims all warranties(?: .*)?"),
     ("ApacheLic", r"(?:this (?:work|software|project|code|file) is )?licensed under (?:the )?apache licen[cs]e,? version 2(?: 0)?(?: the license)?"),
     ("ApacheUse", r"you may not use this file except in compliance with the license"),
-    ("ApacheCopy", r"you may obtain a copy of the license at .*"),
-    ("ApacheDist", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis .*"),
+    ("ApacheCopy", r"you may obtain a copy of the license at(?: .*)?"),
+    ("ApacheDist", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis(?: .*)?"),
     ("ApacheSee", r"see the license for the specific language governing permissions and limitations under the license"),
     ("GPLlic", r"this (?:work|software|project|code|file|program) is licensed under the (?:terms of the )?gnu general public licen[cs]e,? version (?P<v>[23])(?: 0)?"),
     ("GPLfree", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version (?P<v>[23]) of the license or at your option any later version"),
-    ("GPLuse", r"this program is distributed in the hope that it will be useful but without any warranty .*"),
+    ("GPLuse", r"this program is distributed in the hope that it will be useful but without any warranty(?: .*)?"),
     ("GPLsee", r"see the gnu general public license for more details"),
-    ("GPLcopy", r"you should have received a copy of the gnu general public license along with this program .*"),
+    ("GPLcopy", r"you should have received a copy of the gnu general public license along with this program(?: .*)?"),
     ("LGPLlic", r"this (?:library|work|software) is licensed under the gnu lesser general public licen[cs]e,? version (?P<v>2 1|3)(?: 0)?"),
     ("AGPLlic", r"this (?:program|work|software) is licensed under the gnu affero general public licen[cs]e,? version (?P<v>3)(?: 0)?"),
     ("MPLlic", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("MPLcopy", r"if a copy of the mpl was not distributed with this file you can obtain one at .*"),
+    ("MPLcopy", r"if a copy of the mpl was not distributed with this file you can obtain one at(?: .*)?"),
     ("BSDredist", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("BSDsource", r"(?:1 )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("BSDbinary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice .*"),
+    ("BSDbinary", r"(?:2 )?redistributions in binary form must reproduce the above copyright notice(?: .*)?"),
     ("BSDname", r"(?:3 )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("BSDwarr", r"this software is provided by the copyright holders? and contributors as is .*"),
+    ("BSDwarr", r"this software is provided by the copyright holders? and contributors as is(?: .*)?"),
     ("BSDlic", r"(?:released|licensed|distributed) under the (?:(?P<v>[234]) clause )?bsd licen[cs]e"),
     ("CClic", r"(?:this work is )?licensed under (?:a |the )?(?:creative commons |cc )(?P<v>by(?: nc| sa| nd)* \d \d)(?: .*)?"),
     ("CC0", r"(?:this work is )?(?:licensed under |released under )?cc0(?: 1 0)?(?: universal)?|(?:this work|this file) is in the public domain|released into the public domain"),
@@ -85,14 +85,14 @@ _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _HOLDS = re.compile(r"licen[cs]|copyright|©|\(c\)|permission|redistribut|warrant|public domain|all rights reserved|unencumbered|cc0|mpl was|notice shall|without any", re.I)
 #: An unknown sentence with such words speaks of a licence.
 _SPEAKS = re.compile(r"\blicen[cs](?:ed? under|e agreement|e terms|e version)\b|\bpermission (?:is|to)\b.*\bgranted\b|\bredistribut\w*\b.*\bpermitted\b|\bwarranty of any kind\b")
-_CUT = re.compile(r"(?<=[.;:!?])\s+|\n\s*\n|\n(?=\s*(?:[#*/;-]+\s*)?[A-ZÀ-Þ\"'(<0-9])")
+_CUT = re.compile(r"(?<=[.;!?])\s+|(?<=:)\s+(?=\d+\.|\()|\n\s*\n|\n(?=\s*(?:[#*/;-]+\s*)?[A-ZÀ-Þ\"'(<0-9])")
 _COMMENT = re.compile(r"^[\s#*/;<!-]+", re.M)
 _OTHER = re.compile(r"[^\w(©)+]+|_+")
 
 
 def normalise(sentence: str) -> str:
-    text = _OTHER.sub(" ", _COMMENT.sub(" ", sentence).lower()).strip()
-    return re.sub(r"\((?!c\))|(?<!\(c)\)", "", text)
+    text = _OTHER.sub(" ", _COMMENT.sub(" ", sentence).lower())
+    return " ".join(re.sub(r"\((?!c\))|(?<!\(c)\)", " ", text).split())
 
 
 def identify(sentence: str) -> tuple[str, str] | None:
