@@ -74,3 +74,13 @@ def spread(scan: DataFrame) -> DataFrame:
     one of a few unsplittable files, is moved. Not for a plan with joins or aggregates, which this would run."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that written() left in the shared folder, when no result that reads one is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path):
+        for status in files.listStatus(path):
+            if status.getPath().getName().startswith("provlake-"):
+                files.delete(status.getPath(), True)
