@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -84,3 +85,12 @@ def clear(spark: SparkSession) -> None:
         for status in files.listStatus(path):
             if status.getPath().getName().startswith("provlake-"):
                 files.delete(status.getPath(), True)
+
+
+#: Up to so many ids a table of ids is broadcast (some 16 MB); beyond it the join is shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def checked_ids(ids: DataFrame) -> DataFrame:
+    """A written table of one id column, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
