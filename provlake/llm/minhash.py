@@ -141,7 +141,8 @@ def _mixed_buckets(members: DataFrame, labels: DataFrame, texts: DataFrame, word
     """Confirmed links between members of one bucket that are in different components."""
     known = members.join(labels, members["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
     sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("g"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("g"), F.count("*").alias("parts"))
+    mixed = mixed.where("parts > 1 AND g > 2")  # of two members, the one pair has been tested with the star
     mixed = mixed.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.n") / TILE).cast("int").alias("t"), F.ceil((F.col("g") - F.col("top.n")) / TILE).cast("int").alias("o"))
     mixed = written(mixed, "mixed")
     rows = known.join(mixed, "key").join(texts, F.col("doc") == F.col("id"))
