@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provlake.llm import minhash, mixture, packing, secrets, toxicity
-from provlake.runtime import written
+from provlake.runtime import checked_ids, written
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,15 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the least id; rows without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    once = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where(docs["doc_id"].isNull()))
+    near = written(minhash.near_duplicates(docs).where("doc_id IS NOT NULL"), "near")
+    dropped = written(near.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
+    repeated = near.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    repeated = written(repeated.join(dropped, "__id", "left_anti"), "repeated")
+    # Whole texts move only for rows that repeat an id.
+    apart = checked_ids(written(dropped.unionByName(repeated), "apart"))
+    once = docs.join(apart, docs["doc_id"] == apart["__id"], "left_anti")
+    again = checked_ids(repeated)
+    return once.unionByName(docs.join(again, docs["doc_id"] == again["__id"], "left_semi").dropDuplicates(["doc_id"]))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
