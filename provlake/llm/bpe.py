@@ -3,10 +3,15 @@
 The library cuts a text into pre-tokens before it merges. `PIECE` cuts at a subset of those places, so the ids of a
 text are the ids of its pieces, joined. That holds for the characters up to U+024F (tests/llm/test_tokens.py tries
 each of them); a text with any other character, or with the special string, goes to the library whole.
+
+`Ranked` gives the same ids by byte-pair ranks and keeps nothing from text to text. Merging the pair of the least rank
+is what the library does if the vocabulary numbers its strings in the order of its merges and every string, merged
+alone, comes to exactly its own token: both are proven for the vocabulary at hand before ranks are used.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -18,6 +23,9 @@ _SPACE = r"\t-\r \x85\xa0"
 PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?[^\w{_SPACE}_]+(?:_+[^\w{_SPACE}]*)*| ?_[^{_SPACE}0-9A-Za-zª-ɏ]*|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _OUTSIDE = re.compile("[^\x00-ɏ‐-‧]")
 _CACHE: dict[tuple[str, bool], "Pieces"] = {}
+_RANKED: dict[str, "Ranked"] = {}
+# Fixed value: how byte-level BPE of this kind cuts a text before it merges.
+PRE_TOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pieces kept by a worker beside the proven whole tokens; beyond it the memory starts anew.
 KEPT = 900_000
 
@@ -97,13 +105,68 @@ class Pieces:
         return out
 
 
+class Ranked:
+    """The ids of whole texts (little-endian unsigned 32-bit, as bytes)."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ranks = self._prove()
+
+    def _prove(self):
+        """An encoder by ranks, or None where it is not proven to agree with the library."""
+        import tiktoken
+
+        made = json.loads(self.tokenizer.to_str(pretty=False))
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        if made["normalizer"] is not None or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            return None
+        if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")):
+            return None
+        letters, vocab = _byte_letters(), self.tokenizer.get_vocab(with_added_tokens=False)
+        special = set(self.special)
+        strings = {s: i for s, i in vocab.items() if s not in special}
+        merged = [strings.get(x.replace(" ", "") if isinstance(x, str) else "".join(x), -1) for x in model["merges"]]
+        alone = {i for s, i in strings.items() if len(s) == 1}
+        if not all(x in letters for s in strings for x in s) or len(alone) != len(letters):
+            return None
+        if [max(alone), *merged] != sorted({max(alone), *merged}) or len(alone) + len(merged) != len(strings):
+            return None
+        if any([t.id for t in self.tokenizer.model.tokenize(s)] != [i] for s, i in strings.items()):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=PRE_TOKEN, mergeable_ranks={bytes(letters[x] for x in s): i for s, i in strings.items()}, special_tokens={})
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def ids(self, text: str) -> bytes:
+        if self.ranks is None or _OUTSIDE.search(text) or any(s in text for s in self.special):
+            return self._library(text)
+        try:
+            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:  # white space by the million is too much for its pattern
+            return self._library(text)
+
+
+def _path(name: str) -> str:
+    if os.path.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pieces(name: str, as_bytes: bool) -> Pieces:
     """One for each worker process. name: a file of the public tokenizers, or a path."""
     if (key := (name, as_bytes)) not in _CACHE:
-        if os.path.sep not in name:
-            import public_tokenizers
-
-            _CACHE[key] = Pieces(public_tokenizers.path(name), as_bytes)
-        else:
-            _CACHE[key] = Pieces(name, as_bytes)
+        _CACHE[key] = Pieces(_path(name), as_bytes)
     return _CACHE[key]
+
+
+def ranked(name: str) -> Ranked:
+    """One for each worker process. name: a file of the public tokenizers, or a path."""
+    if name not in _RANKED:
+        _RANKED[name] = Ranked(_path(name))
+    return _RANKED[name]

@@ -100,9 +100,9 @@ def pieces_of(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacit
     end = end_id.to_bytes(4, "little")
 
     def every(batches: Iterator[pd.Series]) -> Iterator[list[bytes]]:
-        known = bpe.pieces(tokenizer, as_bytes=True)
+        encoder = bpe.ranked(tokenizer)
         for texts in batches:
-            yield [ids + end for ids in known.batch(["" if t is None else t for t in texts])]
+            yield [encoder.ids(t or "") + end for t in texts]
 
     @F.pandas_udf("binary")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -29,19 +30,22 @@ def held(ids):
 def test_every_character_of_the_fast_range(library):
     """Where a text is cut must agree with the library beside any character that is not sent to it whole."""
     texts = [a + chr(c) + b for c in range(0x250) for a in ("", "a", " ", "1", ".", "_", "\n", "'") for b in ("", "b", " ", "2", "!", "_", "'s", "\n", "  x")]
-    assert bpe.pieces(NAME, True).batch(texts) == [held(encode(library, t)) for t in texts]
+    want = [held(encode(library, t)) for t in texts]
+    assert bpe.pieces(NAME, True).batch(texts) == want
+    assert bpe.ranked(NAME).ranks is not None and [bpe.ranked(NAME).ids(t) for t in texts] == want
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aZé'st _\n\t\r 19²½.,!-\xa0\x85\x1c漢­̈🙂 ") | st.characters(exclude_categories=["Cs"]), max_size=40), min_size=1, max_size=4))
 def test_any_text(library, texts):
     known = bpe.pieces(NAME, True)
-    assert known.batch(texts) == [held(encode(library, t)) for t in texts]
+    assert known.batch(texts) == [held(encode(library, t)) for t in texts] == [bpe.ranked(NAME).ids(t) for t in texts]
     assert bpe.pieces(NAME, False).batch(texts) == [len(encode(library, t)) for t in texts]
 
 
 def test_special_strings(library):
     texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext", "x <|endoftext|> <|endoftext|>"]
+    assert [bpe.ranked(NAME).ids(t) for t in texts] == [held(encode(library, t)) for t in texts]
     assert bpe.pieces(NAME, False).batch(texts) == [len(encode(library, t)) for t in texts]
 
 
@@ -51,6 +55,24 @@ def test_proven_tokens(library):
     assert all(len(encode(library, t)) == 1 for t in random.Random(1).sample(sorted(proven), 500))
 
 
+@pytest.mark.parametrize("text", ["a" * 200_000, " " * 200_000 + "x", "".join(random.Random(2).choices("abcdefghij", k=200_000)), " \t" * 1_500_000 + "x", "." * 200_000])
+def test_very_long_runs(library, text):
+    assert bpe.ranked(NAME).ids(text) == held(encode(library, text))
+
+
+def test_ranks_only_where_proven(library):
+    """A vocabulary that the proof does not hold for goes to the library: here, one with a string that no merge makes."""
+    made = json.loads(library.to_str())
+    made["model"]["vocab"]["zqzqzq"] = len(made["model"]["vocab"]) + 1
+    assert bpe.Ranked(public_tokenizers.path(NAME))._prove() is not None
+    changed = bpe.Ranked(public_tokenizers.path(NAME))
+    changed.tokenizer = Tokenizer.from_str(json.dumps(made))
+    assert changed._prove() is None
+    other = bpe.Ranked(public_tokenizers.path("word_bpe_49k.json"))
+    want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.ranks is None and other.ids("some words, 12") == held(encode(want, "some words, 12"))
+
+
 def test_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 10)
     known = bpe.Pieces(public_tokenizers.path(NAME), True)
