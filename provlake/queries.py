@@ -376,13 +376,20 @@ def _said(x: Labeled, name: str) -> list[Column]:
     return [x.value.alias(name), F.coalesce(joined(x.label["lineage"]), F.lit("-")).alias(f"{name}_from")]
 
 
+def _label_ops(docs: DataFrame, head: Labeled, lang: Labeled) -> DataFrame:
+    cases = {"added": strings.concat(head, lang), "radded": strings.concat(plain(">> "), head), "replaced": strings.replace(head, "e", lang, 2), "formatted": strings.percent(Labeled(F.lit("%s/%s"), labels.none()), lang, head), "filled": strings.format_text("{0}-{x}", labels.none(), lang, x=head), "joined": strings.join(Labeled(F.lit(", "), labels.fresh("sep", F.lit(1))), head, lang), "lost": strings.join_plain(", ", head, lang), "spec": strings.format_spec(head, "30"), "upper": strings.upper(lang)}
+    return docs.select("doc_id", *[c for k, x in cases.items() for c in _said(x, k)])
+
+
 def string_ops_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which labels each family of string functions keeps, merges or loses."""
     text, lang = _pairs()
-    head = strings.slice_(text, 0, 20)
-    cases = {"added": strings.concat(head, lang), "radded": strings.concat(plain(">> "), head), "replaced": strings.replace(head, "e", lang, 2), "formatted": strings.percent(Labeled(F.lit("%s/%s"), labels.none()), lang, head), "filled": strings.format_text("{0}-{x}", labels.none(), lang, x=head), "joined": strings.join(Labeled(F.lit(", "), labels.fresh("sep", F.lit(1))), head, lang), "lost": strings.join_plain(", ", head, lang), "spec": strings.format_spec(head, "30"), "upper": strings.upper(lang)}
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *[c for k, x in cases.items() for c in _said(x, k)])
+    return _label_ops(table(spark, sf_dir, "documents"), strings.slice_(text, 0, 20), lang)
+
+
+def string_ops_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """string_ops_labels with every function over the whole text."""
+    return _label_ops(table(spark, sf_dir, "documents"), *_pairs())
 
 
 _M = "CASE WHEN doc_id % 2 = 0 THEN ',langs' ELSE '' END"
@@ -393,16 +400,26 @@ SELECT doc_id, h || lang AS added, source || {_M} AS added_from, '>> ' || h AS r
   CASE len(s) WHEN 1 THEN h WHEN 2 THEN s[1] || lang || s[2] ELSE s[1] || lang || s[2] || lang || array_to_string(s[3:], 'e') END AS replaced, source || {_M} AS replaced_from,
   lang || '/' || h AS formatted, {_ML} || source AS formatted_from, lang || '-' || h AS filled, {_ML} || source AS filled_from, h || ', ' || lang AS joined, 'sep,' || source || {_M} AS joined_from,
   h || ', ' || lang AS lost, '-' AS lost_from, lpad(h, greatest(30, length(h))::INT, ' ') AS spec, '-' AS spec_from, upper(lang) AS upper, CASE WHEN doc_id % 2 = 0 THEN 'langs' ELSE '-' END AS upper_from FROM p"""
+LABEL_OPS_WHOLE_SQL = LABEL_OPS_SQL.replace("substr(text, 1, 20)", "text")
 
 
-def string_ops_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of the string functions whose Spark counterparts differ from Python's."""
-    text = Labeled(F.col("text"), labels.none())
-    head = strings.slice_(text, 0, 24)
+def _value_ops(docs: DataFrame, text: Labeled, head: Labeled) -> DataFrame:
     padded = Labeled(F.concat(F.lit(" \t"), head.value, F.lit("\n ")), labels.none())
     part = strings.partition(head, " ")
     rpart = strings.rpartition(head, " ")
-    return table(spark, sf_dir, "documents").select("doc_id", strings.strip(padded).value.alias("stripped"), strings.strip(head, "T.e").value.alias("stripped_chars"), F.array_join(strings.split(padded).value, "|").alias("words"), F.array_join(strings.split(head, "e", 2).value, "|").alias("split2"), strings.slice_(text, -5).value.alias("tail"), strings.ljust(head, 30, "*").value.alias("ljust"), strings.rjust(head, 30).value.alias("rjust"), strings.zfill(Labeled((F.col("doc_id") * -1).cast("string"), labels.none()), 8).value.alias("zfill"), strings.removeprefix(head, "The ").value.alias("noprefix"), strings.capitalize(strings.upper(Labeled(F.col("lang"), labels.none()))).value.alias("capital"), part.value["head"].alias("first_word"), rpart.value["tail"].alias("last_word"), F.size(strings.splitlines(text).value).alias("n_lines"), strings.repeat(Labeled(F.col("lang"), labels.none()), 3).value.alias("thrice"), F.hex(strings.encode(Labeled(F.col("lang"), labels.none())).value).alias("encoded"))
+    return docs.select("doc_id", strings.strip(padded).value.alias("stripped"), strings.strip(head, "T.e").value.alias("stripped_chars"), F.array_join(strings.split(padded).value, "|").alias("words"), F.array_join(strings.split(head, "e", 2).value, "|").alias("split2"), strings.slice_(text, -5).value.alias("tail"), strings.ljust(head, 30, "*").value.alias("ljust"), strings.rjust(head, 30).value.alias("rjust"), strings.zfill(Labeled((F.col("doc_id") * -1).cast("string"), labels.none()), 8).value.alias("zfill"), strings.removeprefix(head, "The ").value.alias("noprefix"), strings.capitalize(strings.upper(Labeled(F.col("lang"), labels.none()))).value.alias("capital"), part.value["head"].alias("first_word"), rpart.value["tail"].alias("last_word"), F.size(strings.splitlines(text).value).alias("n_lines"), strings.repeat(Labeled(F.col("lang"), labels.none()), 3).value.alias("thrice"), F.hex(strings.encode(Labeled(F.col("lang"), labels.none())).value).alias("encoded"))
+
+
+def string_ops_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the string functions whose Spark counterparts differ from Python's."""
+    text = Labeled(F.col("text"), labels.none())
+    return _value_ops(table(spark, sf_dir, "documents"), text, strings.slice_(text, 0, 24))
+
+
+def string_ops_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """string_ops_values with every function over the whole text."""
+    text = Labeled(F.col("text"), labels.none())
+    return _value_ops(table(spark, sf_dir, "documents"), text, text)
 
 
 VALUES_SQL = """WITH d AS (SELECT doc_id, text, lang, substr(text, 1, 24) AS h FROM documents)
@@ -412,6 +429,7 @@ SELECT doc_id, regexp_replace(regexp_replace(h, '^[\\s]+', ''), '[\\s]+$', '') A
   CASE WHEN doc_id = 0 THEN '00000000' ELSE '-' || lpad(doc_id::VARCHAR, greatest(7, length(doc_id::VARCHAR))::INT, '0') END AS zfill, CASE WHEN starts_with(h, 'The ') THEN substr(h, 5) ELSE h END AS noprefix,
   upper(substr(lang, 1, 1)) || substr(lang, 2) AS capital, CASE WHEN contains(h, ' ') THEN split_part(h, ' ', 1) ELSE h END AS first_word, split_part(h, ' ', -1) AS last_word,
   (len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 1 ELSE 0 END)::INT AS n_lines, repeat(lang, 3) AS thrice, hex(encode(lang)) AS encoded FROM d"""
+VALUES_WHOLE_SQL = VALUES_SQL.replace("substr(text, 1, 24)", "text")
 
 
 def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,7 +452,7 @@ SELECT doc_id, tool, agent_id, reject_reason, action, action = 'allow' OR (actio
 def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes of conversations, some tampered with, read back with the key, the wrong key and none."""
     key = b"0123456789abcdef0123456789abcdef"
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.to_json(F.struct("role", "turn")).alias("body"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.to_json(F.struct("role", "turn", "text")).alias("body"))
     label = labels.fresh(F.concat(F.lit("user_"), (F.col("conv_id") % 3).cast("string")), F.concat_ws("/", "conv_id", "turn"))
     leaves = F.array(F.struct(F.lit("$.role").alias("path"), label.alias("label"), F.lit("str").alias("carrier")))
     run = F.array(F.struct(F.lit("web").alias("source"), F.lit("untrusted").alias("trust"), F.array(F.lit("b"), F.lit("a")).alias("ingested_by")))
@@ -459,6 +477,17 @@ def variant_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEAVES_SQL = "SELECT conv_id, turn, unnest(['$.role', '$.deep[0].r']) AS path, role AS text FROM conversations WHERE role IS NOT NULL"
 
 
+def variant_leaves_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as leaves of variants."""
+    body = F.struct("role", "text", F.array(F.struct(F.col("text").alias("r"), "turn")).alias("deep"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.try_parse_json(F.to_json(body)).alias("v"))
+    return nested.explode_variant(t, "v", ["conv_id", "turn"], 4)
+
+
+LEAVES_TEXT_SQL = """SELECT conv_id, turn, '$.role' AS path, role AS text FROM conversations WHERE role IS NOT NULL
+UNION ALL SELECT conv_id, turn, unnest(['$.text', '$.deep[0].r']) AS path, text FROM conversations WHERE text IS NOT NULL"""
+
+
 def describe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decide.events(_conversations(spark, sf_dir, "monitor"))
     extra = {c: F.lit(None).cast(k) for c, k in (("source", "string"), ("tool", "string"), ("argument", "string"), ("kind", "string"), ("note", "string"), ("lineage", "array<string>"), ("agent_id", "string"), ("run_id", "string"), ("session_id", "string"))}
@@ -529,9 +558,12 @@ REGISTERED = {
     "unlabeled_documents": (unlabeled_documents, UNLABELED_SQL),
     "string_ops_labels": (string_ops_labels, LABEL_OPS_SQL),
     "string_ops_values": (string_ops_values, VALUES_SQL),
+    "string_ops_labels_whole": (string_ops_labels_whole, LABEL_OPS_WHOLE_SQL),
+    "string_ops_values_whole": (string_ops_values_whole, VALUES_WHOLE_SQL),
     "rejected_rows": (rejected_rows, REJECTED_SQL),
     "envelope_round_trip": (envelope_round_trip, ENVELOPE_SQL),
     "variant_leaves": (variant_leaves, LEAVES_SQL),
+    "variant_leaves_text": (variant_leaves_text, LEAVES_TEXT_SQL),
     "describe_events": (describe_events, DESCRIBE_SQL),
     "policy_problems": (policy_problems, LINT_SQL),
     "explain_rules": (explain_rules, EXPLAIN_SQL),

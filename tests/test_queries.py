@@ -60,3 +60,18 @@ def test_layers():
                 if parts[0] == "provlake" and len(parts) > 1 and layer not in ("llm", "__init__"):
                     assert parts[1] != "llm", path
                     assert ORDER.index(parts[1]) <= ORDER.index(layer), (path, name)
+
+
+def test_string_functions_see_whole_texts(spark, tmp_path):
+    texts = ["x" * 30 + " e e e e \n two\tlines " + "y" * 40 + " The end...", "The " + "ab e " * 5_000 + "Te.", "", "short", "T" * 50 + "\n\n" + "e" * 50 + " last"]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in REGISTERED["string_ops_labels_whole"][0](spark, str(tmp_path)).collect():
+        t = texts[r["doc_id"]]
+        assert (r["added"], r["replaced"], r["formatted"], r["filled"]) == (t + "en", t.replace("e", "en", 2), "en/" + t, "en-" + t)
+        assert (r["joined"], r["lost"], r["spec"], r["radded"]) == (t + ", en", t + ", en", format(t, ">30"), ">> " + t)
+    for r in REGISTERED["string_ops_values_whole"][0](spark, str(tmp_path)).collect():
+        t = texts[r["doc_id"]]
+        assert (r["stripped"], r["stripped_chars"], r["words"], r["split2"]) == (t.strip(), t.strip("T.e"), "|".join(t.split()), "|".join(t.split("e", 2)))
+        assert (r["ljust"], r["rjust"], r["noprefix"]) == (t.ljust(30, "*"), t.rjust(30), t.removeprefix("The "))
+        assert (r["first_word"], r["last_word"], r["n_lines"]) == (t.partition(" ")[0], t.rpartition(" ")[2], len(t.splitlines()))
