@@ -2,12 +2,14 @@
 
 Method: each source's mean repetition rate is what brings its share of the corpus to its target weight. A document's
 number of copies inverts the Poisson distribution of that mean at a uniform number hashed from the seed and its id, so
-a rerun or a retried task gives the same copies. Documents are exploded by their count and shuffled globally: rows are
+a rerun or a retried task gives the same copies. A mean above PART is split into equal parts, each drawn with a uniform
+number of its own: sums of Poisson counts are Poisson, so no mean is too large. Documents are exploded by their count and shuffled globally: rows are
 dealt to partitions by a hash of (seed, id, copy) and sorted by it.
 
 A null source is a source of its own. A null or empty text counts 0 characters but is kept as any other. Rows that
 repeat an id get the same number of copies each. With no rows, or no characters at all, nothing is returned. Other
-columns are carried along unchanged.
+columns are carried along unchanged. A source without characters has no rate; its rows are not drawn, as in the SQL. More
+than 2^31 - 1 copies of one row are an overflow error.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many sources their table is broadcast: each has a cumulative distribution of at most a few hundred numbers.
+#: Up to so many sources their table is broadcast: each has a cumulative distribution of at most some 1,400 numbers.
 BROADCAST_SOURCES = 2_000
 #: Beyond it the table is joined by source and salt, so that a hot source is dealt to so many tasks.
 SALTS = 64
-MAX_RATE = 1_000.0
+#: The largest mean of one draw: it bounds the cumulative distribution, not the rate.
+PART = 1_000.0
+#: Copies are listed in blocks of so many, so that no array grows with the rate.
+BLOCK = 1 << 14
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -56,11 +61,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         pairs = [x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]
         wanted = F.coalesce(F.create_map(*pairs)[F.col("__source")], F.lit(0.0)) if pairs else F.lit(0.0)
     sources = sources.withColumn("__wanted", wanted)
-    n, total, share, most = sources.agg(F.count("*"), F.sum("__size"), F.sum("__wanted"), F.max(F.col("__wanted") / F.col("__size"))).first()
-    if n and (not share or most * total * epochs / share > MAX_RATE):
-        raise ValueError(f"a source would be repeated over {MAX_RATE:g} times" if share else "no source has a weight")
+    n, total, share = sources.agg(F.count("*"), F.sum("__size"), F.sum("__wanted")).first()
+    if n and not share:
+        raise ValueError("no source has a weight")
     rate = F.col("__wanted") / F.col("__size") * ((total or 0.0) * epochs / (share or 1.0))
-    table = sources.withColumn("__rate", rate).select("__source", "__rate", poisson_cdf(F.col("__rate")).alias("__cdf"))
+    table = sources.withColumn("__rate", rate).withColumn("__parts", F.greatest(F.ceil(F.col("__rate") / PART), F.lit(1)))
+    table = table.select("__source", "__rate", "__parts", poisson_cdf(F.col("__rate") / F.col("__parts")).alias("__cdf"))
     docs = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[source_col].alias("__key"), uniform(seed, df[id_col]).alias("__u"), df[id_col].alias("__id"))
     if n <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(table), F.col("__key").eqNullSafe(F.col("__source")))
@@ -68,9 +74,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         docs = docs.withColumn("__own", F.pmod(F.xxhash64("__id", "__u"), F.lit(SALTS)).cast("int"))
         joined = docs.join(salted, F.col("__key").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
-    copies = F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
+    def drawn_at(u: Column) -> Column:
+        return F.size(F.filter("__cdf", lambda c: c < u))
+
+    others = F.transform(F.sequence(F.lit(1).cast("long"), F.col("__parts") - 1), lambda k: uniform(seed, F.col("__id"), F.lit("part"), k))
+    more = F.aggregate(others, F.lit(0).cast("long"), lambda acc, u: acc + drawn_at(u))
+    copies = drawn_at(F.col("__u")) + F.when(F.col("__parts") > 1, more).otherwise(F.lit(0).cast("long")).cast("int")
     drawn = joined.withColumn("n_copies", copies).where("n_copies > 0")
-    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    drawn = drawn.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / BLOCK).cast("int"))))
+    low = F.col("__block") * BLOCK
+    drawn = drawn.withColumn("copy", F.explode(F.sequence(low, low + F.least(F.lit(BLOCK) - 1, F.col("n_copies") - 1 - low))))
     drawn = drawn.withColumn("shuffle_key", (uniform(seed + 1, F.col("__id"), F.col("copy")) * float(1 << 52)).cast("long"))
     out = drawn.select("row", "copy", "n_copies", F.col("__rate").alias("rate"), "shuffle_key")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

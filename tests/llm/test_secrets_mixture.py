@@ -94,3 +94,22 @@ def test_native_plans(spark):
     for df in (mixture.mix(d), secrets.findings(d, secrets.scan(d))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_no_rate_is_too_large(spark):
+    big = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 400_000).alias("text"), F.lit("big").alias("source"))
+    small = spark.range(100, 104).select(F.col("id").alias("doc_id"), F.lit("y").alias("text"), F.lit("misspelt").alias("source"))
+    got = {r["doc_id"]: r for r in mixture.mix(big.unionByName(small)).groupBy("row.doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("copies"), F.max("copy").alias("last"), F.max("n_copies").alias("n_copies"), F.max("rate").alias("rate")).where("doc_id >= 100").collect()}
+    rate = math.sqrt(1 / 4) * (40_000_004 / (math.sqrt(40_000_000) + 2))
+    assert len(got) == 4 and rate > 3_000
+    for r in got.values():
+        assert abs(r["rate"] - rate) < 1e-6 * rate and abs(r["n"] - rate) < 6 * math.sqrt(rate)
+        assert r["n"] == r["copies"] == r["n_copies"] == r["last"] + 1
+    assert len({r["n"] for r in got.values()}) > 1
+
+
+def test_copies_in_blocks(spark, monkeypatch):
+    one = mixture.mix(docs(spark, 300), epochs=20.0).select("row.doc_id", "copy", "n_copies", "shuffle_key").collect()
+    monkeypatch.setattr(mixture, "BLOCK", 3)
+    two = mixture.mix(docs(spark, 300), epochs=20.0).select("row.doc_id", "copy", "n_copies", "shuffle_key").collect()
+    assert sorted(one) == sorted(two)
