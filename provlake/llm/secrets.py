@@ -30,8 +30,15 @@ class Rule:
     least: int
     needles: tuple[str, ...]  # one of them is in every match, whatever the case of its letters; none: see HEX_RUN
     base: bool = False
+    whole: str = ""  # the pattern searched for instead, where the span is more than what the SQL's pattern takes
 
 
+# A key without its END line: headers, lines of base64 (indented, quoted or with written-out line breaks), a short last one.
+_NL, _INDENT, _REST = r"(?:\r?\n|\r|(?:\\r)?\\n)", r"[\x20\t\"'>#*]*+", r"(?=[\s\"',;\\]|\z)"
+_UNENDED = rf"""(?:(?:["',+\x20\t]*+{_NL}{_INDENT}[A-Za-z-]++:\x20[^\r\n\\]*+)*+(?:{_NL}(?={_NL}))?+(?:(?:["',+\x20\t]|{_NL})++{_INDENT}[A-Za-z0-9+/=]{{16,}}+{_REST})++(?:(?:["',+\x20\t]*+{_NL})++{_INDENT}[A-Za-z0-9+/=]{{1,15}}+(?=["',;\x20\t]*+(?:[\r\n\\]|\z)))?+)?+"""
+# From BEGIN to the END line if that is what the next five dashes start.
+PEM = rf"""(-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY-----)(?:(?>(?s:.*?)-----)END (?:[A-Z]+ )*PRIVATE KEY-----|{_UNENDED}))"""
+
 RULES = (
     Rule("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 12, ("passw", "secret", "token", "apikey", "api_key"), True),
     Rule("access", r"((AKIA[A-Z0-9]+))", 18, ("akia",), True),
@@ -40,7 +47,7 @@ RULES = (
     Rule("github", r"((gh[pousr]_[A-Za-z0-9]+))", 40, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", r"((xox[abprs]-[A-Za-z0-9-]+))", 20, ("xox",)),
     Rule("jwt", r"((eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+))", 30, ("eyj",)),
-    Rule("private_key", r"((-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----))", 1, ("private key-----",)),
+    Rule("private_key", r"((-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----))", 1, ("private key-----",), whole=PEM),
 )
 HEX_RUN = "[0-9a-f]{16}"
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
@@ -51,7 +58,7 @@ def version(rules: tuple[Rule, ...] = RULES) -> str:
 
 
 def _spans(text: Column, lower: Column, rule: Rule, no: int) -> Column:
-    every = r"\G(?s:.*?)" + rule.pattern
+    every = r"\G(?s:.*?)" + (rule.whole or rule.pattern)
     # Only a text that can hold a match is searched: plain substring tests are far cheaper than the patterns.
     possible = reduce(or_, [lower.contains(x) for x in rule.needles]) if rule.needles else text.rlike(HEX_RUN)
     with_gap, whole, part = (F.regexp_extract_all(text, F.lit(every), F.lit(g)) for g in (0, 1, 2))
