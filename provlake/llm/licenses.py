@@ -2,7 +2,8 @@
 
 Method: a text is cut into sentences; each is normalised (case, comment marks, quotes, punctuation, white space) and
 mapped to the identifier of a known licence sentence; the sequence of identifiers is matched against ordered rules, at
-each place the first rule that fits. A sentence that speaks of a licence but is not known, or that no rule takes, is
+each place the first rule that fits. A line break or a semicolon may end a sentence or stand in one: a piece that is no
+known sentence is tried together with those after it, up to the end of the sentence. A sentence that speaks of a licence but is not known, or that no rule takes, is
 reported as unknown, never dropped.
 
 A null or empty text has no sentences. Whole texts are read; a text without any of the words that every known sentence
@@ -38,6 +39,13 @@ SENTENCES = [
     ("GPLuse", r"this program is distributed in the hope that it will be useful but without any warranty(?: .*)?"),
     ("GPLsee", r"see the gnu general public license for more details"),
     ("GPLcopy", r"you should have received a copy of the gnu general public license along with this program(?: .*)?"),
+    ("LGPLfree", r"this (?:library|program) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation either version (?P<v>2 1|2|3) of the license or at your option any later version"),
+    ("LGPLuse", r"this library is distributed in the hope that it will be useful but without any warranty(?: .*)?"),
+    ("LGPLsee", r"see the gnu (?:lesser|library) general public license for more details"),
+    ("LGPLcopy", r"you should have received a copy of the gnu (?:lesser|library) general public license along with this (?:library|program)(?: .*)?"),
+    ("AGPLfree", r"this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version (?P<v>3) of the license or at your option any later version"),
+    ("AGPLsee", r"see the gnu affero general public license for more details"),
+    ("AGPLcopy", r"you should have received a copy of the gnu affero general public license along with this program(?: .*)?"),
     ("LGPLlic", r"this (?:library|work|software) is licensed under the gnu lesser general public licen[cs]e,? version (?P<v>2 1|3)(?: 0)?"),
     ("AGPLlic", r"this (?:program|work|software) is licensed under the gnu affero general public licen[cs]e,? version (?P<v>3)(?: 0)?"),
     ("MPLlic", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
@@ -70,6 +78,14 @@ RULES = [
     ("GPL-{v}.0-or-later", ("GPLfree", "GPLuse", "GPLsee")),
     ("GPL-{v}.0-or-later", ("GPLfree",)),
     ("GPL-{v}.0", ("GPLlic",)),
+    ("LGPL-{v}-or-later", ("LGPLfree", "LGPLuse", "LGPLsee", "LGPLcopy")),
+    ("LGPL-{v}-or-later", ("LGPLfree", "GPLuse", "LGPLsee", "LGPLcopy")),
+    ("LGPL-{v}-or-later", ("LGPLfree", "LGPLuse", "LGPLsee")),
+    ("LGPL-{v}-or-later", ("LGPLfree", "GPLuse", "LGPLsee")),
+    ("LGPL-{v}-or-later", ("LGPLfree",)),
+    ("AGPL-{v}.0-or-later", ("AGPLfree", "GPLuse", "AGPLsee", "AGPLcopy")),
+    ("AGPL-{v}.0-or-later", ("AGPLfree", "GPLuse", "AGPLsee")),
+    ("AGPL-{v}.0-or-later", ("AGPLfree",)),
     ("LGPL-{v}", ("LGPLlic",)),
     ("AGPL-{v}.0", ("AGPLlic",)),
     ("MPL-2.0", ("MPLlic", "MPLcopy")),
@@ -85,7 +101,11 @@ _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _HOLDS = re.compile(r"licen[cs]|copyright|©|\(c\)|permission|redistribut|warrant|public domain|all rights reserved|unencumbered|cc0|mpl was|notice shall|without any", re.I)
 #: An unknown sentence with such words speaks of a licence.
 _SPEAKS = re.compile(r"\blicen[cs](?:ed? under|e agreement|e terms|e version)\b|\bpermission (?:is|to)\b.*\bgranted\b|\bredistribut\w*\b.*\bpermitted\b|\bwarranty of any kind\b")
-_CUT = re.compile(r"(?<=[.;!?])\s+|(?<=:)\s+(?=\d+\.|\()|\n\s*\n|\n(?=\s*(?:[#*/;-]+\s*)?[A-ZÀ-Þ\"'(<0-9])")
+#: The end of a sentence, and what may also stand within one.
+_END = re.compile(r"(?<=[.!?])\s+|(?<=:)\s+(?=\d+\.|\()|\n\s*\n")
+_CUT = re.compile(r"(?<=;)\s+|\n(?=\s*(?:[#*/;-]+\s*)?[A-ZÀ-Þ\"'(<0-9])")
+#: The known sentences across pieces, to the first end of a piece; those of one line are not joined.
+_JOINED = [(name, re.compile(pattern.replace(".*", "(?s:.*?)").replace(" ", "[ \n]") + r"(?=\n|\Z)")) for name, pattern in SENTENCES if name not in ("SPDX", "Copyright")]
 _COMMENT = re.compile(r"^[\s#*/;<!-]+", re.M)
 _OTHER = re.compile(r"[^\w(©)+]+|_+")
 
@@ -103,6 +123,29 @@ def identify(sentence: str) -> tuple[str, str] | None:
     return ("UNKNOWN", "") if _SPEAKS.search(sentence) else None
 
 
+def sentences(text: str) -> list[tuple[str, str]]:
+    """The identifiers and versions of the licence sentences of one stretch of text without an end of a sentence in it."""
+    pieces = [(n, _HOLDS.search(s)) for s in _CUT.split(text) if (n := normalise(s))]
+    whole = "\n".join(n for n, _ in pieces)
+    found, at, k = [], 0, 0
+    while k < len(pieces):
+        piece, holds = pieces[k]
+        end = at + len(piece)
+        one = identify(piece) if holds else None
+        if (one is None or one[0] == "UNKNOWN") and end < len(whole):
+            for name, pattern in _JOINED:
+                if m := pattern.match(whole, at):
+                    one, end = (name, m.groupdict().get("v") or ""), m.end()
+                    break
+        found += [one] if one else []
+        while k < len(pieces) and at < end:
+            at += len(pieces[k][0]) + 1
+            k += 1
+    if not found and len(pieces) > 1 and _SPEAKS.search(whole.replace("\n", " ")):
+        found.append(("UNKNOWN", ""))
+    return [(name, v.replace("\n", " ")) for name, v in found]
+
+
 def _named(rule: str, versions: list[str]) -> str:
     v = next((x for x in versions if x), "")
     if rule == "CC-{v}":
@@ -110,6 +153,8 @@ def _named(rule: str, versions: list[str]) -> str:
         return "CC-" + "-".join(words[:-2]) + "-" + ".".join(words[-2:])
     if rule == "{v}":
         return v.replace(" ", "-").upper()
+    if rule == "LGPL-{v}-or-later" and v in ("2", "3"):
+        v += " 0"
     return rule.replace("-{v}", f"-{v.replace(' ', '.')}" if v else "")
 
 
@@ -117,7 +162,7 @@ def recognise(text: str | None) -> tuple[list[str], list[str], int]:
     """Licences in order, the identifiers of the licence sentences in order, and how many of these no rule took."""
     if not text or not _HOLDS.search(text):
         return [], [], 0
-    found = [x for s in _CUT.split(text) if _HOLDS.search(s) and (x := identify(normalise(s)))]
+    found = [x for s in _END.split(text) if _HOLDS.search(s) for x in sentences(s)]
     ids = [name for name, _ in found]
     chain = [x for x in found if x[0] != "Copyright"]
     names, unknown, at = [], 0, 0

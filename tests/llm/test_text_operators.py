@@ -108,3 +108,75 @@ def test_rules_are_ordered_and_known():
     assert all(set(wanted) <= known for _, wanted in licenses.RULES)
     for k, (_, earlier) in enumerate(licenses.RULES):  # no rule hides a longer one after it
         assert not any(later[: len(earlier)] == earlier for _, later in licenses.RULES[k + 1 :])
+
+
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+GPL2 = GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2").replace("program.  If not, see <https://www.gnu.org/licenses/>.", "program; if not, write to the Free Software\n    Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.")
+LGPL = GPL2.replace("This program", "This library").replace("this program", "this library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of")
+AGPL = GPL.replace("GNU General", "GNU Affero General")
+MIT = """Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES.
+"""
+WRAPPED = {"GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL2, "LGPL-2.1-or-later": LGPL, "AGPL-3.0-or-later": AGPL, "MIT": MIT, "BSD-3-Clause": BSD}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "; "])
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrapped_licenses(name, mark):
+    text = "\n".join((mark + line).rstrip() for line in WRAPPED[name].splitlines())
+    got = licenses.recognise(f"int main;\n{text}\n")
+    assert (got[0], got[2]) == ([name], 0), got
+
+
+def test_unknown_wrapped_sentence_is_reported():
+    assert licenses.recognise("Permission is hereby\nGranted to all who ask for it.")[2] == 1
