@@ -4,6 +4,8 @@ Method: for every node of the page's tree, characters per tag adjusted for links
 the subtree of the largest sum is the article. The threshold is the least density on the path from the body to it:
 other nodes at or above it bring the largest-sum subtree among theirs. Elements that are no article text whatever their
 density (scripts, menus, page headers, footers, sidebars, notices, adverts, forms, reader comments) leave the tree first.
+Names count as whole class and id tokens, not for headings and, within an article, not by id. An element that is out by
+its name alone but holds most of the page's text outside links is judged by density.
 
 A null, empty or text-free page gives an empty text. Malformed pages are read as browsers do, near enough: open elements
 end with their ancestors, a paragraph ends where a block begins. Whole pages are read, whatever their length and depth.
@@ -38,6 +40,11 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 #: Words of a class, id or role that name what is no article text.
 NOISE = frozenset("nav navbar navigation menu sidebar footer banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar masthead complementary contentinfo search login signup".split())
 PAGE_ONLY = frozenset({"header", "topbar"})
+#: Words that may stand beside these in one token and leave its meaning.
+PLACES = frozenset("left right top bottom main primary secondary global site wrapper container inner outer box bar block area slot unit widget list links item items icons buttons".split())
+#: Names of what is no article text even where it is most of the page.
+NEVER = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond cookie cookies consent gdpr newsletter subscribe subscription login signup".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Tree:
@@ -45,6 +52,8 @@ class Tree:
 
     def __init__(self) -> None:
         self.tag, self.parent, self.parts = ["#root"], [-1], [[]]
+        #: Characters outside links, of the page and of each element that is out by its name: (place in the page, characters).
+        self.unlinked, self.named = 0, []
 
     def add(self, tag: str, parent: int) -> int:
         self.tag.append(tag)
@@ -54,40 +63,55 @@ class Tree:
         return len(self.tag) - 1
 
 
-def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
+def _noise(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no article text, and whether that is by its name alone."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return True, False
     if "=" not in attrs and "hidden" not in attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return False, False
     if re.search(r"(?:^|\s)hidden(?=[\s/>=]|$)", attrs):
-        return True
+        return True, False
+    named = False
     for name, *values in _ATTR.findall(attrs):
-        value = "".join(values).lower()
-        if name.lower() in ("class", "id", "role"):
-            words = set(_WORD.findall(value))
-            if words & NOISE or (not in_article and words & PAGE_ONLY):
-                return True
-        elif name.lower() == "aria-hidden" and value == "true" or name.lower() == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
-
-
-def parse(page: str) -> Tree:
-    """The tree of what may be article text; what may not is left out while reading."""
+        name, value = name.lower(), "".join(values).lower()
+        if name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True, False
+        if name in ("class", "id", "role") and tag not in HEADINGS and not (name == "id" and in_article):
+            for token in value.split():
+                words = {w for w in _WORD.findall(token) if len(w) > 1}
+                said = words & NOISE if in_article else words & (NOISE | PAGE_ONLY)
+                if said and words - said <= PLACES:
+                    if words & NEVER:
+                        return True, False
+                    named = True
+    return named, named
+
+
+def parse(page: str, kept: frozenset[int] = frozenset()) -> Tree:
+    """The tree of what may be article text; what may not is left out while reading, but for elements named at kept places."""
     tree, open_, at = Tree(), [0], 0
     skipped = articles = 0  # open elements inside which everything is left out; open article elements
-    marks: list[bool] = [False]  # for each open element, whether it began something left out
+    sure = links = 0  # open elements left out by more than their name; open links
+    marks = [(False, False, 0, 0)]  # of each open element: whether left out, by name alone, its place, unlinked text before
     low = None
 
     def text(part: str) -> None:
+        if part and not sure and not links:
+            tree.unlinked += sum(map(len, part.split()))
         if part and not skipped:
             tree.parts[open_[-1]].append(html.unescape(part) if "&" in part else part)
 
     def close(to: int) -> None:
-        nonlocal skipped, articles
+        nonlocal skipped, articles, sure, links
         while len(open_) > to:
-            articles -= names.pop() == "article"
-            skipped -= marks.pop()
+            tag = names.pop()
+            out, named, place, before = marks.pop()
+            articles -= tag == "article"
+            links -= tag == "a"
+            sure -= out and not named
+            skipped -= out and place not in kept
+            if named:
+                tree.named.append((place, tree.unlinked - before))
             open_.pop()
 
     names = ["#root"]
@@ -125,13 +149,16 @@ def parse(page: str) -> Tree:
             at = len(page) if end < 0 else end
         if tag in ("html", "body") and tag in names:
             continue
-        noise = not skipped and _is_noise(tag, m[3], articles > 0)
-        skipped += noise
+        out, named = (False, False) if sure else _noise(tag, m[3], articles > 0)
+        sure += out and not named
+        skipped += out and m.start() not in kept
         open_.append(open_[-1] if skipped or tag in INLINE else tree.add(tag, open_[-1]))
         names.append(tag)
-        marks.append(noise)
+        marks.append((out, named, m.start(), tree.unlinked))
         articles += tag == "article"
+        links += tag == "a"
     text(page[at:])
+    close(1)
     return tree
 
 
@@ -183,6 +210,8 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     tree = parse(page)
+    if most := frozenset(place for place, held in tree.named if 2 * held > tree.unlinked):
+        tree = parse(page, most)
     chosen = main_nodes(tree)
     blocks: list[str] = []
     held: list[str] = []

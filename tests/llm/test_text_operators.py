@@ -180,3 +180,19 @@ def test_wrapped_licenses(name, mark):
 
 def test_unknown_wrapped_sentence_is_reported():
     assert licenses.recognise("Permission is hereby\nGranted to all who ask for it.")[2] == 1
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar", "search-results", "share-enabled", "comments-open", "search", "sidebar"])
+def test_wrapper_names_do_not_drop_the_article(name):
+    for attr in ("class", "id"):
+        assert html_text.extract(page(f'<div {attr}="{name}"><p>{LONG}</p><p>{LONG}</p></div>')) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_headings_and_fragments_stay():
+    body = f'<article><h2 id="related-work">Related work</h2><p>{LONG}</p><h2 id="search">Search</h2><section id="search-algorithms"><p>{LONG}</p></section></article>'
+    assert html_text.extract(page(body)) == f"Related work\n\n{LONG.strip()}\n\nSearch\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("name", ["sidebar-left", "nav-main", "ad-slot ad-300x250", "comment-list", "footer-links"])
+def test_noise_beside_an_article_stays_out(name):
+    assert html_text.extract(page(f'<div class="content"><p>{LONG}</p><p>{LONG}</p></div><div class="{name}"><p>{LONG}</p></div>')) == f"{LONG.strip()}\n\n{LONG.strip()}"
