@@ -43,10 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared folder."""
+    return f"{shared_dir(spark)}/provlake-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, so a lost executor costs a reread only."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/provlake-{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,14 +61,21 @@ def remove(df: DataFrame) -> None:
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/provlake-" in folder:
+        if f"/provlake-{spark.sparkContext.applicationId}/" in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Whole texts travel to Python in batches: bound them by rows so that long texts fit a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: The most bytes of one batch that travels to a Python worker, but for a single row that is longer.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts and vectors travel to Python in batches: bound them by bytes, so that rows of any length fit a worker.
+    One value for the session, as results are lazy; a value that the session has already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "-1", str(2**31 - 1)):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -78,13 +90,10 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table that written() left in the shared folder, when no result that reads one is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(path):
-        for status in files.listStatus(path):
-            if status.getPath().getName().startswith("provlake-"):
-                files.delete(status.getPath(), True)
+    """Delete every table that written() left for this application, when no result that reads one is needed any more.
+    Tables of other applications in the same shared folder stay."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Up to so many ids a table of ids is broadcast (some 16 MB); beyond it the join is shuffled.

@@ -1,6 +1,7 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
-from provlake.runtime import clear, remove, shared_dir, spread, written
+from provlake.runtime import BATCH_BYTES, bounded_batches, clear, remove, shared_dir, spread, written
 
 
 def test_written_cuts_lineage_and_can_be_removed(spark):
@@ -8,8 +9,19 @@ def test_written_cuts_lineage_and_can_be_removed(spark):
     assert a.count() == 5 and a.schema["x"].dataType.typeName() == "long" and shared_dir(spark) in a.inputFiles()[0]
     remove(a)
     assert b.count() == 3
+    other = f"{shared_dir(spark)}/provlake-another-application/t"
+    spark.range(4).write.parquet(other)
     clear(spark)
-    assert not any("provlake-" in f for f in spark.sparkContext._jvm.java.io.File(shared_dir(spark).removeprefix("file:")).list() or [])
+    own = f"provlake-{spark.sparkContext.applicationId}"
+    assert own not in (spark.sparkContext._jvm.java.io.File(shared_dir(spark).removeprefix("file:")).list() or [])
+    assert spark.read.parquet(other).count() == 4
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    bounded_batches(spark)
+    sizes = lambda batches: (pd.DataFrame({"n": [int(b["t"].str.len().sum())]}) for b in batches)
+    df = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("t"))
+    assert max(r["n"] for r in df.mapInPandas(sizes, "n long").collect()) <= 1.1 * BATCH_BYTES
 
 
 def test_spread_moves_only_few_parts(spark, tmp_path):
