@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.runtime import ship, small_batches
+from provlake.runtime import ship, bounded_batches
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z)))""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -241,7 +241,7 @@ def extract(page: str | None) -> str:
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def texts(pages: pd.Series) -> pd.Series:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.runtime import ship, small_batches
+from provlake.runtime import ship, bounded_batches
 
 # Licence sentences in normalised form, as patterns for whole sentences.
 SENTENCES = [
@@ -180,7 +180,7 @@ def recognise(text: str | None) -> tuple[list[str], list[str], int]:
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, licenses and sentence_ids (comma-joined, in order), n_sentences and n_unknown of every row."""
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("licenses string, sentence_ids string, n_sentences long, n_unknown long")
     def scan(texts: pd.Series) -> pd.DataFrame:

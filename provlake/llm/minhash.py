@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from provlake.llm.components import components
 from provlake.llm.shingles import mix, shared, shingle_set
-from provlake.runtime import checked_ids, ship, small_batches, written
+from provlake.runtime import checked_ids, ship, bounded_batches, written
 
 BANDS, ROWS = 22, 5
 TILE = 256
@@ -160,7 +160,7 @@ def _mixed_buckets(members: DataFrame, labels: DataFrame, texts: DataFrame, word
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id and kept for every row. percent: documents link if 100 |A and B| >= percent |A or B|."""
     ship(df.sparkSession)
-    small_batches(df.sparkSession, 100)
+    bounded_batches(df.sparkSession)
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     least = least_agreement(percent)
     sketched = written(docs.select("id", sketch_udf(words)("text").alias("s")).select("id", "s.*"), "sketch")

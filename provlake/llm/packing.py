@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provlake.llm import bpe
-from provlake.runtime import ship, small_batches, written
+from provlake.runtime import ship, bounded_batches, written
 
 RUNS = T.StructType([T.StructField(c, T.LongType(), False) for c in ("length", "run_from", "run_to", "first_bin", "in_bin", "filled")])
 
@@ -96,7 +96,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
 def pieces_of(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> DataFrame:
     """Each document's ids and the end id, cut into pieces of at most `capacity`; only the first may be shorter."""
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     end = end_id.to_bytes(4, "little")
 
     def every(batches: Iterator[pd.Series]) -> Iterator[list[bytes]]:

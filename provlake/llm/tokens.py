@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provlake.llm import bpe
-from provlake.runtime import ship, small_batches
+from provlake.runtime import ship, bounded_batches
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
@@ -26,7 +26,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tokenizer: a name of the public tokenizers, or the path of a tokenizers JSON file that every worker can open.
     """
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provlake.runtime import ship, small_batches, written
+from provlake.runtime import ship, bounded_batches, written
 
 MAX_LABELLED = 20_000
 MAX_CANDIDATES = 20_000
@@ -143,7 +143,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """The model from labelled rows whose crc32 of the id as text leaves a remainder by 5 (the others are held out)."""
     ship(docs.sparkSession)
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # bounded, so it may be broadcast
