@@ -37,6 +37,140 @@ def test_odd_pages():
     assert html_text.extract("<article><p>x &lt; y <b") == "x < y"
 
 
+@pytest.mark.parametrize(
+    "body",
+    [f"<div class='{c}'><h1>Title</h1><p>{LONG}</p></div>" for c in ("post no-sidebar", "entry with-sidebar", "content ad-free", "share-story", "search-results", "notice-board", "post has-sidebar", "story comments-open")]
+    + [
+        f"<section class='post has-sidebar'><h1>Title</h1><p>{LONG}</p></section>",
+        f"<main><header><h1>Title</h1></header><p>{LONG}</p></main>",
+        f"<div class='post'><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></div>",
+        f"<div class='post'><header><h1>Title</h1></header><p>{LONG}</p><p>{LONG}</p></div>".replace(f"<p>{LONG}</p></div>", "</div>"),
+        f"<form><main><h1>Title</h1><p>{LONG}</p></main></form>",
+        f"<div class='share'><main><h1>Title</h1><p>{LONG}</p></main></div>",
+        f"<header><h1>My Site</h1><nav>x</nav></header><article><h1>Title</h1><p title='the hidden cost' data-x='aria-hidden=true'>{LONG}</p></article>",
+        f"<article><h1 class='banner'>Title</h1><p class=hidden-gem>{LONG}</p><p class='a' hidden>no</p><div hidden=''>no</div><div class='x' aria-hidden=\"true\">no</div></article>",
+        f"<article><h1>Title</h1><p data-note=don't>{LONG}</p></article>",
+    ],
+)
+def test_articles_stay_whole(body):
+    assert html_text.extract(page(body)) == f"Title\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("gone", ["<div class='ads'>{}</div>", "<div id=comments><article><p>{}</p></article></div>", "<ol class='comment-list'><li>{}</ol>", "<div class='sidebar left'><p>{}</div>", "<div class='sidebar-left'>{}</div>", "<div role=navigation>{}</div>", "<dialog open>{}</dialog>", "<footer><h2>More</h2>{}</footer>", "<div style='color:red; DISPLAY : none'>{}</div>", "<span class='ad'>{}</span>", "<SCRIPT>İİİİ</p>{}</Script >"])
+def test_what_is_no_article_goes(gone):
+    body = f"<article><h1>Title</h1><p>{LONG}</p>{gone.format('Words of another kind.')}<p>{LONG}</p></article>"
+    assert html_text.extract(page(body)) == f"Title\n\n{LONG.strip()}\n\n{LONG.strip()}"
+    assert html_text.extract(page(f"<h1>Title</h1><p>{LONG}</p>{gone.format('Words of another kind.')}")) == f"Title\n\n{LONG.strip()}"
+
+
+def test_time_grows_with_length_only():
+    import time
+
+    def took(body):
+        began = time.perf_counter()
+        got = html_text.extract(body)
+        return time.perf_counter() - began, got
+
+    n = 200_000
+    for body in ("<b>" * n + "core" + "</i>" * n, "<div>" * n + "core" + "</div>" * n, "<p><a href=x>" * n + "core", "<li><table><b>" * n + "core", "core" + "<p class='" * n, "<div " + "a" * 2 * n + ">core", "core" + "<" * n, "<ul><li>" * n + "core" + "</dt></li>" * n):
+        seconds, got = took(body)
+        assert seconds < 20 and "core" in got
+
+
+def brute_main_text(root):
+    """The definition, by recursion over an element tree without inline markup or noise; root: what holds the page."""
+    import math
+
+    parts = {e: [x for x in [e.text, *[y for c in e for y in (c, c.tail)]] if x is not None] for e in root.iter()}
+
+    def total(e, of):
+        return of(e) + sum(total(c, of) for c in e)
+
+    def own(e):
+        return sum(len(" ".join(x.split())) for x in parts[e] if isinstance(x, str))
+
+    def linked(e):
+        return total(e, own) if e.tag == "a" else sum(linked(c) for c in e)
+
+    def density(e):
+        c, t = total(e, own), max(1, sum(1 for _ in e.iter()) - 1)
+        lc, lt = linked(e), max(1, sum(x.tag == "a" for x in e.iter()) - (e.tag == "a"))
+        if not c:
+            return 0.0
+        ratio = linked(root) / max(1, total(root, own))
+        if not ratio:
+            return c / t
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(math.log(c / max(1, c - lc) * lc + ratio * c + math.e))
+
+    def sums(e):
+        return sum(map(density, e)) if len(e) else density(e)
+
+    best = max(root.iter(), key=sums)  # the first, that is the outermost, on ties
+    up = {c: e for e in root.iter() for c in e}
+    path, e = [best], best
+    while e in up:
+        e = up[e]
+        path.append(e)
+    least = min(density(e) for e in path[:-1]) if len(path) > 1 else density(best)
+    chosen = {max(e.iter(), key=sums) for e in root.iter() if density(e) >= least and density(e) > 0}
+    blocks, held = [], []
+
+    def flush():
+        blocks.append(" ".join("".join(held).split()))
+        held.clear()
+
+    def walk(e, inside):
+        inside = inside or e in chosen
+        block = e.tag in html_text.BLOCK or e in chosen
+        flush() if block else None
+        for x in parts[e]:
+            if not isinstance(x, str):
+                walk(x, inside)
+            elif inside:
+                held.append(x)
+        flush() if block else None
+
+    walk(root, False)
+    flush()
+    return "\n\n".join(b for b in blocks if b)
+
+
+def test_against_brute_force():
+    import random
+    from xml.etree import ElementTree
+
+    rnd = random.Random(5)
+
+    def node(depth):
+        tag = rnd.choice(["div", "div", "section", "a", "p"]) if depth else "body"
+        words = lambda: " ".join(rnd.choice(["one", "three", "seventeen", "x"]) for _ in range(rnd.choice([0, 0, 1, 4, 30])))
+        if tag in ("p", "a") or depth > 4:
+            return f"<{tag}>{words()}</{tag}>"
+        return f"<{tag}>{words()}{''.join(node(depth + 1) + rnd.choice(['', ' ', words()]) for _ in range(rnd.randint(0, 4)))}</{tag}>"
+
+    for _ in range(300):
+        source = node(0)
+        assert html_text.extract(source) == brute_main_text(ElementTree.fromstring(f"<root>{source}</root>")), source
+
+
+def test_pages_of_the_test_tables():
+    """The generated pages: the blocks of the article element, and nothing else."""
+    import html
+    import os
+    import re
+
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    for source in pq.read_table(path, columns=["html"])["html"].to_pylist():
+        body = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", source or "", re.S)
+        parts = re.split(r"</?(?:h1|p)>", body[1]) if body else []
+        blocks = [" ".join(html.unescape(re.sub(r"<br>", " ", x).replace("<b>", "").replace("</b>", "")).split()) for x in parts]
+        assert html_text.extract(source) == "\n\n".join(b for b in blocks if b)
+
+
 def test_links_lower_density():
     tree = html_text.parse(page("<div><a href=/>menu words here</a> <a href=/>and here</a></div><div>plain words that stand here</div>"))
     density, _ = html_text.densities(tree)
