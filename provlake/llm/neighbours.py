@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from provlake.llm import vectors
 
-PROJECTIONS = 256
+PROJECTIONS = 192
 #: The chance that a standard normal number lies within 1 of its mean: the collision rate at distance R.
 RATE = 0.6826894921
-MARGIN = 1.5
+MARGIN = 1.25
 THRESHOLD = int(PROJECTIONS * RATE - MARGIN * (PROJECTIONS * RATE * (1 - RATE)) ** 0.5)
 GROWTH = 1.05
 #: Rows of a shard from whose distances the first radius is taken.
@@ -66,11 +66,11 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     keep = sizes > 0
     starts, sizes = starts[keep], sizes[keep]
     if not len(sizes):
-        return np.zeros(0, np.int64)
-    out = np.ones(int(sizes.sum()), np.int64)
+        return np.zeros(0, np.int32)
+    out = np.ones(int(sizes.sum()), np.int32)
     out[0] = starts[0]
     out[np.cumsum(sizes)[:-1]] = starts[1:] - starts[:-1] - sizes[:-1] + 1
-    return np.cumsum(out)
+    return np.cumsum(out, dtype=np.int32)
 
 
 def search_shard(held: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[pd.DataFrame, int]:
