@@ -4,18 +4,23 @@ Method: texts are folded (case, compatibility forms, zero-width and combining ma
 substitutions inside words) and searched by Aho-Corasick; hits inside exception phrases do not count; the sum of the
 hits' weights and its ratio to the length in words give the score through a logistic curve.
 
-The lexicon is a list of insults, and terms learned from labelled rows: parts of words that occur in toxic documents
-far more often than in clean ones (lower confidence bound of the log odds). Learning uses a bounded sample of the
-labelled rows, `max_labelled`, in the order of a hash; every document is scored.
-
-A null or empty text scores as one without hits. A label or a doc_id that is null is not learned from. Without labels of
-both kinds the weights fall back to the list and a fixed curve.
+The lexicon is a list of insults, and terms learned from labelled rows: beginnings and inner parts of words that are far
+more frequent in toxic documents than in clean ones (lower confidence bound of the log ratio of their rates, in which a
+document's repetitions count by their logarithm). Every such part that enough toxic documents hold is a candidate, and
+every candidate whose bound is high enough is a term, but for those that contain or are contained in a better one.
+Learning uses a bounded sample of the labelled rows, `max_labelled`, in the order of a hash; every document is scored, in
+time in proportion to its length.
+
+A null or empty text scores as one without hits. A label or a doc_id that is null is not learned from. Rows that repeat
+an id are each learned from, with the greater label, and each scored. Without labels of both kinds the weights fall back
+to the list and a fixed curve. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -30,10 +35,12 @@ from pyspark.sql import functions as F
 from provlake.runtime import ship, bounded_batches, written
 
 MAX_LABELLED = 20_000
-MAX_CANDIDATES = 20_000
-MAX_TERMS = 2_000
+#: Lengths of the inner parts of words, and of the beginnings, that are counted.
 SIZES = (4, 5, 6, 7, 8)
-LEAST_WEIGHT = 2.5
+STARTS = (3, 4, 5, 6, 7, 8)
+#: A candidate is in so large a share of the toxic documents, and in so many, at least.
+LEAST_SHARE, LEAST_DOCUMENTS = 0.01, 4
+LEAST_WEIGHT = 2.0
 PRIOR_WEIGHT = 2.5
 
 # Insults as whole words, and phrases in which they insult nobody.
@@ -84,7 +91,7 @@ def _automaton(terms: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]
         found = ahocorasick.Automaton()
         for term, weight in terms:
             # A digit 1 may have stood for l as well as for i.
-            for form in {term, term.replace("l", "i")} if term[0] == " " else {term}:
+            for form in {term, term.replace("l", "i")} if term[0] == term[-1] == " " else {term}:
                 found.add_word(form, (len(form), weight))
         for phrase in exceptions:
             found.add_word(f" {phrase} ", (len(phrase) + 2, 0.0))
@@ -102,8 +109,20 @@ def features(text: str | None, automaton) -> tuple[float, float]:
     for end, (size, weight) in automaton.iter(folded) if len(folded) > 2 else ():
         (hits if weight else spans).append((end + 1 - size, end + 1, weight))
     if spans:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spans)]
-    return sum(h[2] for h in hits), folded.count(" ") - 1
+        hits = _outside(hits, spans)
+    return sum(h[2] for h in hits), folded.count(" ") - 1 if len(folded) > 2 else 0
+
+
+def _outside(hits: list[tuple], spans: list[tuple]) -> list[tuple]:
+    """The hits that lie in no span. Both come in the order of their ends, so one pass from the last will do."""
+    out, least, k = [], np.inf, len(spans) - 1
+    for hit in reversed(hits):
+        while k >= 0 and spans[k][1] >= hit[1]:
+            least = min(least, spans[k][0])
+            k -= 1
+        if least > hit[0]:
+            out.append(hit)
+    return out[::-1]
 
 
 def _curve(total: np.ndarray, words: np.ndarray, curve: tuple[float, float, float]) -> np.ndarray:
@@ -111,20 +130,57 @@ def _curve(total: np.ndarray, words: np.ndarray, curve: tuple[float, float, floa
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _grams(text: str | None) -> set[str]:
-    out = set()
-    for w in set(_WORDS.findall(fold(text or ""))):
-        for n in SIZES:
-            out.update(w[k : k + n] for k in range(len(w) - n + 1))
+def _grams(text: str | None, among: frozenset[str] | None = None) -> dict[str, int]:
+    """How often each part of a word occurs in the text; a beginning has a space before it. among: only these."""
+    out: dict[str, int] = {}
+    for w, n in Counter(_WORDS.findall(fold(text or ""))).items():
+        parts = {w[k : k + size] for size in SIZES for k in range(len(w) - size + 1)}
+        parts.update(" " + w[:size] for size in STARTS if len(w) >= size)
+        for part in parts if among is None else parts & among:
+            out[part] = out.get(part, 0) + n
     return out
 
 
-def _count(batches: Iterator[pd.DataFrame], of) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pd.DataFrame], among: frozenset[str] | None = None) -> Iterator[pd.DataFrame]:
+    """(gram, documents, hits) of each batch. A document's occurrences count by their logarithm, so that no junk that
+    repeats one word decides."""
     for batch in batches:
-        n: Counter = Counter()
+        documents: Counter = Counter()
+        hits: dict[str, float] = {}
         for text in batch["text"]:
-            n.update(of(text))
-        yield pd.DataFrame({"gram": list(n), "n": list(n.values())}).astype({"gram": object, "n": "int64"})
+            got = _grams(text, among)
+            documents.update(got.keys())
+            for gram, n in got.items():
+                hits[gram] = hits.get(gram, 0.0) + (1.0 if n == 1 else math.log2(1 + n))
+        names = list(documents)
+        yield pd.DataFrame({"gram": names, "documents": [documents[g] for g in names], "hits": [hits[g] for g in names]}).astype(
+            {"gram": object, "documents": "int64", "hits": "float64"}
+        )
+
+
+def _counted(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
+    # Sums of rounded hits do not depend on the order of the rows.
+    found = rows.select("text").mapInPandas(lambda b: _count(b, among), "gram string, documents long, hits double")
+    return found.groupBy("gram").agg(F.sum("documents").alias("documents"), F.sum(F.round(F.col("hits") * 1024).cast("long")).alias("hits"))
+
+
+def chosen_terms(pos: dict[str, tuple[int, float]], neg: dict[str, float], words: tuple[int, int]) -> dict[str, float]:
+    """Terms and weights from the candidates' (documents, hits) in toxic rows, their hits in clean ones and both sides'
+    words."""
+    weights = {}
+    for gram, (_, a) in pos.items():
+        b = neg.get(gram, 0.0)
+        ratio = math.log((a + 0.5) / (words[0] + 1)) - math.log((b + 0.5) / (words[1] + 1))
+        if (low := ratio - 1.645 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))) >= LEAST_WEIGHT:
+            weights[gram] = round(low, 4)
+    kept: dict[str, float] = {}
+    held: set[str] = set()  # every part of the terms kept
+    for gram in sorted(weights, key=lambda g: (-round(pos[g][1] * weights[g], 3), -len(g), g)):
+        parts = {gram[a:b] for a in range(len(gram)) for b in range(a + 1, len(gram) + 1)}
+        if gram not in held and not parts & kept.keys():
+            kept[gram] = weights[gram]
+            held |= parts
+    return kept
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -154,25 +210,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not pos or not neg:
         return Model(tuple(sorted(base.items())), tuple(EXCEPTIONS), (-3.0, 1.0, 1.0))
 
-    least = max(4, int(0.015 * pos))
-    counted = sample.where("y = 1").select("text").mapInPandas(lambda b: _count(b, _grams), "gram string, n long")
-    rows = counted.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(MAX_CANDIDATES).collect()
-    often = {r["gram"]: r["n"] for r in rows}
-
-    def among(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _count(batches, lambda text: _grams(text) & often.keys())
-
-    clean = {r["gram"]: r["n"] for r in sample.where("y = 0").select("text").mapInPandas(among, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    weights = {}
-    for gram, a in often.items():
-        b = clean.get(gram, 0)
-        odds = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
-        weights[gram] = float(odds - 1.645 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
-    kept: list[str] = []
-    for gram in sorted((g for g in weights if weights[g] >= LEAST_WEIGHT), key=lambda g: (-often[g], -len(g), g)):
-        if len(kept) < MAX_TERMS and not any(g in gram or gram in g for g in kept):
-            kept.append(gram)
-    terms = tuple(sorted((base | {g: round(weights[g], 4) for g in kept}).items()))
+    least = max(LEAST_DOCUMENTS, int(LEAST_SHARE * pos))
+    n_words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")).cast("long")
+    sides = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.sum(n_words).alias("n")).collect()}
+    # Bounded, as the sample is.
+    rows = _counted(sample.where("y = 1")).where(F.col("documents") >= least).collect()
+    often = {r["gram"]: (r["documents"], r["hits"] / 1024) for r in rows}
+    among = frozenset(often)
+    clean = {r["gram"]: r["hits"] / 1024 for r in _counted(sample.where("y = 0"), among).collect()}
+    terms = tuple(sorted((base | chosen_terms(often, clean, (sides[1], sides[0]))).items()))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = _automaton(terms, tuple(EXCEPTIONS))
