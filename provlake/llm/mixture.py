@@ -3,13 +3,13 @@
 Method: each source's mean repetition rate is what brings its share of the corpus to its target weight. A document's
 number of copies inverts the Poisson distribution of that mean at a uniform number hashed from the seed and its id, so
 a rerun or a retried task gives the same copies. A mean above PART is split into equal parts, each drawn with a uniform
-number of its own: sums of Poisson counts are Poisson, so no mean is too large. Documents are exploded by their count and shuffled globally: rows are
-dealt to partitions by a hash of (seed, id, copy) and sorted by it.
+number of its own: sums of Poisson counts are Poisson, so no mean is too large. Documents are exploded by their count
+and shuffled globally: rows are dealt to partitions by a hash of (seed, id, copy) and sorted by it.
 
-A null source is a source of its own. A null or empty text counts 0 characters but is kept as any other. Rows that
-repeat an id get the same number of copies each. With no rows, or no characters at all, nothing is returned. Other
-columns are carried along unchanged. A source without characters has no rate; its rows are not drawn, as in the SQL. More
-than 2^31 - 1 copies of one row are an overflow error.
+A null source is a source of its own. A null or empty text counts 0 characters but is kept as any other. A source whose
+texts hold no characters can have no share of the characters: its rows are repeated `epochs` times on average, unless
+weights are given and leave it out. Rows that repeat an id get the same number of copies each. With no rows nothing is
+returned. Other columns are carried along unchanged. More than 2^31 - 1 copies of one row are an overflow error.
 """
 
 from __future__ import annotations
@@ -54,17 +54,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """
     size = F.length(F.coalesce(df[text_col], F.lit("")))
     sources = df.groupBy(df[source_col].alias("__source")).agg(F.sum(size).cast("double").alias("__size"))
-    sources = sources.where("__size > 0")
     if weights is None:
-        wanted = F.pow("__size", F.lit(float(tau)))
+        wanted = F.when(F.col("__size") > 0, F.pow("__size", F.lit(float(tau)))).otherwise(F.lit(1.0))
     else:
         pairs = [x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]
         wanted = F.coalesce(F.create_map(*pairs)[F.col("__source")], F.lit(0.0)) if pairs else F.lit(0.0)
     sources = sources.withColumn("__wanted", wanted)
-    n, total, share = sources.agg(F.count("*"), F.sum("__size"), F.sum("__wanted")).first()
-    if n and not share:
+    held = F.col("__size") > 0
+    n, total, share, weight = sources.agg(F.count("*"), F.sum("__size"), F.sum(F.when(held, F.col("__wanted"))), F.sum("__wanted")).first()
+    if n and not weight:
         raise ValueError("no source has a weight")
-    rate = F.col("__wanted") / F.col("__size") * ((total or 0.0) * epochs / (share or 1.0))
+    scale = (total or 0.0) * epochs / (share or 1.0)
+    without = F.when(F.col("__wanted") > 0, F.lit(float(epochs))).otherwise(F.lit(0.0))
+    rate = F.when(held, F.col("__wanted") / F.col("__size") * scale).otherwise(without)
     table = sources.withColumn("__rate", rate).withColumn("__parts", F.greatest(F.ceil(F.col("__rate") / PART), F.lit(1)))
     table = table.select("__source", "__rate", "__parts", poisson_cdf(F.col("__rate") / F.col("__parts")).alias("__cdf"))
     docs = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[source_col].alias("__key"), uniform(seed, df[id_col]).alias("__u"), df[id_col].alias("__id"))
@@ -74,6 +76,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         docs = docs.withColumn("__own", F.pmod(F.xxhash64("__id", "__u"), F.lit(SALTS)).cast("int"))
         joined = docs.join(salted, F.col("__key").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt")))
+
     def drawn_at(u: Column) -> Column:
         return F.size(F.filter("__cdf", lambda c: c < u))
 

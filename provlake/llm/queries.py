@@ -43,7 +43,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.findings(docs, secrets.scan(docs), keep=["doc_id"])
+    found = secrets.findings(docs, secrets.up_to_date(docs), keep=["doc_id"])
     base = [r.kind for r in secrets.RULES if r.base]
 
     def count(kind: str):
@@ -69,7 +69,7 @@ MIXTURE_SQL = """
 WITH RECURSIVE sized AS (
   SELECT source, sum(length(coalesce(text, '')))::DOUBLE AS size FROM documents GROUP BY source
 ), shares AS (
-  SELECT source, pow(size, 0.5) / size * ((SELECT sum(size) FROM sized) / (SELECT sum(pow(size, 0.5)) FROM sized WHERE size > 0)) AS rate FROM sized WHERE size > 0
+  SELECT source, CASE WHEN size > 0 THEN pow(size, 0.5) / size * ((SELECT sum(size) FROM sized) / (SELECT sum(pow(size, 0.5)) FROM sized WHERE size > 0)) ELSE 1.0 END AS rate FROM sized
 ), drawn AS (
   SELECT d.*, s.rate, (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source

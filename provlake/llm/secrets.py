@@ -1,13 +1,19 @@
 r"""Operator 8: secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Method: every version of a text is content-addressed by SHA-256; only (blob, rule version) pairs that the ledger does
-not hold are scanned, once each whatever the number of paths; findings join back to all paths of the blob.
+not hold are scanned, once each whatever the number of paths; findings join back to all paths of the blob. The ledger is
+a table that outlasts the run: the setting LEDGER names its folder, which every later run reads and extends; a run
+without the setting starts one of its own. Runs that extend one ledger at the same time may both add a blob: it counts once.
+
+Only a text that can hold a match (plain substring tests tell) travels to be scanned or to be joined with its findings;
+of any other the ledger takes the digest alone, so a clean text moves nowhere, however often it repeats.
 
 Positions come from one pattern: `\G(?s:.*?)(RULE)` extracts, for each leftmost non-overlapping match, the match
 together with the text since the last one, so running sums of lengths give starts and ends in code points. `\G` makes
 the search after the last match end at once.
 
-A null text is an empty blob. A row is returned for every path given, repeated rows included.
+A null text is an empty blob. A row is returned for every path given, repeated rows included. Other columns are carried
+along; with no rows nothing is returned.
 """
 
 from __future__ import annotations
@@ -22,6 +28,9 @@ from pyspark.sql import functions as F
 
 from provlake.runtime import written
 
+#: The session's setting that names the folder of the stored ledger, shared by all executors and runs.
+LEDGER = "provlake.secrets.ledger"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,16 +60,26 @@ RULES = (
 )
 HEX_RUN = "[0-9a-f]{16}"
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
+ENTRY = f"blob string, rules string, spans {SPAN}"
 
 
 def version(rules: tuple[Rule, ...] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()
 
 
+def _possible(text: Column, lower: Column, rule: Rule) -> Column:
+    """Whether a text can hold a match: plain substring tests are far cheaper than the patterns."""
+    return reduce(or_, [lower.contains(x) for x in rule.needles]) if rule.needles else text.rlike(HEX_RUN)
+
+
+def can_match(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a text can hold a match of any rule; false for a null text."""
+    return F.coalesce(reduce(or_, [_possible(text, F.lower(text), r) for r in rules]), F.lit(False))
+
+
 def _spans(text: Column, lower: Column, rule: Rule, no: int) -> Column:
     every = r"\G(?s:.*?)" + (rule.whole or rule.pattern)
-    # Only a text that can hold a match is searched: plain substring tests are far cheaper than the patterns.
-    possible = reduce(or_, [lower.contains(x) for x in rule.needles]) if rule.needles else text.rlike(HEX_RUN)
+    possible = _possible(text, lower, rule)
     with_gap, whole, part = (F.regexp_extract_all(text, F.lit(every), F.lit(g)) for g in (0, 1, 2))
     empty = F.array().cast("array<struct<start:int,end:int,size:int>>")
     rows = F.arrays_zip(with_gap.alias("g"), whole.alias("w"), part.alias("p"))
@@ -76,28 +95,46 @@ def _spans(text: Column, lower: Column, rule: Rule, no: int) -> Column:
     return F.when(possible, spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
-def blobs(df: DataFrame, text_col: str = "text") -> Column:
-    return F.sha2(F.coalesce(df[text_col], F.lit("")).cast("binary"), 256)
+def blob_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
 def scan(df: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows to add to the ledger: (blob, rules, spans) of each pair it does not hold yet."""
-    texts = df.select(blobs(df, text_col).alias("blob"), F.coalesce(df[text_col], F.lit("")).alias("__text"))
+    text = df[text_col]
+    texts = df.select(blob_of(text).alias("blob"), F.when(can_match(text, rules), text).alias("__text"))
     if ledger is not None:
         seen = ledger.where(F.col("rules") == version(rules)).select("blob")
         texts = texts.join(seen, "blob", "left_anti")
-    once = texts.groupBy("blob").agg(F.first("__text").alias("__text"))
-    once = once.withColumn("__lower", F.lower("__text"))
-    spans = F.array_sort(F.concat(*[_spans(F.col("__text"), F.col("__lower"), r, k) for k, r in enumerate(rules)]))
+    once = texts.groupBy("blob").agg(F.first("__text").alias("__text")).withColumn("__lower", F.lower("__text"))
+    every = F.array_sort(F.concat(*[_spans(F.col("__text"), F.col("__lower"), r, k) for k, r in enumerate(rules)]))
+    spans = F.when(F.col("__text").isNotNull(), every).otherwise(F.array().cast(SPAN))
     # Written: the ledger outlasts the run, and its readers do not scan again.
     return written(once.select("blob", F.lit(version(rules)).alias("rules"), spans.alias("spans")), "ledger")
 
 
+def up_to_date(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The stored ledger, extended by what df holds that it has not seen; without the setting, a ledger of df alone."""
+    spark = df.sparkSession
+    folder = spark.conf.get(LEDGER, None)
+    if not folder:
+        return scan(df, text_col, rules=rules)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    stored = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    added = scan(df, text_col, spark.read.schema(ENTRY).parquet(folder) if stored else None, rules)
+    if not added.isEmpty():
+        added.write.mode("append").parquet(folder)
+    return spark.read.schema(ENTRY).parquet(folder) if stored or not added.isEmpty() else added
+
+
 def findings(df: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
     """Every row of df, as (row STRUCT<the columns kept, all by default>, spans), with what the ledger holds for its blob."""
-    paths = df.select(F.struct(*[df[c] for c in keep or df.columns]).alias("row"), blobs(df, text_col).alias("__blob"))
-    known = ledger.where((F.col("rules") == version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
-    return paths.join(known, paths["__blob"] == known["blob"], "left").select("row", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    row, can = F.struct(*[df[c] for c in keep or df.columns]).alias("row"), can_match(df[text_col], rules)
+    none = F.array().cast(SPAN).alias("spans")
+    known = ledger.where((F.col("rules") == version(rules)) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
+    paths = df.where(can).select(row, blob_of(df[text_col]).alias("__blob"))
+    joined = paths.join(known, paths["__blob"] == known["blob"], "left").select("row", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return joined.unionByName(df.where(~can).select(row, none))
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:

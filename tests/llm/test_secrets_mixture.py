@@ -55,6 +55,44 @@ def test_ledger_is_incremental(spark):
     assert secrets.scan(later, ledger=ledger, rules=other).count() == 3  # another rule version has seen no blob
 
 
+def test_stored_ledger(spark, tmp_path):
+    """A second run of the query or of the pipeline's stage scans nothing; new texts are added."""
+    import corpus_pipeline
+
+    rows = texts()[:60]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set(secrets.LEDGER, f"{tmp_path}/ledger")
+    stored = lambda: spark.read.parquet(f"{tmp_path}/ledger")
+    try:
+        want = sorted(map(str, queries.op8_secrets(spark, str(tmp_path)).collect()))
+        files = set(stored().inputFiles())
+        assert stored().count() == len({t or "" for t in rows})
+        assert sorted(map(str, queries.op8_secrets(spark, str(tmp_path)).collect())) == want
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("n_chars", F.length("text"))
+        assert corpus_pipeline.without_secrets(spark, docs, "").count() == len(rows)
+        assert set(stored().inputFiles()) == files
+        more = docs.unionByName(docs.limit(1).withColumn("text", F.lit("token=abcdefghijklmnop and new")))
+        assert corpus_pipeline.without_secrets(spark, more, "").where("text = '[secret] and new'").count() == 1
+        assert stored().count() == len({t or "" for t in rows}) + 1
+        # What two runs added at once counts once.
+        stored().write.parquet(f"{tmp_path}/twice")
+        stored().write.mode("append").parquet(f"{tmp_path}/twice")
+        spark.conf.set(secrets.LEDGER, f"{tmp_path}/twice")
+        assert sorted(map(str, queries.op8_secrets(spark, str(tmp_path)).collect())) == want
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+    assert sorted(map(str, queries.op8_secrets(spark, str(tmp_path)).collect())) == want
+
+
+def test_sources_without_characters(spark):
+    df = docs(spark, 1000).withColumn("text", F.when(F.col("source").eqNullSafe("s8"), F.col("text")))
+    got = {r["source"]: r for r in mixture.mix(df, epochs=2.0).groupBy("row.source").agg(F.count("*").alias("n"), F.max("rate").alias("rate")).collect()}
+    assert got["hot"]["rate"] == got[None]["rate"] == got["s9"]["rate"] == 2.0 and abs(got["hot"]["n"] - 1400) < 6 * 1400**0.5
+    assert set(r["source"] for r in mixture.mix(df, weights={"s8": 1, "s9": 1}).select("row.source").distinct().collect()) == {"s8", "s9"}
+    nothing = mixture.mix(df.withColumn("text", F.lit(None).cast("string")))
+    assert abs(nothing.count() - 1000) < 6 * 1000**0.5
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é password=abcdefghijkl, x 0123456789abcdef"), (2, "password=0123456789abcdef!"), (3, "clean")], "doc_id long, text string")
     got = secrets.findings(df, secrets.scan(df)).select("row.doc_id", secrets.redact(F.col("row.text"), F.col("spans")).alias("t")).collect()
