@@ -75,12 +75,40 @@ def test_mixed_bucket_is_worked_off_in_tiles(spark, monkeypatch):
     assert {r["component_id"] for r in minhash.near_duplicates(df).collect()} == {0}
 
 
+def test_unlike_members_of_a_bucket_send_no_texts(spark, monkeypatch):
+    """Signatures that agree in one band only: the bucket is mixed, and no text goes to its tiles."""
+    rnd = np.random.default_rng(2)
+    seen = []
+    plain = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: seen.append((name, out := plain(df, name))) or out)
+    common = [f"c{k}" for k in range(30)]
+    texts = [" ".join([*common, *(f"u{d}w{rnd.integers(1 << 30)}" for _ in range(30))]) for d in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.near_duplicates(df).collect()} == set(range(120))
+    tables = dict(seen)
+    assert tables["members"].count() > 0 and tables["agreeing"].count() == 0
+
+
+def test_rows_that_repeat_an_id_apart(spark):
+    x, y, z = ([f"{c}{k}" for k in range(60)] for c in "xyz")
+    near = " ".join([*x[:59], "other"])
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (7, near), (3, " ".join(z)), (3, " ".join(z).upper()), (-4, " ".join(y) + " more"), (9, ""), (9, None), (None, near)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text_hash"]): (r["component_id"], r["kept"], r["least"]) for r in minhash.near_duplicates(df, apart=True).collect()}
+    hashes = [r[0] for r in df.select(__import__("pyspark").sql.functions.xxhash64("text")).collect()]
+    want = [(5, True, True), (-4, False, False), (5, False, False), (3, True, True), (3, True, True), (-4, True, True), (9, True, True), (9, True, True), (None, True, True)]
+    assert [got[i, h] for (i, _), h in zip(rows, hashes)] == want
+    assert {r["component_id"] for r in minhash.near_duplicates(df).where("doc_id = 7").collect()} == {-4}  # one node for each id
+
+
 def test_signature_estimates_similarity():
     rnd = np.random.default_rng(1)
     x = rnd.integers(0, 1 << 63, 2000, dtype=np.uint64)
-    a, b = minhash.signature(x[:1500]), minhash.signature(x[500:])
-    assert abs((a == b).mean() - 0.5) < 0.2 and (minhash.signature(x) == minhash.signature(x[::-1])).all()
-    assert (1 - 0.85**minhash.ROWS) ** minhash.BANDS < 1e-5
+    a, b = minhash.signature(x[:1500], 110), minhash.signature(x[500:], 110)
+    assert abs((a == b).mean() - 0.5) < 0.2 and (minhash.signature(x, 110) == minhash.signature(x[::-1], 110)).all()
+    for percent in (80, 85, 90):
+        assert (1 - (percent / 100) ** minhash.ROWS) ** minhash.bands(percent) < 1e-5
+    assert minhash.bands(85) == 22 and minhash.bands(100) == 1
 
 
 def test_shingles_against_words():
