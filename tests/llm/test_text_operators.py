@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from provlake.llm import html_text, licenses, toxicity
@@ -365,6 +367,167 @@ def test_wrapped_licenses(name, mark):
     assert (got[0], got[2]) == ([name], 0), got
 
 
+TEXTS = {
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+""",
+    "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE
+FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE.
+""",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+@pytest.mark.parametrize("name", TEXTS)
+def test_published_texts(name):
+    assert licenses.recognise("Some words.\n\n" + TEXTS[name] + "\nMore words.")[::2] == ([name], 0)
+
+
+@pytest.mark.parametrize(
+    "text, names, unknown",
+    [
+        ("Released under the BSD 3-Clause License.", ["BSD-3-Clause"], 0),
+        ("Licensed under the GPL v3.", ["GPL-3.0"], 0),
+        ("GPL v3", ["GPL-3.0"], 0),
+        ("Licensed under GPLv2 or later.", ["GPL-2.0-or-later"], 0),
+        ("Licensed under the EPL 1.0.", ["EPL-1.0"], 0),
+        ("Licensed under either MIT or Apache-2.0, at your option.", ["MIT OR Apache-2.0"], 0),
+        ("Dual licensed under the MIT license and the GNU GPL version 2 or later.", ["MIT AND GPL-2.0-or-later"], 0),
+        ("License: MIT", ["MIT"], 0),
+        ("The code is MIT licensed", ["MIT"], 0),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"], 0),
+        ("Released under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"], 0),
+        ("Licensed under the Foo License\nReleased under the MIT License", ["MIT"], 1),
+        ("Apache License\nVersion 2.0, January 2004\n\nYou must give any other recipients a copy of this License.\n\nEND OF TERMS AND CONDITIONS\n", ["Apache-2.0"], 0),
+        ("Apache License\nVersion 2.0, January 2004\n\nYou must give any other recipients a copy of this License.\n", ["Apache-2.0"], 1),
+        ("Copyright 2020 A. All rights reserved.", [], 0),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0\nint main;", ["MIT OR APACHE-2.0"], 0),
+        ("The warranty on the car expired.", [], 0),
+    ],
+)
+def test_notices(text, names, unknown):
+    assert licenses.recognise(text)[::2] == (names, unknown)
+
+
+def test_long_license_texts_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for part in ("licensed under the mit license. ", "this is free software you can\n", "license software under ", "Copyright 2020 A;\n"):
+        licenses.recognise(part * 30_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_foreign_sentences_within_a_license():
+    parts = MIT.split("\n\n")
+    for k in range(1, len(parts)):
+        text = "\n\n".join([*parts[:k], "This fork is licensed under the Frob terms.", *parts[k:]])
+        assert licenses.recognise(text)[::2] == (["MIT"], 1)
+
+
+def brute_identify(words):
+    """The longest entry at the beginning of the words, by trying every one of them."""
+    best = (0, None)
+    for name, pattern in licenses.SENTENCES:
+        for form in licenses._expanded(pattern):
+            parts = [r"\d{1,2}(?:\.\d+)*" if w == "<v>" else r"\S+(?: \S+){0,%d}?" % (licenses.GAP - 1) if w == "<x>" else re.escape(w) for w in form.removesuffix("...").split()]
+            if m := re.match(" ".join(parts) + r"(?= |$)", " ".join(words)):
+                if len(m[0].split()) > best[0]:
+                    best = (len(m[0].split()), name)
+    return best
+
+
+def test_sentence_table_against_brute_force():
+    import random
+
+    rnd = random.Random(8)
+    forms = [f for _, p in licenses.SENTENCES for f in licenses._expanded(p)]
+    assert len(licenses.SENTENCES) < 200
+
+    def filled():
+        return rnd.choice(forms).replace("<v>", rnd.choice(["2", "2.1", "3"])).replace("<x>", rnd.choice(["this thing", "a", "our own library here"])).removesuffix("...").split()
+
+    for _ in range(400):
+        words = filled()
+        if rnd.random() < 0.4:
+            words[rnd.randrange(len(words))] = rnd.choice(["the", "license", "other"])
+        words += rnd.choice([[], ["and", "more"], filled()])
+        got, want = licenses._longest(words, 0), brute_identify(words)
+        assert (got[0] if got else 0) == want[0] and (not got or got[1] == want[1] or want[0]), (words, got, want)
+
+
 def test_unknown_wrapped_sentence_is_reported():
     assert licenses.recognise("Permission is hereby\nGranted to all who ask for it.")[2] == 1
 
