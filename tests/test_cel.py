@@ -5,7 +5,7 @@ from provlake.errors import CelError
 from provlake.plans.cel import bare, parse, uses_any
 from provlake.plans.compile import Typed, to_column
 
-ARGS = '{"to":"a@b.com","n":7,"x":2.5,"ok":true,"no":null,"l":["p","q"],"m":{"k":"v"}}'
+ARGS = '{"to":"a@b.com","n":7,"x":2.5,"ok":true,"no":null,"l":["p","q"],"m":{"k":"v"},"y":1.25,"x2":2.50,"ten":10,"to2":"b","big":9223372036854775807,"big2":9223372036854775806,"at":"2024-03-01T01:30:00Z"}'
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +63,50 @@ def value(row, text):
         (r'"a\"\x41" == "a\"A"', True),
         (r"r'\d' == '\\d'", True),
         ("(1 + 2) * 3 == 9 // a note", True),
+        ("args.n == args.n && args.x != args.n", True),
+        ("args.n > args.x", True),
+        ("args.x > args.y", True),  # decimals of unlike scale
+        ("args.x == args.x2", True),
+        ("args.ten > args.n && !(args.ten < args.n)", True),  # as numbers, not as texts
+        ("args.n + args.x > 9", True),
+        ("args.n + args.n == 14", True),
+        ("args.n / 2 == 3", True),
+        ("args.ten / args.n == 1", True),
+        ("args.x * 2 == 5", True),
+        ("args.n % args.ten == 7", True),
+        ("args.big + args.big > 0", None),
+        ("args.big == args.big2", False),  # whole numbers are not rounded
+        ('args.to + args.to == "a@b.coma@b.com"', True),
+        ('args.to < args.to2', True),
+        ("args.n < args.to", None),
+        ("args.ok == args.ok", True),
+        ("args.ok < args.ok", None),
+        ("args.n - args.to == 1", None),
+        ("args.no == null", True),
+        ("args.n != null", True),
+        ("args.missing == null", None),
+        ("tool == null", False),
+        ("args.l == args.l && args.m == args.m", True),
+        ('args.l == ["p", "q"]', True),
+        ("args.l == args.m", None),
+        ('["a", "b"] == ["a", "b"]', True),
+        ('[[1, 2], [3]][0] == [1, 2]', True),
+        ('args.n in [1, 7]', True),
+        ('args.n in [args.ten, 7]', True),
+        ('{"a": 1, "b": 2}["b"] == 2', True),
+        ('"a" in {"a": 1} && size({"a": 1}) == 1', True),
+        ("size(args.m) == 1 && size(args) > 5", True),
+        ('args.m.exists(k, k == "k")', True),
+        ('args.exists(k, k.startsWith("t"))', True),
+        ("type(args.n) == int && type(args.x) == double && type(tool) == string", True),
+        ("type(args.l) == list && type(args.m) == map && type(args.no) == null_type", True),
+        ("dyn(args.n) == 7", True),
+        ('timestamp("2024-03-01T00:00:00Z") < timestamp(args.at)', True),
+        ('timestamp(args.at) - timestamp("2024-03-01T00:00:00Z") == duration("1h30m")', True),
+        ('timestamp(args.at) + duration("30m") == timestamp("2024-03-01T02:00:00Z")', True),
+        ('timestamp(args.at).getHours() == 1 && timestamp(args.at).getMonth() == 2', True),
+        ('timestamp(args.to) < timestamp(args.at)', None),
+        ('duration("90s").getMinutes() == 1', True),
     ],
 )
 def test_value(row, text, expected):
@@ -75,7 +119,7 @@ def test_does_not_parse(text):
         parse(text)
 
 
-@pytest.mark.parametrize("text", ["nothing", "tool.nothing", "tool + 1 == 2", "args.any(x, true)", "ls.exists(x, x)", 'tool == 1', "unknown(tool)", "{1: 2} == {1: 2}"])
+@pytest.mark.parametrize("text", ["nothing", "tool.nothing", "tool + 1 == 2", "args.any(x, true)", "ls.exists(x, x)", 'tool == 1', "unknown(tool)", "{1: 2} == {1: 2}", "tool < null", "args.ok < true", "ls - ls == ls", 'timestamp("x") * 2 == 1'])
 def test_does_not_compile(row, text):
     with pytest.raises(CelError):
         value(row, text)
