@@ -98,9 +98,26 @@ def decide(prepared_calls: DataFrame, policy: Policy, mode: str) -> DataFrame:
     return out.withColumnRenamed("labels", "contributing_labels").drop("__case", "taint")
 
 
-def check(calls: DataFrame, policy: Policy, ingress: DataFrame | None = None, mode: str | None = None, env_mode: str | None = None) -> DataFrame:
-    """A decision for every call: action, outcome, matched rule and condition, labels, trifecta, run state, fingerprint."""
-    return decide(runs.with_run_state(prepared(calls), ingress, policy), policy, resolve_mode(env_mode, policy, mode))
+def check(
+    calls: DataFrame,
+    policy: Policy,
+    ingress: DataFrame | None = None,
+    mode: str | None = None,
+    env_mode: str | None = None,
+    replayed: DataFrame | None = None,
+) -> DataFrame:
+    """A decision for every call: action, outcome, matched rule and condition, labels, trifecta, run state, fingerprint.
+    replayed: capabilities that envelopes brought into the runs (see envelope.replay_capabilities)."""
+    return decide(runs.with_run_state(prepared(calls), ingress, policy, replayed), policy, resolve_mode(env_mode, policy, mode))
+
+
+def in_modes(decisions: DataFrame, modes: tuple[str, ...] = ("enforce", "monitor", "dry_run")) -> DataFrame:
+    """Decisions made under enforce, once for each mode: what the mode makes of them is a projection."""
+    mode, allowed = F.col("mode"), F.lit("allow")
+    failed = F.col("outcome") == EVALUATION_ERROR
+    action = F.when(mode == "dry_run", allowed).when(failed & (mode == "monitor"), allowed).otherwise(F.col("action"))
+    each = decisions.withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    return each.withColumn("action", F.when(F.col("reject_reason").isNull(), action))
 
 
 def events(decisions: DataFrame) -> DataFrame:

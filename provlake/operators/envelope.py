@@ -2,24 +2,43 @@
 
 The canonical form is this engine's own (keys sorted, compact, UTF-8); no other implementation's codes are matched.
 The key becomes a literal of the plan: keep plans and event logs of such jobs as safe as the key.
+
+An envelope beside the keys of a document (pack_into) carries a second code over those, so that a change of any of them is
+found by who reads it with the document. What unpacking replays into the reader's run: ingress, capabilities and the
+labeled texts that the audit registers.
 """
 
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provlake.errors import ConfigError, UsageError
+from provlake.functions import nested
 from provlake.functions.labels import collect_all
-
-from provlake.schema import LABEL, MOST_ENTRIES, MOST_LIST, MOST_NAME, SIDECAR, WIRE_VERSION
+from provlake.schema import LABEL, MOST_DEPTH, MOST_ENTRIES, MOST_LIST, MOST_NAME, SIDECAR, WIRE_VERSION
 
 PATHS = "array<struct<path:string,label:int,carrier:string>>"
 RUN = "struct<sources:array<struct<name:string,ingested_by:array<string>>>,capabilities:array<string>>"
-BODY = f"version int, payload string, label_pool array<{LABEL}>, labels {PATHS}, run {RUN}, key_id string, mac string"
-_FIELDS = ("version", "payload", "label_pool", "labels", "run", "key_id", "mac")
+BODY = f"version int, payload string, label_pool array<{LABEL}>, labels {PATHS}, run {RUN}, key_id string, mac string, around string"
+_FIELDS = ("version", "payload", "label_pool", "labels", "run", "key_id", "mac", "around")
+# The keys of what an envelope holds within its fields.
+_WITHIN = {
+    "label_pool": ("source", "value_id", "lineage", "ingested_by", "endorsements"),
+    "labels": ("path", "label", "carrier"),
+    "run.sources": ("name", "ingested_by"),
+}
+LEAST_KEY = 16
+
+
+def check_key(key: bytes) -> bytes:
+    if not isinstance(key, bytes) or len(key) < LEAST_KEY:
+        raise ConfigError(f"a key of at least {LEAST_KEY} bytes is needed")
+    return key
 
 
 def canonical(text: Column) -> Column:
@@ -29,6 +48,7 @@ def canonical(text: Column) -> Column:
 
 def mac(message: Column, key: bytes) -> Column:
     """HMAC-SHA256 of a text, as sha256:<hex>, in SQL functions."""
+    check_key(key)
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
     first = F.unhex(F.sha2(F.concat(F.lit(inner), F.encode(message, "UTF-8")), 256))
@@ -62,35 +82,70 @@ def _name_ok(x: Column) -> Column:
     return x.isNotNull() & (F.length(x) > 0) & (F.length(x) <= MOST_NAME)
 
 
+def _agents_ok(values: Column) -> Column:
+    named = F.forall(values, lambda a: _name_ok(a) & a.rlike(r"\A[A-Za-z0-9_.-]+\z"))
+    return values.isNotNull() & (F.size(values) <= MOST_LIST) & named
+
+
 def _label_ok(x: Column) -> Column:
-    lists = [x["lineage"], x["ingested_by"], x["endorsements"]]
-    ok = _name_ok(x["source"]) & _name_ok(x["value_id"])
-    for values in lists:
+    ok = _name_ok(x["source"]) & _name_ok(x["value_id"]) & _agents_ok(x["ingested_by"])
+    for values in (x["lineage"], x["endorsements"]):
         ok = ok & values.isNotNull() & (F.size(values) <= MOST_LIST) & F.forall(values, _name_ok)
-    return ok & F.forall(x["ingested_by"], lambda a: a.rlike(r"\A[A-Za-z0-9_.-]+\z"))
+    return ok
+
+
+def _only(keys: Column, allowed: tuple[str, ...]) -> Column:
+    return F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) == 0
+
+
+def _keys_ok(wire: Column) -> Column:
+    """No key beside those of the format, at any depth."""
+    top = F.try_variant_get(wire, "$", "map<string,variant>")
+    ok = _only(F.map_keys(top), _FIELDS)
+    ok = ok & F.coalesce(_only(F.map_keys(F.try_variant_get(wire, "$.run", "map<string,variant>")), ("sources", "capabilities")), F.lit(True))
+    for place, allowed in _WITHIN.items():
+        names = F.flatten(F.transform(F.try_variant_get(wire, f"$.{place}", "array<map<string,variant>>"), F.map_keys))
+        ok = ok & F.coalesce(_only(names, allowed), F.lit(True))
+    return ok
 
 
-def unpack(df: DataFrame, column: str, key: bytes | None = None) -> DataFrame:
+def unpack(df: DataFrame, column: str, key: bytes | None = None, document: str | None = None) -> DataFrame:
     """df with `envelope` (the parsed fields) and `reject_reason`, the first check that fails: version, schema, key, code.
-    A rejected envelope is NULL, so nothing of it can be replayed."""
+    A rejected envelope is NULL, so nothing of it can be replayed.
+
+    document: the column of the JSON text that the envelope was put into; its other keys are then covered, too."""
+    if key is None:
+        warnings.warn("envelopes are read without a key: whoever wrote them can have made up their labels", stacklevel=2)
     loose = F.from_json(column, "version int")
     e = F.col("__e")
-    df = df.withColumn("__e", F.from_json(column, BODY, {"mode": "PERMISSIVE"})).withColumn("__keys", F.json_object_keys(F.when(F.try_parse_json(column).isNotNull(), F.col(column))))
+    df = df.withColumn("__e", F.from_json(column, BODY, {"mode": "PERMISSIVE"})).withColumn("__wire", F.try_parse_json(column))
     ids = F.transform(e["label_pool"], lambda x: x["value_id"])
     paths = F.transform(e["labels"], lambda x: F.concat_ws("\x1f", x["carrier"], x["path"]))
-    pool_ok = e["label_pool"].isNotNull() & (F.size(e["label_pool"]) <= MOST_ENTRIES) & F.forall(e["label_pool"], _label_ok) & (F.size(F.array_distinct(ids)) == F.size(ids))
-    entries_ok = e["labels"].isNotNull() & (F.size(e["labels"]) <= MOST_ENTRIES) & F.forall(e["labels"], lambda x: x["path"].isNotNull() & x["carrier"].isin("str", "bytes", "scalar") & (x["label"] >= 0) & (x["label"] < F.size(e["label_pool"]))) & (F.size(F.array_distinct(paths)) == F.size(paths))
-    run_ok = e["run"].isNull() | ((F.size(e["run"]["sources"]) <= MOST_LIST) & F.forall(e["run"]["sources"], lambda s: _name_ok(s["name"])) & F.forall(e["run"]["capabilities"], lambda c: c.isin("reads_private", "reaches_external")))
-    shape_ok = (F.size(F.array_except("__keys", F.array(*[F.lit(f) for f in _FIELDS]))) == 0) & e["payload"].isNotNull() & F.try_parse_json(e["payload"]).isNotNull() & pool_ok & entries_ok & run_ok & (e["mac"].isNull() | e["mac"].rlike(r"\Asha256:[0-9a-f]{64}\z"))
+    pool_ok = e["label_pool"].isNotNull() & (F.size(e["label_pool"]) <= MOST_ENTRIES) & F.forall(e["label_pool"], _label_ok)
+    pool_ok = pool_ok & (F.size(F.array_distinct(ids)) == F.size(ids))
+    entry_ok = F.forall(
+        e["labels"],
+        lambda x: x["path"].isNotNull() & x["carrier"].isin("str", "bytes", "scalar") & (x["label"] >= 0) & (x["label"] < F.size(e["label_pool"])),
+    )
+    entries_ok = e["labels"].isNotNull() & (F.size(e["labels"]) <= MOST_ENTRIES) & entry_ok & (F.size(F.array_distinct(paths)) == F.size(paths))
+    sources_ok = (F.size(e["run"]["sources"]) <= MOST_LIST) & F.forall(e["run"]["sources"], lambda s: _name_ok(s["name"]) & _agents_ok(s["ingested_by"]))
+    run_ok = e["run"].isNull() | (sources_ok & F.forall(e["run"]["capabilities"], lambda c: c.isin("reads_private", "reaches_external")))
+    code_ok = e["mac"].isNull() | e["mac"].rlike(r"\Asha256:[0-9a-f]{64}\z")
+    payload_ok = e["payload"].isNotNull() & F.try_parse_json(e["payload"]).isNotNull()
+    shape_ok = _keys_ok(F.col("__wire")) & payload_ok & pool_ok & entries_ok & run_ok & code_ok
     no = F.lit(False)
     if key is None:
         keyed, verified = F.when(e["mac"].isNotNull(), F.lit("signed, but no key is given")), F.lit(True)
     else:
         keyed = F.when(e["mac"].isNull(), F.lit("not signed"))
         verified = e["mac"] == mac(_signed(e["version"], e["payload"], e["label_pool"], e["labels"], e["run"], e["key_id"]), key)
-    why = F.when(loose["version"].isNull() | (loose["version"] != WIRE_VERSION), F.lit("version")).when(~F.coalesce(shape_ok, no), F.lit("schema")).when(keyed.isNotNull(), keyed).when(~F.coalesce(verified, no), F.lit("wrong code"))
+        if document is not None:
+            keyed = F.coalesce(keyed, F.when(e["around"].isNull(), F.lit("siblings not signed")))
+            verified = verified & (e["around"] == _around(_siblings(F.col(document)), e["mac"], key))
+    why = F.when(loose["version"].isNull() | (loose["version"] != WIRE_VERSION), F.lit("version"))
+    why = why.when(~F.coalesce(shape_ok, no), F.lit("schema")).when(keyed.isNotNull(), keyed).when(~F.coalesce(verified, no), F.lit("wrong code"))
     df = df.withColumn("reject_reason", why)
-    return df.withColumn("envelope", F.when(F.col("reject_reason").isNull(), e)).drop("__e", "__keys")
+    return df.withColumn("envelope", F.when(F.col("reject_reason").isNull(), e)).drop("__e", "__wire")
 
 
 def label_at(envelope: Column, path: str, carrier: str = "str") -> Column:
@@ -117,19 +172,100 @@ def replay(unpacked: DataFrame, run_id: str = "run_id", seq: str = "seq") -> Dat
     return rows.select(F.col(run_id).alias("run_id"), F.col(seq).alias("seq"), F.col("__s.name").alias("source"), F.explode("__s.ingested_by").alias("agent_id"))
 
 
-def pack_into(document: Column, envelope: Column) -> Column:
-    """A JSON object with the envelope beside its own keys. The object itself must not hold the reserved key."""
-    return F.when(F.try_variant_get(F.try_parse_json(document), f"$.{SIDECAR}", "variant").isNull(), F.concat(F.substring(canonical(document), F.lit(1), F.length(canonical(document)) - 1), F.when(canonical(document) == "{}", F.lit("")).otherwise(F.lit(",")), F.lit(f'"{SIDECAR}":'), envelope, F.lit("}")))
+def replay_capabilities(unpacked: DataFrame, run_id: str = "run_id", seq: str = "seq") -> DataFrame:
+    """(run_id, seq, capability): what the sender's run could do, for operators.runs. Rejected envelopes add none."""
+    rows = unpacked.where(F.col("envelope").isNotNull() & F.col(run_id).isNotNull())
+    return rows.select(F.col(run_id).alias("run_id"), F.col(seq).alias("seq"), F.explode("envelope.run.capabilities").alias("capability"))
+
+
+def replay_texts(unpacked: DataFrame, run_id: str = "run_id", seq: str = "seq", depth: int = MOST_DEPTH) -> DataFrame:
+    """(run_id, seq, text, label) of every labeled text of the payload: what the reader's audit has to know of."""
+    rows = unpacked.where(F.col("envelope").isNotNull() & F.col(run_id).isNotNull())
+    rows = rows.select(F.col(run_id).alias("run_id"), F.col(seq).alias("seq"), "envelope", F.try_parse_json("envelope.payload").alias("__v"))
+    rows = nested.with_leaves(rows, "__v", "__texts", depth).withColumn("__named", labels_of(F.col("envelope")))
+    texts = F.map_from_entries("__texts")
+    found = rows.select("run_id", "seq", texts.alias("__at"), F.explode("__named").alias("__l")).where("__l.carrier = 'str'")
+    return found.select("run_id", "seq", F.element_at("__at", F.col("__l.path")).alias("text"), F.col("__l.label").alias("label")).where("text IS NOT NULL")
+
+
+def rebuild(envelope: Column, kind: T.DataType) -> Column:
+    """The payload as a typed value in which every text is a STRUCT<value, label>, with NULL labels where it has none."""
+
+    def label(path: Column) -> Column:
+        hit = F.get(F.filter(envelope["labels"], lambda x: (x["path"] == path) & (x["carrier"] == "str")), F.lit(0))
+        return F.get(envelope["label_pool"], hit["label"])
+
+    def made(value: Column, of: T.DataType, path: Column) -> Column:
+        if isinstance(of, T.StructType):
+            fields = [made(value[f.name], f.dataType, F.concat(path, nested.path_step(F.lit(f.name)))).alias(f.name) for f in of.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        if isinstance(of, T.ArrayType):
+            return F.transform(value, lambda x, k: made(x, of.elementType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
+        if isinstance(of, T.MapType):
+            return F.transform_values(value, lambda k, x: made(x, of.valueType, F.concat(path, nested.path_step(k))))
+        return F.struct(value.alias("value"), label(path).alias("label")) if isinstance(of, T.StringType) else value
+
+    return made(F.from_json(envelope["payload"], kind), kind, F.lit("$"))
+
+
+def strip(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """The inverse of rebuild: the payload (JSON text) of a typed value whose texts are STRUCT<value, label>, and its
+    labels, ARRAY<STRUCT<path, label, carrier>>, for pack."""
+    entry = f"array<struct<path:string,label:{LABEL},carrier:string>>"
+    none = F.array().cast(entry)
+
+    def is_leaf(of: T.DataType) -> bool:
+        return isinstance(of, T.StructType) and [f.name for f in of.fields] == ["value", "label"]
+
+    def plain(v: Column, of: T.DataType) -> Column:
+        if is_leaf(of):
+            return v["value"]
+        if isinstance(of, T.StructType):
+            return F.when(v.isNotNull(), F.struct(*[plain(v[f.name], f.dataType).alias(f.name) for f in of.fields]))
+        if isinstance(of, T.ArrayType):
+            return F.transform(v, lambda x: plain(x, of.elementType))
+        return F.transform_values(v, lambda k, x: plain(x, of.valueType)) if isinstance(of, T.MapType) else v
+
+    def found(v: Column, of: T.DataType, path: Column) -> Column:
+        if is_leaf(of):
+            one = F.array(F.struct(path.alias("path"), v["label"].alias("label"), F.lit("str").alias("carrier"))).cast(entry)
+            return F.when(v["label"].isNotNull(), one).otherwise(none)
+        if isinstance(of, T.StructType):
+            return F.concat(none, *[F.coalesce(found(v[f.name], f.dataType, F.concat(path, nested.path_step(F.lit(f.name)))), none) for f in of.fields])
+        if isinstance(of, T.ArrayType):
+            each = F.transform(v, lambda x, k: found(x, of.elementType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
+            return F.coalesce(F.flatten(each), none)
+        if isinstance(of, T.MapType):
+            each = F.transform(F.map_entries(v), lambda x: found(x["value"], of.valueType, F.concat(path, nested.path_step(x["key"]))))
+            return F.coalesce(F.flatten(each), none)
+        return none
+
+    return F.to_json(plain(value, kind)), found(value, kind, F.lit("$"))
+
+
+def _siblings(document: Column) -> Column:
+    """The document's own keys, in canonical form."""
+    members = F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>")
+    return F.to_json(F.to_variant_object(F.map_filter(members, lambda k, v: k != SIDECAR)))
+
+
+def _around(siblings: Column, code: Column, key: bytes) -> Column:
+    return mac(F.concat(siblings, F.lit("\n"), code), key)
+
+
+def pack_into(document: Column, envelope: Column, key: bytes | None = None) -> Column:
+    """A JSON object with the envelope beside its own keys; with the key, a code over these goes into the envelope. NULL
+    for an object that holds the reserved key, and for what is no object."""
+    if key is not None:
+        code = _around(_siblings(document), F.get_json_object(envelope, "$.mac"), key)
+        signed = F.concat(F.substring(envelope, F.lit(1), F.length(envelope) - 1), F.lit(',"around":"'), code, F.lit('"}'))
+        envelope = F.coalesce(signed, envelope)
+    whole = canonical(document)
+    free = F.try_variant_get(F.try_parse_json(document), f"$.{SIDECAR}", "variant").isNull()
+    comma = F.when(whole == "{}", F.lit("")).otherwise(F.lit(","))
+    return F.when(free & whole.startswith("{"), F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), comma, F.lit(f'"{SIDECAR}":'), envelope, F.lit("}")))
 
 
 def unpack_from(document: Column) -> Column:
     """The envelope that pack_into put there; NULL if there is none."""
     return F.to_json(F.try_variant_get(F.try_parse_json(document), f"$.{SIDECAR}", "variant"))
-
-
-def check_key(key: bytes) -> bytes:
-    if not isinstance(key, bytes) or len(key) < 16:
-        raise ConfigError("a key of at least 16 bytes is needed")
-    return key
-
-

@@ -24,10 +24,16 @@ def first_ingress(ingress: DataFrame) -> DataFrame:
     return firsts.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("at", "source", "agent_id"))).alias("__seen"))
 
 
-def first_capabilities(calls: DataFrame, policy: Policy) -> DataFrame:
-    """(run_id, __first_<capability>): the place of the run's first call of a tool with the capability."""
-    firsts = [F.min(F.when(calls["tool"].isin(trust.tools_with(policy, c)), calls["seq"])).alias(f"__first_{c}") for c in CAPABILITIES]
-    return calls.where(calls["run_id"].isNotNull()).groupBy(calls["run_id"].alias("run_id")).agg(*firsts)
+def first_capabilities(calls: DataFrame, policy: Policy, replayed: DataFrame | None = None) -> DataFrame:
+    """(run_id, __first_<capability>): the place of the run's first call of a tool with the capability, or of the first
+    envelope that brought it (replayed: run_id, seq, capability)."""
+    rows = calls.where(calls["run_id"].isNotNull()).select("run_id", "seq", trust.tool_capabilities(policy, calls["tool"]).alias("__can"))
+    if replayed is not None:
+        # What an envelope brings counts for calls after it.
+        more = replayed.where("run_id IS NOT NULL").select("run_id", F.col("seq") + 1, F.array("capability"))
+        rows = rows.union(more)
+    firsts = [F.min(F.when(F.array_contains("__can", c), F.col("seq"))).alias(f"__first_{c}") for c in CAPABILITIES]
+    return rows.groupBy("run_id").agg(*firsts)
 
 
 def entries(policy: Policy, seen: Column, seq: Column) -> Column:
@@ -42,9 +48,10 @@ def entries(policy: Policy, seen: Column, seq: Column) -> Column:
     return F.when(F.get(seen, F.lit(0))["at"] < seq, F.transform(sources, one)).otherwise(trust.no_entries())
 
 
-def with_run_state(calls: DataFrame, ingress: DataFrame | None, policy: Policy) -> DataFrame:
+def with_run_state(calls: DataFrame, ingress: DataFrame | None, policy: Policy, replayed: DataFrame | None = None) -> DataFrame:
     """calls with run_ingress, run_tainted, run_sources, run_untrusted_sources, run_ingested_by, run_capabilities and
-    run_trifecta. A call outside any run sees no ingress and its own capabilities."""
+    run_trifecta. A call outside any run sees no ingress and its own capabilities. replayed: capabilities that envelopes
+    brought (see envelope.replay_capabilities)."""
     own = trust.tool_capabilities(policy, F.col("tool"))
     out = calls
     if ingress is not None:
@@ -53,8 +60,8 @@ def with_run_state(calls: DataFrame, ingress: DataFrame | None, policy: Policy)
         out = out.withColumn("run_ingress", entries(policy, F.col("__seen"), F.col("seq"))).drop("__seen")
     else:
         out = out.withColumn("run_ingress", trust.no_entries())
-    if any(trust.tools_with(policy, c) for c in CAPABILITIES):
-        firsts = first_capabilities(calls, policy).withColumnRenamed("run_id", "__run")
+    if replayed is not None or any(trust.tools_with(policy, c) for c in CAPABILITIES):
+        firsts = first_capabilities(calls, policy, replayed).withColumnRenamed("run_id", "__run")
         out = out.join(firsts, out["run_id"] == firsts["__run"], "left").drop("__run")
         so_far = F.concat(*[F.when(F.col(f"__first_{c}") <= F.col("seq"), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in CAPABILITIES])
         out = out.withColumn("run_capabilities", F.array_sort(F.array_union(so_far, own))).drop(*[f"__first_{c}" for c in CAPABILITIES])

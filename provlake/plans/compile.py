@@ -169,7 +169,11 @@ def _computed(name: str, a: Typed, b: Typed) -> Typed:
 
 
 def _path(key: str) -> str:
-    return '$["%s"]' % key.replace("\\", "\\\\").replace('"', '\\"') if not key.isidentifier() else f"$.{key}"
+    if key.isidentifier() and key.isascii():
+        return f"$.{key}"
+    if '"' in key and "'" in key:
+        raise CelError(f"the key {key!r} holds quotes of both kinds")
+    return f"$['{key}']" if '"' in key else f'$["{key}"]'
 
 
 def _duration(text: Column) -> Column:

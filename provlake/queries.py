@@ -166,11 +166,8 @@ FROM decided"""
 
 
 def mode_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for mode in ("enforce", "monitor", "dry_run"):
-        part = _conversations(spark, sf_dir, mode).groupBy("mode", "action", "outcome").agg(F.count("*").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    counted = _conversations(spark, sf_dir).groupBy("action", "outcome", "reject_reason").agg(F.count("*").alias("n"))
+    return decide.in_modes(counted).groupBy("mode", "action", "outcome").agg(F.sum("n").alias("n"))
 
 
 MODE_SQL = f"""WITH {_CONV}, said AS (SELECT split_part(verdict, '|', 1) AS v FROM decided),
