@@ -1,8 +1,9 @@
 """Run state over a stream: the same columns that operators.runs gives for a whole log, batch by batch.
 
 The log is keyed by run. Rows of a run are taken in the order of seq within a micro-batch; a row whose seq is not above
-the last one processed is late and is emitted with late = true and no state change. A run_end row clears the state;
-abandoned runs expire after the time to live. Then the stateless decision of operators.decide runs on top, so batch and
+the last one processed is late and is emitted with late = true and no state change. A run_end row clears the run's
+state; with a time to live the place of its end stays that long, so that late rows are still known as such, and abandoned
+runs expire after it. Without one nothing of an ended run stays: a row that comes after begins the run anew. Then the stateless decision of operators.decide runs on top, so batch and
 stream share one expression.
 """
 
@@ -32,6 +33,7 @@ class RunState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("run", "seen string, can string, last long", self.ttl_ms)
+        self.ended = handle.getValueState("ended", "last long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
@@ -39,11 +41,13 @@ class RunState(StatefulProcessor):
         if self.state.exists():
             kept = self.state.get()
             seen, can, last = json.loads(kept[0]), json.loads(kept[1]), kept[2]
-        out = []
+        elif self.ended.exists():
+            last = self.ended.get()[0]
+        out, open_ = [], self.state.exists()
         for row in batch.itertuples():
             late = row.seq <= last
             if not late:
-                last = row.seq
+                last, open_ = row.seq, row.kind != "run_end"
             if row.kind == "run_end":
                 seen, can = ({}, []) if not late else (seen, can)
             elif row.kind == "ingress":
@@ -56,7 +60,12 @@ class RunState(StatefulProcessor):
                     can += [c for c in self.can.get(tool, []) if c not in can]
                 entries = [{"source": s, "trust": self.trusts.get(s, "untrusted"), "ingested_by": a} for s, a in seen.items()]
                 out.append((key[0], row.seq, row.agent_id, row.session_id, row.tool, row.args_json, row.labels_json, json.dumps(entries), json.dumps(sorted({*can, *self.can.get(tool, [])})), late))
-        self.state.update((json.dumps(seen), json.dumps(can), int(last)))
+        if open_:
+            self.state.update((json.dumps(seen), json.dumps(can), int(last)))
+        else:
+            self.state.clear()
+            if self.ttl_ms is not None:
+                self.ended.update((int(last),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     def close(self) -> None:

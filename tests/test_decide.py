@@ -203,3 +203,32 @@ def test_plan_has_no_window_and_no_udf(spark):
     df = runs.with_run_state(decide.prepared(spark.createDataFrame([("a", 1, "r", "fs_write", "{}", [WEB])], CALL)), spark.createDataFrame([("a", 0, "r", "web_search", "")], INGRESS), from_text(LOOP))
     plan = decide.decide(df, from_text(LOOP), "enforce")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_state_of_an_ended_run_is_gone(spark, tmp_path):
+    """After run_end nothing is kept of a run: neither its ingress nor, without a time to live, its place."""
+    from provlake.streaming.audit import findings_stream
+    from provlake.streaming.runs import decide_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    text, schema = "words that came from the web", "run_id string, seq long, kind string, agent_id string, session_id string, source string, text string, tool string, args_json string, labels_json string, leaves_json string"
+    bare = '[{"argument":"to","text":"so: words that came from the web!"}]'
+    labeled = '[{"argument":"to","text":"other words, from a list","source":"s","lineage":["s"]},{"argument":"x","text":"other words, from a list"}]'
+    batches = [
+        [("r", 1, "ingress", "a", None, "web", text, None, None, None, None), ("q", 1, "call", "a", None, None, None, "send", "{}", None, labeled)],
+        [("r", 2, "call", "a", None, None, None, "send", "{}", None, bare), ("r", 3, "call", "a", None, None, None, "send", "{}", None, bare), ("q", 2, "run_end", None, None, None, None, None, None, None, None)],
+        [("r", 4, "run_end", None, None, None, None, None, None, None, None)],
+        [("r", 5, "call", "a", None, None, None, "send", "{}", None, bare), ("r", 6, "run_end", None, None, None, None, None, None, None, None)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / f"log-{k}"))
+    p = from_text(LOOP)
+    for name, make in (("runs", lambda s: decide_stream(s, p, ttl_ms=None).select("run_id", "seq", "run_tainted")), ("audit", lambda s: findings_stream(s, p, ttl_ms=None))):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "log-*"))
+        place = str(tmp_path / f"cp-{name}")
+        q = make(stream).writeStream.format("memory").queryName(f"gone_{name}").outputMode("append").option("checkpointLocation", place).trigger(availableNow=True).start()
+        q.awaitTermination()
+        state = spark.read.format("statestore").option("path", place).option("stateVarName", "run" if name == "runs" else "audit").load()
+        assert state.count() == 0, name
+    assert {(r["run_id"], r["seq"]): r["run_tainted"] for r in spark.table("gone_runs").collect()} == {("q", 1): False, ("r", 2): True, ("r", 3): True, ("r", 5): False}
+    assert sorted(tuple(r) for r in spark.table("gone_audit").collect()) == [("q", "s", "send", "x", 1, "a"), ("r", "web", "send", "to", 2, "a")]
