@@ -123,3 +123,91 @@ def test_bytes_that_are_no_text(spark):
     ship(spark)
     df = spark.createDataFrame([(bytearray(b"a\xffb"),), (None,)], "b binary")
     assert [r["x"] for r in df.select(strings.leaf_text(F.col("b"), True).alias("x")).collect()] == ["ab", None]
+
+
+BYTES = [b"", b"abc", b" \t a b  c\n", b"x\xffy\xc3\xa9 Z", b"+12", b"-7", b"one,two,,three", b"l1\nl2\r\nl3\rl4\x0bl5\n", b"\xa0a\x85", b"aB cD'eF 1g", b"\x00\x00", b"a\tb\tc", b"\xe9\xc9"]
+ON_BYTES = {
+    "upper": (strings.upper, lambda b: b.upper()),
+    "lower": (strings.lower, lambda b: b.lower()),
+    "strip": (strings.strip, lambda b: b.strip()),
+    "lstrip_chars": (lambda a: strings.lstrip(a, b" a"), lambda b: b.lstrip(b" a")),
+    "rstrip_chars": (lambda a: strings.rstrip(a, b"\nc"), lambda b: b.rstrip(b"\nc")),
+    "replace": (lambda a: strings.replace(a, b"a", strings.plain(b"\xff$1")), lambda b: b.replace(b"a", b"\xff$1")),
+    "replace_two": (lambda a: strings.replace(a, b",", strings.plain(b";"), 2), lambda b: b.replace(b",", b";", 2)),
+    "replace_nothing": (lambda a: strings.replace(a, b"", strings.plain(b"$-")), lambda b: b.replace(b"", b"$-")),
+    "replace_nothing_two": (lambda a: strings.replace(a, b"", strings.plain(b"-"), 2), lambda b: b.replace(b"", b"-", 2)),
+    "split": (strings.split, lambda b: b.split()),
+    "split_sep": (lambda a: strings.split(a, b",", 2), lambda b: b.split(b",", 2)),
+    "rsplit": (lambda a: strings.rsplit(a, b",", 1), lambda b: b.rsplit(b",", 1)),
+    "splitlines": (strings.splitlines, lambda b: b.splitlines()),
+    "splitlines_ends": (lambda a: strings.splitlines(a, True), lambda b: b.splitlines(True)),
+    "partition": (lambda a: strings.partition(a, b","), lambda b: b.partition(b",")),
+    "rpartition": (lambda a: strings.rpartition(a, b","), lambda b: b.rpartition(b",")),
+    "capitalize": (strings.capitalize, lambda b: b.capitalize()),
+    "title": (strings.title, lambda b: b.title()),
+    "swapcase": (strings.swapcase, lambda b: b.swapcase()),
+    "expandtabs": (lambda a: strings.expandtabs(a, 4), lambda b: b.expandtabs(4)),
+    "removeprefix": (lambda a: strings.removeprefix(a, b"ab"), lambda b: b.removeprefix(b"ab")),
+    "removesuffix": (lambda a: strings.removesuffix(a, b"c"), lambda b: b.removesuffix(b"c")),
+    "ljust": (lambda a: strings.ljust(a, 6, b"*"), lambda b: b.ljust(6, b"*")),
+    "rjust": (lambda a: strings.rjust(a, 6), lambda b: b.rjust(6)),
+    "center": (lambda a: strings.center(a, 7, b"-"), lambda b: b.center(7, b"-")),
+    "zfill": (lambda a: strings.zfill(a, 6), lambda b: b.zfill(6)),
+    "repeat": (lambda a: strings.repeat(a, 2), lambda b: b * 2),
+    "slice": (lambda a: strings.slice_(a, 1, -1), lambda b: b[1:-1]),
+    "slice_step": (lambda a: strings.slice_(a, None, None, -2), lambda b: b[::-2]),
+    "slice_to": (lambda a: strings.slice_(a, -2, 0, -1), lambda b: b[-2:0:-1]),
+    "item": (lambda a: strings.item(a, 0), lambda b: b[0] if b else None),
+    "concat": (lambda a: strings.concat(a, strings.plain(b"\xff")), lambda b: b + b"\xff"),
+    "join": (lambda a: strings.join(strings.plain(b", "), a, a), lambda b: b", ".join([b, b])),
+    "percent": (lambda a: strings.percent(strings.plain(b"<%s>"), a), None),
+    "decode": (lambda a: strings.decode(a, "ISO-8859-1"), lambda b: b.decode("latin-1")),
+}
+
+
+@pytest.mark.parametrize("name", ON_BYTES)
+def test_bytes(spark, name):
+    """Each function on bytes against Python's method; the label is kept."""
+    ship(spark)
+    fn, method = ON_BYTES[name]
+    label = labels.fresh("s", F.lit(1))
+    df = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(BYTES)] + [(99, None)], "k long, b binary")
+    if name == "percent":
+        got = fn(Labeled(strings._as_text(Labeled(F.col("b"), label, True)).value, label))
+        rows = {r["k"]: r["v"] for r in df.select("k", got.value.alias("v")).collect()}
+        assert all(bytes(rows[k]) == b"<" + b + b">" for k, b in enumerate(BYTES))
+        return
+    got = fn(Labeled(F.col("b"), label, True))
+
+    def plain(v):
+        return bytes(v) if isinstance(v, bytearray) else [plain(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    rows = {r["k"]: (plain(r["v"]), r["s"]) for r in df.select("k", got.value.alias("v"), got.label["source"].alias("s")).collect()}
+    for k, b in enumerate(BYTES):
+        assert rows[k] == (plain(method(b)), "s"), (name, b)
+
+
+def test_texts_like_python(spark):
+    texts = ["", "ßtraße", "ǆabc", "ΑΣ ΣΑΣ", "ﬁx", "İstanbul", "a\tb", "Mixed CASE text", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    a = Labeled(F.col("t"), labels.none())
+    cases = {
+        "capitalize": (strings.capitalize(a), str.capitalize),
+        "replace": (strings.replace(a, "", strings.plain("-")), lambda t: t.replace("", "-")),
+        "replace_one": (strings.replace(a, "", strings.plain("-"), 1), lambda t: t.replace("", "-", 1)),
+        "replace_none": (strings.replace(a, "", strings.plain("-"), 0), lambda t: t.replace("", "-", 0)),
+        "reversed": (strings.slice_(a, step=-1), lambda t: t[::-1]),
+        "third": (strings.slice_(a, 1, None, 3), lambda t: t[1::3]),
+        "named": (strings.percent_named("%(x)s is 100%% %(x)s", labels.none(), x=a), lambda t: "%(x)s is 100%% %(x)s" % {"x": t}),
+        "map": (strings.format_map("<{x}>", labels.none(), {"x": a, "y": a}), lambda t: f"<{t}>"),
+        "ends": (strings.splitlines(a, True), lambda t: t.splitlines(True)),
+    }
+    for name, (got, method) in cases.items():
+        for r in df.select("t", got.value.alias("v")).collect():
+            assert r["v"] == method(r["t"]), (name, r["t"])
+
+
+def test_labels_of_percent(spark):
+    a, b = (Labeled(F.lit(x), labels.fresh(x, F.lit(1))) for x in "ab")
+    assert one(spark, strings.percent_plain("%s", a).label["source"]) == "a" and one(spark, strings.percent_plain("%s %s", a, b).label) is None
+    assert one(spark, strings.percent_named("%(x)s", labels.none(), x=a, y=b).label["lineage"]) == ["a"]
