@@ -138,15 +138,15 @@ def slice_(a: Labeled, start: int | None = None, stop: int | None = None, step:
         raise UsageError("a slice needs a step other than 0")
     if step > 0:
         low, high = _clamped(start, F.lit(0), n, 0, n), _clamped(stop, n, n, 0, n)
-        if step == 1:
-            return a.with_value(F.substring(a.value, low + 1, F.greatest(high - low, F.lit(0))))
-        places = F.when(low < high, F.sequence(low, high - 1, F.lit(step)))
+        part = F.substring(a.value, low + 1, F.greatest(high - low, F.lit(0)))
     else:
         low, high = _clamped(start, n - 1, n, -1, n - 1), _clamped(stop, F.lit(-1), n, -1, n - 1)
-        places = F.when(low > high, F.sequence(low, high + 1, F.lit(step)))
-    letters = F.regexp_extract_all(a.value, F.lit("(?s)."), F.lit(0))
-    picked = F.array_join(F.transform(places, lambda k: F.get(letters, k)), "")
-    return a.with_value(F.when(a.value.isNotNull(), F.coalesce(picked, F.lit(""))))
+        part = F.reverse(F.substring(a.value, high + 2, F.greatest(low - high, F.lit(0))))
+    if abs(step) > 1:
+        # By the position alone, so that the text is taken apart once.
+        letters = F.regexp_extract_all(part, F.lit("(?s)."), F.lit(0))
+        part = F.array_join(F.filter(letters, lambda x, k: k % abs(step) == 0), "")
+    return a.with_value(part)
 
 
 def item(a: Labeled, k: int) -> Labeled:

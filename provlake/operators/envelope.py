@@ -164,28 +164,40 @@ def value_at(envelope: Column, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(envelope["payload"]), path, "string")
 
 
+def _each(unpacked: DataFrame, run_id: str, seq: str, items: Column) -> DataFrame:
+    """(run_id, seq, item) of what unpacked envelopes of a run hold. A rejected envelope is NULL and holds nothing.
+
+    Nothing is filtered before the items are apart: a filter on the envelope would be pushed below the steps that read it
+    and would repeat them all."""
+    rows = unpacked.where(F.col(run_id).isNotNull())
+    rows = rows.select(F.col(run_id).alias("run_id"), F.col(seq).alias("seq"), F.explode_outer(items).alias("item"))
+    return rows.where("item IS NOT NULL")
+
+
 def replay(unpacked: DataFrame, run_id: str = "run_id", seq: str = "seq") -> DataFrame:
     """The ingress rows that unpacking adds to the reader's run: one for each source and agent. Rejected envelopes and
     readers outside a run add none."""
-    rows = unpacked.where(F.col("envelope").isNotNull() & F.col(run_id).isNotNull())
-    rows = rows.select(run_id, seq, F.explode("envelope.run.sources").alias("__s"))
-    return rows.select(F.col(run_id).alias("run_id"), F.col(seq).alias("seq"), F.col("__s.name").alias("source"), F.explode("__s.ingested_by").alias("agent_id"))
+    rows = _each(unpacked, run_id, seq, F.col("envelope.run.sources"))
+    rows = rows.select("run_id", "seq", F.col("item.name").alias("source"), F.explode_outer("item.ingested_by").alias("agent_id"))
+    return rows.where("agent_id IS NOT NULL")
 
 
 def replay_capabilities(unpacked: DataFrame, run_id: str = "run_id", seq: str = "seq") -> DataFrame:
     """(run_id, seq, capability): what the sender's run could do, for operators.runs. Rejected envelopes add none."""
-    rows = unpacked.where(F.col("envelope").isNotNull() & F.col(run_id).isNotNull())
-    return rows.select(F.col(run_id).alias("run_id"), F.col(seq).alias("seq"), F.explode("envelope.run.capabilities").alias("capability"))
+    return _each(unpacked, run_id, seq, F.col("envelope.run.capabilities")).withColumnRenamed("item", "capability")
 
 
 def replay_texts(unpacked: DataFrame, run_id: str = "run_id", seq: str = "seq", depth: int = MOST_DEPTH) -> DataFrame:
     """(run_id, seq, text, label) of every labeled text of the payload: what the reader's audit has to know of."""
-    rows = unpacked.where(F.col("envelope").isNotNull() & F.col(run_id).isNotNull())
-    rows = rows.select(F.col(run_id).alias("run_id"), F.col(seq).alias("seq"), "envelope", F.try_parse_json("envelope.payload").alias("__v"))
-    rows = nested.with_leaves(rows, "__v", "__texts", depth).withColumn("__named", labels_of(F.col("envelope")))
-    texts = F.map_from_entries("__texts")
-    found = rows.select("run_id", "seq", texts.alias("__at"), F.explode("__named").alias("__l")).where("__l.carrier = 'str'")
-    return found.select("run_id", "seq", F.element_at("__at", F.col("__l.path")).alias("text"), F.col("__l.label").alias("label")).where("text IS NOT NULL")
+    rows = unpacked.withColumn("__v", F.try_parse_json("envelope.payload"))
+    rows = nested.with_leaves(rows, "__v", "__texts", depth)
+    named = F.transform(labels_of(F.col("envelope")), lambda x: F.struct(x["path"].alias("path"), x["label"].alias("label"), x["carrier"].alias("carrier")))
+    texts = F.transform("__texts", lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text")))
+    found = _each(rows, run_id, seq, F.arrays_zip(F.array(F.struct(named.alias("named"), texts.alias("texts"))).alias("both")))
+    found = found.select("run_id", "seq", F.explode_outer("item.both.named").alias("named"), F.col("item.both.texts").alias("texts"))
+    at = F.get(F.filter("texts", lambda x: x["path"] == F.col("named.path")), F.lit(0))
+    found = found.where("named.carrier = 'str'").select("run_id", "seq", at["text"].alias("text"), F.col("named.label").alias("label"))
+    return found.where("text IS NOT NULL")
 
 
 def rebuild(envelope: Column, kind: T.DataType) -> Column:
@@ -255,11 +267,13 @@ def _around(siblings: Column, code: Column, key: bytes) -> Column:
 
 def pack_into(document: Column, envelope: Column, key: bytes | None = None) -> Column:
     """A JSON object with the envelope beside its own keys; with the key, a code over these goes into the envelope. NULL
-    for an object that holds the reserved key, and for what is no object."""
+    for an object that holds the reserved key, and for what is no object. Give the envelope as a column of its own where
+    the plan is not to make it several times."""
     if key is not None:
         code = _around(_siblings(document), F.get_json_object(envelope, "$.mac"), key)
-        signed = F.concat(F.substring(envelope, F.lit(1), F.length(envelope) - 1), F.lit(',"around":"'), code, F.lit('"}'))
-        envelope = F.coalesce(signed, envelope)
+        # An envelope without a code of its own has none over its siblings either.
+        more = F.coalesce(F.concat(F.lit(',"around":"'), code, F.lit('"}')), F.lit("}"))
+        envelope = F.concat(F.regexp_replace(envelope, r"\}\z", ""), more)
     whole = canonical(document)
     free = F.try_variant_get(F.try_parse_json(document), f"$.{SIDECAR}", "variant").isNull()
     comma = F.when(whole == "{}", F.lit("")).otherwise(F.lit(","))

@@ -212,33 +212,33 @@ def resolve_mode(env: str | None, policy: Policy, asked: str | None) -> str:
     return "enforce"
 
 
-STARTER = """version: "2.0"
+STARTER = """# Who may do what with what came from where. The first rule of a sink that matches decides.
+version: "2.0"
+defaults: {sink_action: require_approval, fail_mode: enforce}
 
-defaults:
-  sink_action: require_approval   # for tools without a matching rule
-
-# A source that is not listed is untrusted.
+# Sources that are not named here are untrusted.
 sources:
-  - {name: web_search, trust: untrusted}
-  - {name: internal_kb, trust: trusted}
+  - {name: order_database, trust: trusted}
+  - {name: customer_mail, trust: untrusted}
 
 agents:
-  research-agent: {groups: [readers]}
+  refund-clerk: {groups: [desk]}
+  mail-clerk: {groups: [desk]}
 
-# The first rule that matches decides.
 sinks:
-  default.read_inbox: {capabilities: [reads_private]}
-  default.send_email:
-    capabilities: [reaches_external]
-    rules:
-      - {name: three_legs, when: "size(run.trifecta) >= 3", action: block}
-      - {name: untrusted_out, when: 'max_trust == "untrusted" && !args.to.endsWith("@example.com")', action: block}
-      - {name: otherwise, action: require_approval}
-  default.run_shell:
+  desk.lookup:
+    capabilities: [reads_private]
+  desk.refund:
     capabilities: []
     rules:
-      - {name: untrusted_command, when: 'taint.exists(t, t.trust == "untrusted")', action: block}
-      - {name: otherwise, action: allow}
+      - {name: own_desk, when: 'agent.id == "refund-clerk" && max_trust == "trusted"', action: allow}
+      - {name: unread_sources, when: 'taint.exists(l, l.lineage.exists(s, s == "customer_mail"))', action: block}
+  mail.send:
+    capabilities: [reaches_external]
+    rules:
+      - {name: private_and_untrusted, when: 'run.tainted && run.trifecta.exists(x, x == "reads_private")', action: block}
+      - {name: inside, when: 'args.to.endsWith("@shop.example") && !run.tainted', action: allow}
+      - {name: ask, action: require_approval}
 """
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import tempfile
+import uuid
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,9 @@ from provlake.functions import labels, names, nested, strings
 from provlake.functions.strings import Labeled, plain
 from provlake.operators import audit, decide, describe, envelope, runs, trust
 from provlake.plans import explain, lint
-from provlake.plans.policy import Policy, from_document, from_text
+from provlake.plans.compile import Typed, to_column
+from provlake.plans.policy import STARTER, Policy, from_document, from_text, init, load
+from provlake.runtime import own_dir
 from provlake.sources import records, tables
 from provlake.sources.tables import table
 
@@ -223,8 +228,6 @@ def decide_lines_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def args_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = {"big": "args.k > 50", "has_k": "has(args.k)", "has_z": "has(args.z)", "sum": "args.k + 1 == 8", "text": 'args.k == "7"', "between": "args.k >= 20 && args.k <= 30 || args.k == 99", "absorbed": 'args.z == "x" && args.k < 0', "modulo": "int(args.k) % 7 == 3", "choice": "args.k > 50 ? args.k < 60 : args.k < 5", "member": '"k" in args', "tool_in": 'tool in ["default.view", "default.click"]', "ends": 'tool.endsWith("view") || tool.startsWith("default.s") || tool.contains("urch")', "matched": 'tool.matches("^default\\\\.[cs]")'}
-    from provlake.plans.compile import Typed, to_column
-
     calls = tables.event_calls(spark, sf_dir).withColumn("args", F.try_parse_json("args"))
     scope = {"args": Typed(F.col("args"), "variant"), "tool": Typed(F.col("tool"), "string")}
     said = [F.coalesce(to_column(t, scope).cast("string"), F.lit("error")).alias(k) for k, t in tests.items()]
@@ -378,12 +381,6 @@ def _label_ops(docs: DataFrame, head: Labeled, lang: Labeled) -> DataFrame:
     return docs.select("doc_id", *[c for k, x in cases.items() for c in _said(x, k)])
 
 
-def string_ops_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which labels each family of string functions keeps, merges or loses."""
-    text, lang = _pairs()
-    return _label_ops(table(spark, sf_dir, "documents"), strings.slice_(text, 0, 20), lang)
-
-
 def string_ops_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """string_ops_labels with every function over the whole text."""
     return _label_ops(table(spark, sf_dir, "documents"), *_pairs())
@@ -391,13 +388,12 @@ def string_ops_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _M = "CASE WHEN doc_id % 2 = 0 THEN ',langs' ELSE '' END"
 _ML = "CASE WHEN doc_id % 2 = 0 THEN 'langs,' ELSE '' END"
-LABEL_OPS_SQL = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, lang, substr(text, 1, 20) AS h FROM documents),
+LABEL_OPS_SQL = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS source, lang, text AS h FROM documents),
 p AS (SELECT *, string_split(h, 'e') AS s FROM d)
 SELECT doc_id, h || lang AS added, source || {_M} AS added_from, '>> ' || h AS radded, source AS radded_from,
   CASE len(s) WHEN 1 THEN h WHEN 2 THEN s[1] || lang || s[2] ELSE s[1] || lang || s[2] || lang || array_to_string(s[3:], 'e') END AS replaced, source || {_M} AS replaced_from,
   lang || '/' || h AS formatted, {_ML} || source AS formatted_from, lang || '-' || h AS filled, {_ML} || source AS filled_from, h || ', ' || lang AS joined, 'sep,' || source || {_M} AS joined_from,
   h || ', ' || lang AS lost, '-' AS lost_from, lpad(h, greatest(30, length(h))::INT, ' ') AS spec, '-' AS spec_from, upper(lang) AS upper, CASE WHEN doc_id % 2 = 0 THEN 'langs' ELSE '-' END AS upper_from FROM p"""
-LABEL_OPS_WHOLE_SQL = LABEL_OPS_SQL.replace("substr(text, 1, 20)", "text")
 
 
 def _value_ops(docs: DataFrame, text: Labeled, head: Labeled) -> DataFrame:
@@ -407,26 +403,19 @@ def _value_ops(docs: DataFrame, text: Labeled, head: Labeled) -> DataFrame:
     return docs.select("doc_id", strings.strip(padded).value.alias("stripped"), strings.strip(head, "T.e").value.alias("stripped_chars"), F.array_join(strings.split(padded).value, "|").alias("words"), F.array_join(strings.split(head, "e", 2).value, "|").alias("split2"), strings.slice_(text, -5).value.alias("tail"), strings.ljust(head, 30, "*").value.alias("ljust"), strings.rjust(head, 30).value.alias("rjust"), strings.zfill(Labeled((F.col("doc_id") * -1).cast("string"), labels.none()), 8).value.alias("zfill"), strings.removeprefix(head, "The ").value.alias("noprefix"), strings.capitalize(strings.upper(Labeled(F.col("lang"), labels.none()))).value.alias("capital"), part.value["head"].alias("first_word"), rpart.value["tail"].alias("last_word"), F.size(strings.splitlines(text).value).alias("n_lines"), strings.repeat(Labeled(F.col("lang"), labels.none()), 3).value.alias("thrice"), F.hex(strings.encode(Labeled(F.col("lang"), labels.none())).value).alias("encoded"))
 
 
-def string_ops_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of the string functions whose Spark counterparts differ from Python's."""
-    text = Labeled(F.col("text"), labels.none())
-    return _value_ops(table(spark, sf_dir, "documents"), text, strings.slice_(text, 0, 24))
-
-
 def string_ops_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """string_ops_values with every function over the whole text."""
     text = Labeled(F.col("text"), labels.none())
     return _value_ops(table(spark, sf_dir, "documents"), text, text)
 
 
-VALUES_SQL = """WITH d AS (SELECT doc_id, text, lang, substr(text, 1, 24) AS h FROM documents)
+VALUES_SQL = """WITH d AS (SELECT doc_id, text, lang, text AS h FROM documents)
 SELECT doc_id, regexp_replace(regexp_replace(h, '^[\\s]+', ''), '[\\s]+$', '') AS stripped, trim(h, 'T.e') AS stripped_chars, array_to_string(list_filter(regexp_split_to_array(h, '\\s+'), lambda x: x <> ''), '|') AS words,
   CASE WHEN len(string_split(h, 'e')) <= 3 THEN array_to_string(string_split(h, 'e'), '|') ELSE array_to_string(string_split(h, 'e')[1:2], '|') || '|' || array_to_string(string_split(h, 'e')[3:], 'e') END AS split2,
   right(text, 5) AS tail, h || repeat('*', greatest(0, 30 - length(h))::INT) AS ljust, repeat(' ', greatest(0, 30 - length(h))::INT) || h AS rjust,
   CASE WHEN doc_id = 0 THEN '00000000' ELSE '-' || lpad(doc_id::VARCHAR, greatest(7, length(doc_id::VARCHAR))::INT, '0') END AS zfill, CASE WHEN starts_with(h, 'The ') THEN substr(h, 5) ELSE h END AS noprefix,
   upper(substr(lang, 1, 1)) || substr(lang, 2) AS capital, CASE WHEN contains(h, ' ') THEN split_part(h, ' ', 1) ELSE h END AS first_word, split_part(h, ' ', -1) AS last_word,
   (len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) OR text = '' THEN 1 ELSE 0 END)::INT AS n_lines, repeat(lang, 3) AS thrice, hex(encode(lang)) AS encoded FROM d"""
-VALUES_WHOLE_SQL = VALUES_SQL.replace("substr(text, 1, 24)", "text")
 
 
 def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -535,6 +524,244 @@ EXPLAIN_SQL = """SELECT * FROM (VALUES ('agent-0',0,'long_untrusted','conditiona
  ('agent-3',0,'long_untrusted','conditional','-',false), ('agent-3',1,'senior','eliminated','-',false), ('agent-3',2,'late_turn','conditional','-',false),
  ('group staff',0,'long_untrusted','conditional','-',false), ('group staff',1,'senior','conditional','-',true), ('group staff',2,'late_turn','conditional','-',false)) t(who, ord, rule, outcome, shadowed_by, depends_on_member)"""
 
+
+def args_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arguments of a call compared and computed with: whole numbers, decimals of unlike scale, doubles, texts."""
+    tests = {
+        "less": "args.k < args.ten",
+        "whole_and_decimal": "args.k > args.quarter",
+        "decimals": "args.quarter > args.fixed",
+        "equal": "args.quarter == args.half",
+        "total": "args.k + args.ten > 50",
+        "mixed_total": "args.k + args.quarter >= 20.5",
+        "difference": "args.k - args.ten == args.ten",
+        "product": "args.ten * args.quarter > args.k",
+        "ratio": "args.k / 7 == args.ten",
+        "texts": "args.kind < args.other",
+        "unlike": "args.kind == args.k",
+        "listed": "args.k in [args.ten, 20, 30]",
+        "nothing": "args.none == null || args.kind == args.k",
+        "same_list": "args.pair == [args.k, args.ten]",
+        "keys": "size(args) == 8 && args.exists(k, k == 'quarter')",
+    }
+    ten, quarter = F.col("event_id") % 10, (F.col("event_id") % 7) / F.lit(4)
+    k = F.get_json_object("props", "$.k").cast("long")
+    number = lambda c: F.regexp_replace(F.format_number(c, 2), ",", "")
+    parts = ['{"k":', k, ',"ten":', ten, ',"quarter":', number(quarter), ',"half":', F.when(ten % 2 == 0, F.lit("0.5")).otherwise(F.lit("0.500"))]
+    parts += [',"fixed":1.25,"kind":"', F.col("event_type"), '","other":"purchase","none":null,"pair":[', k, ",", ten, "]}"]
+    text = F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    calls = table(spark, sf_dir, "events").where("event_type <> 'error'").select("event_id", F.parse_json(text).alias("args"))
+    scope = {"args": Typed(F.col("args"), "variant")}
+    said = [F.coalesce(to_column(test, scope).cast("string"), F.lit("error")).alias(name) for name, test in tests.items()]
+    return calls.select("event_id", *said)
+
+
+PAIRS_SQL = """WITH b AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 10 AS ten, (event_id % 7) / 4.0 AS quarter, event_type AS kind FROM events WHERE event_type <> 'error')
+SELECT event_id, (k < ten)::VARCHAR AS less, (k > quarter)::VARCHAR AS whole_and_decimal, (quarter > 1.25)::VARCHAR AS decimals, (quarter = 0.5)::VARCHAR AS equal,
+  (k + ten > 50)::VARCHAR AS total, (k + quarter >= 20.5)::VARCHAR AS mixed_total, (k - ten = ten)::VARCHAR AS difference, (ten * quarter > k)::VARCHAR AS product,
+  (k // 7 = ten)::VARCHAR AS ratio, (kind < 'purchase')::VARCHAR AS texts, 'error' AS unlike, (k IN (ten, 20, 30))::VARCHAR AS listed, 'true' AS nothing, 'true' AS same_list, 'false' AS keys FROM b"""
+
+
+def string_ops_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text functions on whole texts as bytes; results are read as text again."""
+    b = Labeled(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), labels.fresh("docs", F.col("doc_id")), True)
+    word, rest = strings.partition(b, b" "), strings.rpartition(b, b" ")
+    made = {
+        "upper": strings.upper(b).value,
+        "swapped": strings.swapcase(b).value,
+        "stripped": strings.strip(b).value,
+        "replaced": strings.replace(b, b"e", strings.plain(b"EE")).value,
+        "filled": strings.zfill(strings.encode(plain(F.col("lang"))), 5).value,
+        "padded": strings.ljust(strings.encode(plain(F.col("lang"))), 6, b"*").value,
+        "prefix": strings.removeprefix(b, b"The ").value,
+        "first": word.value["head"],
+        "last": rest.value["tail"],
+        "tabs": strings.expandtabs(strings.encode(plain(F.concat("lang", F.lit("\t"), "lang"))), 8).value,
+        "cap": strings.capitalize(strings.lower(strings.encode(plain(F.col("lang"))))).value,
+    }
+    counts = {"n_bytes": F.octet_length(b.value), "n_words": F.size(strings.split(b).value), "n_lines": F.size(strings.splitlines(b).value), "code": strings.item(b, 0).value}
+    texts = [F.decode(v, "UTF-8").alias(k) for k, v in made.items()]
+    return table(spark, sf_dir, "documents").select("doc_id", *texts, *[F.coalesce(v, F.lit(-1)).cast("long").alias(k) for k, v in counts.items()], strings.upper(b).label["source"].alias("label"))
+
+
+_AZ, _ZA = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BYTES_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents)
+SELECT doc_id, translate(t, '{_AZ}', '{_ZA}') AS upper, translate(t, '{_AZ}{_ZA}', '{_ZA}{_AZ}') AS swapped, trim(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS stripped,
+  replace(t, 'e', 'EE') AS replaced,
+  lpad(lang, 5, '0') AS filled,
+  lang || '****' AS padded, CASE WHEN starts_with(t, 'The ') THEN substr(t, 5) ELSE t END AS prefix, split_part(t, ' ', 1) AS first, split_part(t, ' ', -1) AS last,
+  lang || '      ' || lang AS tabs, upper(left(lang, 1)) || lower(substr(lang, 2)) AS cap, strlen(t)::BIGINT AS n_bytes,
+  len(list_filter(regexp_split_to_array(t, '[\t-\r ]+'), lambda x: x <> ''))::BIGINT AS n_words,
+  (len(regexp_split_to_array(t, '\r\n|[\n\r]')) - CASE WHEN t = '' OR regexp_matches(t, '[\n\r]$') THEN 1 ELSE 0 END)::BIGINT AS n_lines,
+  CASE WHEN t = '' THEN -1 ELSE ('0x' || left(hex(encode(t)), 2))::BIGINT END AS code, 'docs' AS label FROM d"""
+
+
+def text_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions whose semantics Spark has none for, over whole texts and languages."""
+    text, lang = plain(F.coalesce("text", F.lit(""))), plain(F.col("lang"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        strings.casefold(text).value.alias("folded"),
+        strings.swapcase(text).value.alias("swapped"),
+        strings.title(lang).value.alias("title"),
+        strings.expandtabs(plain(F.concat("lang", F.lit("\t"), "lang")), 8).value.alias("tabs"),
+        strings.capitalize(plain(F.concat(F.lit("ß"), "lang"))).value.alias("cap"),
+        strings.slice_(text, None, None, -1).value.alias("turned"),
+        F.array_join(strings.rsplit(text, " ", 1).value, "|").alias("last_apart"),
+    )
+
+
+CASE_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lang FROM documents)
+SELECT doc_id, replace(lower(t), 'ß', 'ss') AS folded,
+  array_to_string(list_transform(string_split(t, ''), lambda c: CASE WHEN c = 'ß' THEN 'SS' WHEN c = upper(c) THEN lower(c) ELSE upper(c) END), '') AS swapped,
+  upper(left(lang, 1)) || lower(substr(lang, 2)) AS title, lang || '      ' || lang AS tabs, 'Ss' || lower(lang) AS cap, reverse(t) AS turned,
+  CASE WHEN contains(t, ' ') THEN left(t, length(t) - length(split_part(t, ' ', -1)) - 1) || '|' || split_part(t, ' ', -1) ELSE t END AS last_apart FROM d"""
+
+
+def typed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of typed values: mapped, collected and counted; bytes are leaves, too."""
+    value = F.struct("text", F.struct("lang", "n_chars").alias("about"), F.array("source", "lang").alias("list"), F.create_map(F.lit("k"), F.col("source")).alias("map"), F.encode("lang", "UTF-8").alias("raw"))
+    t = table(spark, sf_dir, "documents").select("doc_id", value.alias("v"))
+    kind = t.schema["v"].dataType
+    marked = nested.map_leaves(F.col("v"), kind, lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">")))
+    found = nested.collect_leaves(F.col("v"), kind)
+    return t.select("doc_id", marked["about"]["lang"].alias("lang"), marked["list"][0].alias("source"), marked["raw"].alias("raw"), F.size(found).cast("long").alias("n"), joined(F.slice(found, 2, 10)).alias("rest"), F.lit(len(list(nested.leaf_paths(kind)))).cast("long").alias("n_paths"))
+
+
+TYPED_SQL = """SELECT doc_id, '<' || lang || '>' AS lang, '<' || source || '>' AS source, '<' || lang || '>' AS raw,
+  (3 + 1 + (text IS NOT NULL)::INT + 2 * (source IS NOT NULL)::INT - 0)::BIGINT AS n, concat_ws(',', CASE WHEN text IS NULL THEN NULL ELSE lang END, source, lang, 'k', source, lang) AS rest, 6::BIGINT AS n_paths FROM documents"""
+
+
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's output over a document and, for every third, a label of its source: derived labels and endorsements."""
+    t = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("source", F.lit("none")).alias("source"))
+    a = labels.endorse(labels.fresh(F.col("source"), F.col("doc_id"), F.lit("reader")), "checked")
+    b = F.when(F.col("doc_id") % 3 == 0, labels.fresh(F.concat(F.lit("lang_"), "lang"), F.col("doc_id")))
+    t = t.select("doc_id", labels.track_model_call([a, b], F.col("doc_id"), F.lit("writer")).alias("label"), labels.track_model_call([labels.none()], F.col("doc_id")).alias("nothing"), labels.endorsement_record(a, "checked", "seen", F.lit("reader")).alias("record"))
+    return t.select("doc_id", "label.source", joined(F.col("label.lineage")).alias("lineage"), joined(F.col("label.ingested_by")).alias("agents"), F.size("label.endorsements").cast("long").alias("endorsements"), F.col("nothing").isNull().alias("unlabeled"), F.concat_ws("/", "record.kind", "record.note", "record.agent_id").alias("record"))
+
+
+MODEL_SQL = """SELECT doc_id, 'model' AS source, concat_ws(',', coalesce(source, 'none'), CASE WHEN doc_id % 3 = 0 THEN 'lang_' || lang END) AS lineage,
+  concat_ws(',', 'reader', CASE WHEN doc_id % 3 = 0 AND lang IS NOT NULL THEN 'default' END, 'writer') AS agents, 0::BIGINT AS endorsements, true AS unlabeled, 'checked/seen/reader' AS record FROM documents"""
+
+
+def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions written as JSON lines by a fan-out of which one sink fails, read back, and counted by run and agent."""
+    path = f"{own_dir(spark)}/records-{uuid.uuid4().hex}"
+    decided = decide.check(tables.event_calls(spark, sf_dir), policy(EVENTS), tables.event_ingress(spark, sf_dir))
+
+    def failing(_: DataFrame) -> None:
+        raise RuntimeError("this sink fails")
+
+    fan = records.FanOut(failing)
+    fan.add(lambda rows: records.write(rows, path))
+    fan.add(records.to_null)
+    logging.getLogger("provlake").addFilter(_quiet)
+    try:
+        fan(decide.events(decided))
+    finally:
+        logging.getLogger("provlake").removeFilter(_quiet)
+    good, bad = records.read(spark, path)
+    counted = records.tree(good).groupBy("run_id", "agent_id").agg(F.count("*").alias("n"), F.count_if(F.length("summary") > 0).alias("n_said"))
+    return counted.join(bad.agg(F.count("*").alias("n_bad")), how="cross")
+
+
+def _quiet(record: logging.LogRecord) -> bool:
+    return "record sink failed" not in record.getMessage()
+
+
+LOG_SQL = f"""WITH {_EVENT}
+SELECT run_id, agent_id, count(*) AS n, count(*) AS n_said, 0::BIGINT AS n_bad FROM state GROUP BY ALL"""
+
+
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, decided with run state kept by Spark, until the input is used up."""
+    from provlake.streaming.runs import decide_stream
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    place = f"{own_dir(spark)}/stream-{uuid.uuid4().hex}"
+    source = table(spark, sf_dir, "events")
+    rows = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*")
+    error = F.col("event_type") == "error"
+    log = rows.select(
+        *tables.event_run(),
+        F.when(error, "ingress").otherwise("call").alias("kind"),
+        F.lit(None).cast("string").alias("session_id"),
+        F.concat(F.lit("feed_"), (F.col("event_id") % 4).cast("string")).alias("source"),
+        F.concat(F.lit("default."), "event_type").alias("tool"),
+        F.to_json(F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")).alias("args_json"),
+        F.lit(None).cast("string").alias("labels_json"),
+    )
+    decided = decide_stream(log, policy(EVENTS), ttl_ms=None)
+    decided = decided.select(F.try_variant_get("args", "$.event_id", "long").alias("event_id"), "run_tainted", joined(F.col("run_trifecta")).alias("run_trifecta"), "action", F.coalesce("matched_rule", F.lit("-")).alias("rule"), "late")
+    try:
+        query = decided.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    return spark.read.schema(decided.schema).parquet(f"{place}/out").where("NOT late").drop("late")
+
+
+def newest_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest twenty findings of the audit, as a bounded registry keeps them."""
+    return audit.newest(audit_findings(spark, sf_dir), 20)
+
+
+def laundered_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns enter as untrusted content; the next assistant turn repeats them in a nested argument, without a label."""
+    p = from_text('version: "2.0"\nsources: [{name: user_0, trust: trusted}]')
+    said = tables.conversation_ingress(spark, sf_dir).where(F.length("text") >= 12)
+    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("They said: "), "text").alias("quote"))).alias("parts"), F.lit("a note of no one").alias("note")))
+    calls = said.select("run_id", (F.col("seq") + 1).alias("seq"), "agent_id", F.lit("default.post").alias("tool"), body.alias("args"))
+    return audit.findings(audit.argument_leaves(calls), p, said).select("run_id", "source", "tool", "argument", "seq")
+
+
+LAUNDERED_SQL = """WITH ing AS (SELECT 'conv-' || conv_id AS run_id, turn, 'user_' || (conv_id + turn) % 3 AS source, text FROM conversations WHERE role = 'user' AND length(text) >= 12)
+SELECT c.run_id, i.source, 'default.post' AS tool, 'parts' AS argument, min(c.turn + 1) AS seq FROM ing c JOIN ing i ON c.run_id = i.run_id AND i.turn + 1 <= c.turn + 1 AND contains(c.text, i.text) AND i.source <> 'user_0' GROUP BY 1, 2"""
+
+
+def envelope_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes beside the keys of a document, some of which are changed; what the sound ones bring into a reader's run."""
+    key = b"0123456789abcdef0123456789abcdef"
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("body"))
+    leaves = F.array(F.struct(F.lit("$.text").alias("path"), labels.fresh("web", F.concat_ws("/", "conv_id", "turn")).alias("label"), F.lit("str").alias("carrier")))
+    run = F.array(F.struct(F.lit("web").alias("source"), F.lit("untrusted").alias("trust"), F.array(F.lit("a")).alias("ingested_by")))
+    wire = envelope.pack(F.col("body"), leaves, run, F.array(F.lit("reads_private")), key)
+    sent = t.withColumn("sent", wire).withColumn("own", F.concat(F.lit('{"amount":'), F.col("turn").cast("string"), F.lit(',"to":"x"}')))
+    sent = sent.withColumn("d", envelope.pack_into(F.col("own"), F.col("sent"), key))
+    case = F.col("conv_id") % 4
+    changed = F.when(case == 1, F.regexp_replace("d", '"amount":[0-9]+', '"amount":999')).when(case == 2, F.replace("d", F.lit('"label_pool":[{'), F.lit('"label_pool":[{"more":1,'))).when(case == 3, F.replace("d", F.lit('"to":"x"'), F.lit('"to": "x"'))).otherwise(F.col("d"))
+    sent = sent.withColumn("d", changed).withColumn("wire", envelope.unpack_from(F.col("d"))).withColumns({"run_id": F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), "seq": F.col("turn")})
+    read = envelope.unpack(sent, "wire", key, "d")
+    brought = envelope.replay_capabilities(read).groupBy("run_id", "seq").agg(joined(F.collect_set("capability")).alias("brought"))
+    texts = envelope.replay_texts(read).select("run_id", "seq", F.length("text").cast("long").alias("text_chars"))
+    out = read.select("conv_id", "turn", "run_id", "seq", F.coalesce("reject_reason", F.lit("-")).alias("reject_reason"))
+    out = out.join(brought, ["run_id", "seq"], "left").join(texts, ["run_id", "seq"], "left")
+    return out.select("conv_id", "turn", "reject_reason", F.coalesce("brought", F.lit("-")).alias("brought"), F.coalesce("text_chars", F.lit(-1)).cast("long").alias("text_chars"))
+
+
+DOCUMENT_SQL = """SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN CASE WHEN turn = 999 THEN '-' ELSE 'wrong code' END WHEN 2 THEN 'schema' ELSE '-' END AS reject_reason,
+  CASE WHEN conv_id % 4 IN (0, 3) THEN 'reads_private' ELSE '-' END AS brought, CASE WHEN conv_id % 4 IN (0, 3) AND text IS NOT NULL THEN length(text) ELSE -1 END::BIGINT AS text_chars FROM conversations"""
+
+
+def starter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The starter policy: written, read, checked and compiled; its rules, its problems and what its fingerprint tells."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/policy.yaml"
+        init(path)
+        p, problems = load(path), lint.validate(path)
+    other = from_text(STARTER.replace("action: block", "action: require_approval", 1))
+    mentions = {r["rule"]: (r["agents"], r["groups"]) for key in p.sinks for r in explain.for_tool(p, key)}
+    rows = [(key, n, r.name, r.action, ",".join(mentions[r.name][0] + mentions[r.name][1]) or "-") for key, s in p.sinks.items() for n, r in enumerate(s.rules)]
+    same = p.fingerprint == from_text(STARTER).fingerprint and p.fingerprint != other.fingerprint
+    return spark.createDataFrame([(*row, len(problems), same) for row in rows], "sink string, ord int, rule string, action string, mentions string, n_problems int, fingerprint_tells boolean")
+
+
+STARTER_SQL = """SELECT * FROM (VALUES ('desk.refund', 0, 'own_desk', 'allow', 'refund-clerk', 0, true), ('desk.refund', 1, 'unread_sources', 'block', '-', 0, true),
+  ('mail.send', 0, 'private_and_untrusted', 'block', '-', 0, true), ('mail.send', 1, 'inside', 'allow', '-', 0, true), ('mail.send', 2, 'ask', 'require_approval', '-', 0, true)) t(sink, ord, rule, action, mentions, n_problems, fingerprint_tells)"""
+
 REGISTERED = {
     "trust_resolution": (trust_resolution, TRUST_SQL),
     "untrusted_sources_by_lang": (untrusted_sources_by_lang, UNTRUSTED_SQL),
@@ -553,10 +780,8 @@ REGISTERED = {
     "sink_default_fallthrough": (sink_default_fallthrough, DEFAULT_SQL),
     "groups_gate": (groups_gate, GROUPS_SQL),
     "unlabeled_documents": (unlabeled_documents, UNLABELED_SQL),
-    "string_ops_labels": (string_ops_labels, LABEL_OPS_SQL),
-    "string_ops_values": (string_ops_values, VALUES_SQL),
-    "string_ops_labels_whole": (string_ops_labels_whole, LABEL_OPS_WHOLE_SQL),
-    "string_ops_values_whole": (string_ops_values_whole, VALUES_WHOLE_SQL),
+    "string_ops_labels_whole": (string_ops_labels_whole, LABEL_OPS_SQL),
+    "string_ops_values_whole": (string_ops_values_whole, VALUES_SQL),
     "rejected_rows": (rejected_rows, REJECTED_SQL),
     "envelope_round_trip": (envelope_round_trip, ENVELOPE_SQL),
     "variant_leaves": (variant_leaves, LEAVES_SQL),
@@ -564,4 +789,15 @@ REGISTERED = {
     "describe_events": (describe_events, DESCRIBE_SQL),
     "policy_problems": (policy_problems, LINT_SQL),
     "explain_rules": (explain_rules, EXPLAIN_SQL),
+    "args_pairs": (args_pairs, PAIRS_SQL),
+    "string_ops_bytes": (string_ops_bytes, BYTES_SQL),
+    "text_case": (text_case, CASE_SQL),
+    "typed_leaves": (typed_leaves, TYPED_SQL),
+    "model_calls": (model_calls, MODEL_SQL),
+    "record_log": (record_log, LOG_SQL),
+    "stream_decisions": (stream_decisions, RULE_OF_TWO_SQL),
+    "newest_findings": (newest_findings, f"SELECT * FROM ({AUDIT_SQL}) ORDER BY seq DESC, run_id, source, tool, argument LIMIT 20"),
+    "laundered_arguments": (laundered_arguments, LAUNDERED_SQL),
+    "envelope_in_document": (envelope_in_document, DOCUMENT_SQL),
+    "starter_rules": (starter_rules, STARTER_SQL),
 }
