@@ -88,7 +88,7 @@ def apply_mode(case: Column, failed: Column, mode: str) -> tuple[Column, Column]
 
 def decide(prepared_calls: DataFrame, policy: Policy, mode: str) -> DataFrame:
     """Decisions for calls that carry their run state already (see runs.derived); batch and stream share this."""
-    out = with_context(prepared_calls, policy).withColumn("__case", rules_column(policy))
+    out = with_context(prepared_calls, trust.check_size(policy)).withColumn("__case", rules_column(policy))
     failed = F.col("__case").isNull()
     action, outcome = apply_mode(F.col("__case"), failed, mode)
     valid = F.col("reject_reason").isNull()

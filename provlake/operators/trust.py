@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provlake.errors import ConfigError
 from provlake.plans.policy import CAPABILITIES, FROM_UNTRUSTED, Policy
 from provlake.schema import LABEL, RUN_ENTRY
 
-#: A table of up to so many rows becomes a literal in the plan; sources_by_join serves any size.
-LITERAL_ROWS = 5_000
-
-
 def _map(pairs: dict[str, Column], key: Column, kind: str) -> Column:
     flat = [c for k, v in pairs.items() for c in (F.lit(k), v)]
     return F.element_at(F.create_map(*flat), key) if flat else F.lit(None).cast(kind)
 
 
+#: A policy's table of more names than this would make a plan of unbearable size: rows are given their trust by a join.
+LITERAL_ROWS = 5_000
+
+
+def check_size(policy: Policy) -> Policy:
+    """The policy, if its tables are small enough to be literals of the plan."""
+    for what, table in (("sources", policy.sources), ("agents", policy.agents), ("sinks", policy.sinks)):
+        if len(table) > LITERAL_ROWS:
+            raise ConfigError(f"a policy of {len(table)} {what}: more than {LITERAL_ROWS} are no literals; join them (sources_by_join)")
+    return policy
+
+
 def source_trust(policy: Policy, name: Column) -> Column:
     """Trust of a source: untrusted unless declared."""
     return F.coalesce(_map({k: F.lit(v) for k, v in policy.sources.items()}, name, "string"), F.lit("untrusted"))

@@ -15,7 +15,7 @@ from provlake.plans.policy import CAPABILITIES, FROM_UNTRUSTED, LEGS, Policy, Ru
 # What a rule can read of the run and of the agent.
 RUN_FIELDS = ("tainted", "sources", "untrusted_sources", "ingested_by", "trifecta")
 AGENT_FIELDS = ("id", "groups")
-#: A rule that mentions one of these looks at provenance, not at identity alone.
+#: A rule that mentions one of these looks at provenance, not at identity alone; who ingested is identity, too.
 PROVENANCE = ("taint", "max_trust", "sources", "run")
 
 
@@ -94,25 +94,31 @@ def _of_rule(policy: Policy, rule: Rule) -> list[tuple[str, str, str]]:
     for call in _calls(tree, "exists", "agent", "groups"):
         out += [("warning", "undeclared_group", f"no agent is declared in group {g!r}") for g in _compared(call) if g not in policy.groups]
     if any(n.kind == "binary" and n.name in ("==", "!=") and any(is_field(bare(a), "t", "source") for a in n.args) for n in tree.walk()):
-        out.append(("warning", "label_source", "compares t.source, which is only the first contributor of a merged label: use t.lineage.exists(s, s == ...)"))
+        out.append(("warning", "label_source", "t.source names one of several sources once values are combined; test the whole t.lineage instead"))
     if rule.action == "allow":
         for field in ("sources", "untrusted_sources", "ingested_by", "trifecta"):
             if _calls(tree, "all", "run", field):
-                out.append(("warning", "run_all_allows", f"run.{field}.all(...) holds for a run without recorded ingress: use exists"))
-        names = {n.name for n in tree.walk() if n.kind == "ident"}
+                out.append(("warning", "run_all_allows", f"an empty run.{field} satisfies all(...), so this allows runs that nothing is known of"))
+        names = _names_read(tree)
         if "agent" in names and not names & set(PROVENANCE):
-            out.append(("warning", "identity_allows", "allows by the agent's identity alone, whatever the provenance"))
+            out.append(("warning", "identity_allows", "asks who calls but not where the arguments came from"))
         if _calls(tree, "all", "taint", None):
-            out.append(("warning", "taint_all_allows", "taint.all(...) holds for a call without labels"))
+            out.append(("warning", "taint_all_allows", "an empty taint satisfies all(...), so this allows calls without any label"))
     return out
 
 
+def _names_read(tree: Node) -> set[str]:
+    """The names a rule reads; run counts only where more of it is read than who ingested."""
+    agents = {id(bare(n.target)) for n in tree.walk() if is_field(n, "run", "ingested_by")}
+    return {n.name for n in tree.walk() if n.kind == "ident" and id(n) not in agents}
+
+
 def check(policy: Policy) -> list[Problem]:
     out = []
     declares = any(s.capabilities is not None for s in policy.sinks.values())
     for key, sink in policy.sinks.items():
         if declares and sink.capabilities is None:
-            out.append(Problem("warning", key, None, "capabilities", "declares no capabilities, not even an empty list, so none of its legs is computed"))
+            out.append(Problem("warning", key, None, "capabilities", "other sinks say what they can do, this one does not: write an empty list if it can do nothing"))
         out += _of_sink(policy, key, sink)
     return out
 

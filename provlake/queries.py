@@ -485,19 +485,22 @@ def describe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DESCRIBE_SQL = f"""WITH {_CONV},
 pairs AS (SELECT c.run_id, c.turn, i.source, i.agent, min(i.turn) AS pos FROM calls c JOIN ing i ON i.conv_id = c.conv_id AND i.turn < c.turn GROUP BY ALL),
-per AS (SELECT run_id, turn, source, source || ' by ' || string_agg(agent, '+' ORDER BY pos) AS named FROM pairs GROUP BY run_id, turn, source),
-st AS (SELECT run_id, turn, bool_or(source <> 'user_0') AS t, string_agg(named, ', ' ORDER BY named) FILTER (source <> 'user_0') AS unt, '[' || string_agg('"' || source || '"', ',' ORDER BY source) || ']' AS ingested FROM per GROUP BY run_id, turn),
+per AS (SELECT run_id, turn, source, source || '@' || string_agg(agent, '+' ORDER BY pos) AS named FROM pairs GROUP BY run_id, turn, source),
+st AS (SELECT run_id, turn, bool_or(source <> 'user_0') AS t, string_agg(named, '|' ORDER BY named) FILTER (source <> 'user_0') AS unt, '[' || string_agg('"' || source || '"', ',' ORDER BY source) || ']' AS ingested FROM per GROUP BY run_id, turn),
 legs AS (SELECT c.run_id, c.turn, bool_or((d.conv_id + d.turn) % 4 = 0) AS priv, bool_or((d.conv_id + d.turn) % 4 = 1) AS ext FROM calls c JOIN conversations d ON d.role = 'assistant' AND d.conv_id = c.conv_id AND d.turn <= c.turn GROUP BY ALL),
 w AS (SELECT d.*, CASE WHEN verdict = 'error' THEN 'allow' ELSE split_part(verdict, '|', 1) END AS action, CASE WHEN verdict = 'error' THEN 'evaluation_error' ELSE split_part(verdict, '|', 1) END AS outcome,
-  nullif(split_part(verdict, '|', 2), '') AS rule, coalesce(t, false) AS t, coalesce('  run_untrusted={{' || unt || '}}', '') AS unt, ingested, coalesce(label_source, '-') AS src, coalesce(label_agent, '-') AS by_, CASE WHEN untrusted THEN label_source ELSE '-' END AS us,
-  array_to_string(list_filter([CASE WHEN t THEN 'from_untrusted' END, CASE WHEN ext THEN 'reaches_external' END, CASE WHEN priv THEN 'reads_private' END], lambda x: x IS NOT NULL), ', ') AS rt
-  FROM decided d LEFT JOIN st USING (run_id, turn) LEFT JOIN legs USING (run_id, turn))
-SELECT run_id AS run, tool || '  ' || action || '  rule=' || coalesce(rule, 'default') || '  mode=monitor  untrusted_sources={{' || us || '}}  run_tainted=' || CASE WHEN t THEN 'True' ELSE 'False' END || unt || '  sources={{' || src || '}}  ingested_by={{' || by_ || '}}' AS event,
-  tool || '  [' || c || ']' || action || '[/' || c || ']  rule=' || coalesce(rule, 'no match (default sink action)') || CASE rule WHEN 'long_untrusted' THEN $$  when='taint.exists(t, t.trust == "untrusted") && size(args.text) > 400'$$ WHEN 'senior' THEN $$  when='agent.groups.exists(g, g == "senior")'$$ WHEN 'late_turn' THEN $$  when='args.turn >= 4'$$
-    WHEN 'needs_review' THEN $$  when='taint.exists(t, t.trust == "untrusted" && !t.endorsements.exists(k, k == "reviewed"))'$$ ELSE '' END
-    || '  mode=monitor  untrusted_sources={{' || us || '}}' || unt || CASE WHEN rt <> '' THEN '  run_trifecta={{' || rt || '}}' ELSE '' END || '  ingested_by={{' || by_ || '}}' AS decision,
+  nullif(split_part(verdict, '|', 2), '') AS rule, coalesce(t, false) AS t, coalesce('; run untrusted: ' || unt, '') AS unt, ingested,
+  coalesce(label_source, 'none') AS src, coalesce(label_agent, 'none') AS by_, CASE WHEN untrusted THEN label_source ELSE 'none' END AS us,
+  array_to_string(list_filter([CASE WHEN t THEN 'from_untrusted' END, CASE WHEN ext THEN 'reaches_external' END, CASE WHEN priv THEN 'reads_private' END], lambda x: x IS NOT NULL), '|') AS rt
+  FROM decided d LEFT JOIN st USING (run_id, turn) LEFT JOIN legs USING (run_id, turn)),
+said AS (SELECT *, CASE action WHEN 'allow' THEN 'cyan' WHEN 'block' THEN 'magenta' ELSE 'blue' END AS c, '; by: ' || coalesce(rule, '(no rule)') AS by_rule,
+  CASE rule WHEN 'long_untrusted' THEN $$; since: taint.exists(t, t.trust == "untrusted") && size(args.text) > 400$$ WHEN 'senior' THEN $$; since: agent.groups.exists(g, g == "senior")$$
+    WHEN 'late_turn' THEN $$; since: args.turn >= 4$$ WHEN 'needs_review' THEN $$; since: taint.exists(t, t.trust == "untrusted" && !t.endorsements.exists(k, k == "reviewed"))$$ ELSE '' END AS since FROM w)
+SELECT run_id AS run,
+  upper(action) || ' ' || tool || by_rule || '; under: monitor; from: ' || src || '; untrusted: ' || us || '; brought by: ' || by_ || '; run tainted: ' || CASE WHEN t THEN 'yes' ELSE 'no' END || unt AS event,
+  '<' || c || '>' || upper(action) || '</> ' || tool || by_rule || since || '; under: monitor; untrusted: ' || us || '; brought by: ' || by_ || unt || CASE WHEN rt <> '' THEN '; legs: ' || rt ELSE '' END AS decision,
   outcome, coalesce(ingested, '[]') AS ingested, false AS has_session, tool AS tool_name
-FROM (SELECT *, CASE action WHEN 'allow' THEN 'green' WHEN 'block' THEN 'red' ELSE 'yellow' END AS c FROM w)"""
+FROM said"""
 
 
 def policy_problems(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,3 +146,19 @@ def test_cli(tmp_path, capsys):
     assert cli.main(["explain", path, "--tool", "default.none"]) == 1
     assert cli.main(["explain", path, "--group", "readers"]) == 0
     assert cli.main(["validate", str(tmp_path / "none.yaml")]) == 1
+
+
+def test_who_ingested_is_no_provenance():
+    """An allow rule that reads only identities of agents, the caller's and those that ingested, is warned of."""
+    rule = lambda when: from_document({"version": "2.0", "agents": {"a": {"groups": []}}, "sinks": {"default.x": {"capabilities": [], "rules": [{"name": "r", "when": when, "action": "allow"}]}}})
+    codes = lambda when: [p.code for p in lint.check(rule(when))]
+    assert "identity_allows" in codes('agent.id == "a" && run.ingested_by.exists(x, x == "a")')
+    assert "identity_allows" not in codes('agent.id == "a" && run.sources.exists(x, x == "a")')
+
+
+def test_a_policy_too_large_for_a_plan(spark):
+    from provlake.operators import trust
+
+    p = from_document({"version": "2.0", "sources": [{"name": f"s{k}", "trust": "trusted"} for k in range(trust.LITERAL_ROWS + 1)]})
+    with pytest.raises(ConfigError):
+        trust.check_size(p)
