@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from provlake.errors import CelError
 from provlake.plans.cel import MACROS, Node, bare, parse, uses_any
+from provlake.runtime import session
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,7 @@ def text_list(col: Column | None) -> Typed:
 
 def context(col: Callable[[str], Column] = F.col) -> dict[str, Typed]:
     """The names that a rule can use, over the columns that operators.decide prepares."""
+    session()
     empty = F.lit(None)
     label = Typed(empty, "struct", fields={k: Typed(empty, "string") for k in ("source", "trust")} | {k: text_list(empty) for k in ("lineage", "ingested_by", "endorsements")})
     return {
@@ -463,6 +465,7 @@ class Compiler:
 
 def to_column(source: str | Node, names: dict[str, Typed] | None = None) -> Column:
     """The predicate as a boolean Column: true, false, or NULL where CEL would fail. Any other value counts by its truth."""
+    session()
     tree = parse(source) if isinstance(source, str) else source
     if uses_any(tree):
         raise CelError("uses .any(, which is no CEL macro: use .exists(")

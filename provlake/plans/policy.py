@@ -236,7 +236,7 @@ sinks:
   mail.send:
     capabilities: [reaches_external]
     rules:
-      - {name: private_and_untrusted, when: 'run.tainted && run.trifecta.exists(x, x == "reads_private")', action: block}
+      - {name: three_legs, when: 'run.tainted && run.trifecta.exists(x, x == "reads_private")', action: block}
       - {name: inside, when: 'args.to.endsWith("@shop.example") && !run.tainted', action: allow}
       - {name: ask, action: require_approval}
 """

@@ -763,7 +763,7 @@ def starter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STARTER_SQL = """SELECT * FROM (VALUES ('desk.refund', 0, 'own_desk', 'allow', 'refund-clerk', 0, true), ('desk.refund', 1, 'unread_sources', 'block', '-', 0, true),
-  ('mail.send', 0, 'private_and_untrusted', 'block', '-', 0, true), ('mail.send', 1, 'inside', 'allow', '-', 0, true), ('mail.send', 2, 'ask', 'require_approval', '-', 0, true)) t(sink, ord, rule, action, mentions, n_problems, fingerprint_tells)"""
+  ('mail.send', 0, 'three_legs', 'block', '-', 0, true), ('mail.send', 1, 'inside', 'allow', '-', 0, true), ('mail.send', 2, 'ask', 'require_approval', '-', 0, true)) t(sink, ord, rule, action, mentions, n_problems, fingerprint_tells)"""
 
 REGISTERED = {
     "trust_resolution": (trust_resolution, TRUST_SQL),

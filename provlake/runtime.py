@@ -15,6 +15,11 @@ PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+def session() -> SparkSession:
+    """The active session, or one made now: Columns, and so checks of a policy, need one."""
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each Spark application."""
     sc = spark.sparkContext
