@@ -48,7 +48,11 @@ def _explain(args: argparse.Namespace) -> int:
             print(f"the policy has no sink {args.tool!r}", file=sys.stderr)
             return 1
         for r in found:
-            print(f"{r['ord']} {r['rule']}: {r['action']}  when {r['condition'] or 'always'}  agents {r['agents'] or '-'}  groups {r['groups'] or '-'}")
+            print(
+                f"{r['ord']} {r['rule']}: {r['action']}  when {
+                    r['condition'] or 'always'
+                }  agents {r['agents'] or '-'}  groups {r['groups'] or '-'}"
+            )
         return 0
     sink = None
     for r in explain.for_agent(rules, args.agent) if args.agent else explain.for_group(rules, args.group):
@@ -56,7 +60,11 @@ def _explain(args: argparse.Namespace) -> int:
             sink = r.sink
             print(f"{sink}  (otherwise {r.default_action})")
         if r.outcome != "eliminated" or args.show_eliminated:
-            print(f"  {r.rule}: {r.action}  {r.outcome}" + (f"  when {r.residual}" if r.residual else "") + (f"  shadowed by {r.shadowed_by}" if r.shadowed_by else ""))
+            print(
+                f"  {r.rule}: {r.action}  {r.outcome}" + (f"  when {r.residual}" if r.residual else "") + (
+                    f"  shadowed by {r.shadowed_by}" if r.shadowed_by else ""
+                )
+            )
     return 0
 
 

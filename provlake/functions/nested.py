@@ -64,7 +64,12 @@ def collect_leaves(value: Column, kind: T.DataType, depth: int | None = DEFAULT_
     elif isinstance(kind, T.ArrayType):
         got = F.flatten(F.transform(value, lambda x: collect_leaves(x, kind.elementType, below)))
     else:
-        got = F.flatten(F.transform(F.map_entries(value), lambda e: F.concat(collect_leaves(e["key"], kind.keyType, below), collect_leaves(e["value"], kind.valueType, below))))
+        got = F.flatten(
+            F.transform(
+                F.map_entries(value),
+                lambda e: F.concat(collect_leaves(e["key"], kind.keyType, below), collect_leaves(e["value"], kind.valueType, below)),
+            )
+        )
     return F.coalesce(got, empty)
 
 
@@ -80,7 +85,12 @@ def map_leaves(value: Column, kind: T.DataType, fn: Callable[[Column], Column],
         return F.when(value.isNotNull(), made)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: map_leaves(x, kind.elementType, fn, below))
-    return F.map_from_entries(F.transform(F.map_entries(value), lambda e: F.struct(map_leaves(e["key"], kind.keyType, fn, below), map_leaves(e["value"], kind.valueType, fn, below))))
+    return F.map_from_entries(
+        F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(map_leaves(e["key"], kind.keyType, fn, below), map_leaves(e["value"], kind.valueType, fn, below)),
+        )
+    )
 
 
 def path_step(key: Column) -> Column:

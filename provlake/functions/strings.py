@@ -98,7 +98,11 @@ def concat(a: Labeled, b: Labeled) -> Labeled:
 @on_bytes()
 def percent(a: Labeled, *args: Labeled) -> Labeled:
     """a % args for %s, %d and %f: a's label and the arguments'."""
-    return replace_field(a, value=F.call_function("format_string", a.value, *[x.value for x in args]), label=merge(a.label, *[x.label for x in args]))
+    return replace_field(
+        a,
+        value=F.call_function("format_string", a.value, *[x.value for x in args]),
+        label=merge(a.label, *[x.label for x in args]),
+    )
 
 
 def percent_named(template: str, label: Column, **named: Labeled) -> Labeled:
@@ -159,7 +163,10 @@ def item(a: Labeled, k: int) -> Labeled:
 
 def format_spec(a: Labeled, spec: str = "") -> Labeled:
     """format(a, spec): an empty spec is a itself; any other loses the label."""
-    return a if not spec else Labeled(F.call_function("format_string", F.lit("%" + spec + ("" if spec[-1] == "s" else "s")), a.value), none())
+    return a if not spec else Labeled(
+        F.call_function("format_string", F.lit("%" + spec + ("" if spec[-1] == "s" else "s")), a.value),
+        none(),
+    )
 
 
 @on_bytes()

@@ -26,20 +26,30 @@ def prepared(calls: DataFrame) -> DataFrame:
     have = set(calls.columns)
     for c, kind in (("session_id", "string"), ("trace_id", "string"), ("span_id", "string"), ("labels", None), ("args", None)):
         if c not in have:
-            calls = calls.withColumn(c, trust.no_labels() if c == "labels" else F.parse_json(F.lit("{}")) if c == "args" else F.lit(None).cast(kind))
+            calls = calls.withColumn(
+                c,
+                trust.no_labels() if c == "labels" else F.parse_json(F.lit("{}")) if c == "args" else F.lit(None).cast(kind),
+            )
     kind = calls.schema["args"].dataType
     if isinstance(kind, T.StringType):
         calls = calls.withColumn("args", F.try_parse_json("args"))
     elif isinstance(kind, (T.StructType, T.MapType)):
         calls = calls.withColumn("args", F.to_variant_object("args"))
     agent = F.coalesce("agent_id", F.lit(names.DEFAULT_AGENT))
-    why = F.when(~names.tool_is_valid(F.col("tool")), F.lit("invalid tool name")).when(~names.name_is_valid(agent), F.lit("invalid agent id")).when(F.col("args").isNull(), F.lit("arguments are no object"))
+    why = F.when(
+        ~names.tool_is_valid(F.col("tool")),
+        F.lit("invalid tool name"),
+    ).when(~names.name_is_valid(agent), F.lit("invalid agent id")).when(F.col("args").isNull(), F.lit("arguments are no object"))
     calls = calls.withColumn("reject_reason", why).withColumn("agent_id", agent).withColumn("tool", names.qualify(F.col("tool")))
     return calls.withColumn("labels", collect_all(F.coalesce("labels", trust.no_labels())))
 
 
 def _case(action: str, rule: str | None, condition: str | None) -> Column:
-    return F.struct(F.lit(action).alias("action"), F.lit(rule).cast("string").alias("rule"), F.lit(condition).cast("string").alias("condition")).cast(_CASE)
+    return F.struct(
+        F.lit(action).alias("action"),
+        F.lit(rule).cast("string").alias("rule"),
+        F.lit(condition).cast("string").alias("condition"),
+    ).cast(_CASE)
 
 
 def sink_column(sink: Sink, default: str) -> Column:
@@ -93,7 +103,17 @@ def decide(prepared_calls: DataFrame, policy: Policy, mode: str) -> DataFrame:
     action, outcome = apply_mode(F.col("__case"), failed, mode)
     valid = F.col("reject_reason").isNull()
     run = F.coalesce("run_id", F.concat(F.lit("minted-"), F.sha2(F.concat_ws("|", "agent_id", "tool", F.col("seq").cast("string")), 256)))
-    out = out.withColumns({"action": F.when(valid, action), "outcome": F.when(valid, outcome), "matched_rule": F.when(valid, F.col("__case.rule")), "matched_condition": F.when(valid, F.col("__case.condition")), "mode": F.lit(mode), "policy_fingerprint": F.lit(policy.fingerprint), "run_id": run})
+    out = out.withColumns(
+        {
+            "action": F.when(valid, action),
+            "outcome": F.when(valid, outcome),
+            "matched_rule": F.when(valid, F.col("__case.rule")),
+            "matched_condition": F.when(valid, F.col("__case.condition")),
+            "mode": F.lit(mode),
+            "policy_fingerprint": F.lit(policy.fingerprint),
+            "run_id": run,
+        }
+    )
     out = out.withColumn("decision_id", F.sha2(F.concat_ws("|", "run_id", F.col("seq").cast("string"), "tool"), 256))
     return out.withColumnRenamed("labels", "contributing_labels").drop("__case", "taint")
 
@@ -122,11 +142,37 @@ def in_modes(decisions: DataFrame, modes: tuple[str, ...] = ("enforce", "monitor
 
 def events(decisions: DataFrame) -> DataFrame:
     """Decision rows as event records (see sources.records)."""
-    inner = ["action", "matched_rule", "matched_condition", "tool", "contributing_labels", "trifecta", "untrusted_sources", "run_tainted", "run_ingress", "run_trifecta", "mode", "decision_id", "agent_id", "run_id", "session_id"]
+    inner = [
+        "action",
+        "matched_rule",
+        "matched_condition",
+        "tool",
+        "contributing_labels",
+        "trifecta",
+        "untrusted_sources",
+        "run_tainted",
+        "run_ingress",
+        "run_trifecta",
+        "mode",
+        "decision_id",
+        "agent_id",
+        "run_id",
+        "session_id",
+    ]
     when = F.col("ts").cast("timestamp") if "ts" in decisions.columns else F.lit(None).cast("timestamp")
     from provlake.schema import SCHEMA_VERSION
 
-    return decisions.where("reject_reason IS NULL").select(F.lit("event").alias("record_type"), F.lit(SCHEMA_VERSION).alias("schema_version"), "trace_id", "span_id", "policy_fingerprint", when.alias("timestamp"), F.struct(*inner).alias("decision"), "sources", "outcome")
+    return decisions.where("reject_reason IS NULL").select(
+        F.lit("event").alias("record_type"),
+        F.lit(SCHEMA_VERSION).alias("schema_version"),
+        "trace_id",
+        "span_id",
+        "policy_fingerprint",
+        when.alias("timestamp"),
+        F.struct(*inner).alias("decision"),
+        "sources",
+        "outcome",
+    )
 
 
 def auto_deny(decisions: DataFrame) -> Column:
@@ -137,7 +183,10 @@ def auto_deny(decisions: DataFrame) -> Column:
 def release(decisions: DataFrame, resolver=auto_deny) -> DataFrame:
     """decisions with `released`: allowed, or in need of approval and released by the resolver (a Column of the frame)."""
     asked = F.coalesce(resolver(decisions), F.lit(False))
-    return decisions.withColumn("released", F.coalesce((F.col("action") == "allow") | ((F.col("action") == "require_approval") & asked), F.lit(False)))
+    return decisions.withColumn(
+        "released",
+        F.coalesce((F.col("action") == "allow") | ((F.col("action") == "require_approval") & asked), F.lit(False)),
+    )
 
 
 def message() -> Column:
@@ -151,6 +200,14 @@ def message() -> Column:
 def assert_released(released: DataFrame) -> None:
     """Raises for the first call that was not released: an evaluation that failed under enforce, a block, a denial."""
     worst = released.where(~F.col("released") & F.col("reject_reason").isNull())
-    worst = worst.select(F.when((F.col("outcome") == EVALUATION_ERROR) & (F.col("mode") == "enforce"), 0).when(F.col("action") == "block", 1).otherwise(2).alias("rank"), message().alias("why"), "run_id", "seq").orderBy("rank", "run_id", "seq").first()
+    worst = worst.select(
+        F.when(
+            (F.col("outcome") == EVALUATION_ERROR) & (F.col("mode") == "enforce"),
+            0,
+        ).when(F.col("action") == "block", 1).otherwise(2).alias("rank"),
+        message().alias("why"),
+        "run_id",
+        "seq",
+    ).orderBy("rank", "run_id", "seq").first()
     if worst is not None:
         raise (EvaluationFailed, PolicyViolation, ApprovalDenied)[worst["rank"]](worst["why"])

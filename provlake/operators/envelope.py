@@ -57,25 +57,65 @@ def mac(message: Column, key: bytes) -> Column:
 
 def _signed(version: Column, payload: Column, pool: Column, labels: Column, run: Column, key_id: Column) -> Column:
     """What the code covers: every field but the code, in one canonical text."""
-    return canonical(F.to_json(F.struct(version.alias("version"), payload.alias("payload"), pool.alias("label_pool"), labels.alias("labels"), run.alias("run"), key_id.alias("key_id"))))
+    return canonical(
+        F.to_json(
+            F.struct(
+                version.alias("version"),
+                payload.alias("payload"),
+                pool.alias("label_pool"),
+                labels.alias("labels"),
+                run.alias("run"),
+                key_id.alias("key_id"),
+            )
+        )
+    )
 
 
-def pack(payload: Column, labels: Column, run_ingress: Column | None = None, run_capabilities: Column | None = None, key: bytes | None = None, key_id: str | None = None) -> Column:
+def pack(
+    payload: Column,
+    labels: Column,
+    run_ingress: Column | None = None,
+    run_capabilities: Column | None = None,
+    key: bytes | None = None,
+    key_id: str | None = None,
+) -> Column:
     """The envelope of a payload (JSON text) and of its leaves' labels, ARRAY<STRUCT<path, label, carrier>>. Labels are
     pooled by id; the run's sources and agents are sorted."""
     if key_id is not None and key is None:
         raise UsageError("a key_id needs a key")
     pool = collect_all(F.transform(labels, lambda x: x["label"]))
     ids = F.transform(pool, lambda x: x["value_id"])
-    entries = F.transform(labels, lambda x: F.struct(x["path"].alias("path"), (F.array_position(ids, x["label"]["value_id"]) - 1).cast("int").alias("label"), x["carrier"].alias("carrier")))
+    entries = F.transform(
+        labels,
+        lambda x: F.struct(
+            x["path"].alias("path"),
+            (F.array_position(ids, x["label"]["value_id"]) - 1).cast("int").alias("label"),
+            x["carrier"].alias("carrier"),
+        ),
+    )
     entries = F.filter(entries, lambda e: e["label"] >= 0)
     run = F.lit(None).cast(RUN)
     if run_ingress is not None:
-        sources = F.array_sort(F.transform(run_ingress, lambda e: F.struct(e["source"].alias("name"), F.array_sort(e["ingested_by"]).alias("ingested_by"))))
-        run = F.struct(sources.alias("sources"), F.array_sort(run_capabilities if run_capabilities is not None else F.array().cast("array<string>")).alias("capabilities")).cast(RUN)
+        sources = F.array_sort(
+            F.transform(run_ingress, lambda e: F.struct(e["source"].alias("name"), F.array_sort(e["ingested_by"]).alias("ingested_by")))
+        )
+        run = F.struct(
+            sources.alias("sources"),
+            F.array_sort(run_capabilities if run_capabilities is not None else F.array().cast("array<string>")).alias("capabilities"),
+        ).cast(RUN)
     version, body, kid = F.lit(WIRE_VERSION), canonical(payload), F.lit(key_id).cast("string")
     code = mac(_signed(version, body, pool, entries, run, kid), key) if key is not None else F.lit(None).cast("string")
-    return F.to_json(F.struct(version.alias("version"), body.alias("payload"), pool.alias("label_pool"), entries.alias("labels"), run.alias("run"), kid.alias("key_id"), code.alias("mac")))
+    return F.to_json(
+        F.struct(
+            version.alias("version"),
+            body.alias("payload"),
+            pool.alias("label_pool"),
+            entries.alias("labels"),
+            run.alias("run"),
+            kid.alias("key_id"),
+            code.alias("mac"),
+        )
+    )
 
 
 def _name_ok(x: Column) -> Column:
@@ -102,7 +142,10 @@ def _keys_ok(wire: Column) -> Column:
     """No key beside those of the format, at any depth."""
     top = F.try_variant_get(wire, "$", "map<string,variant>")
     ok = _only(F.map_keys(top), _FIELDS)
-    ok = ok & F.coalesce(_only(F.map_keys(F.try_variant_get(wire, "$.run", "map<string,variant>")), ("sources", "capabilities")), F.lit(True))
+    ok = ok & F.coalesce(
+        _only(F.map_keys(F.try_variant_get(wire, "$.run", "map<string,variant>")), ("sources", "capabilities")),
+        F.lit(True),
+    )
     for place, allowed in _WITHIN.items():
         names = F.flatten(F.transform(F.try_variant_get(wire, f"$.{place}", "array<map<string,variant>>"), F.map_keys))
         ok = ok & F.coalesce(_only(names, allowed), F.lit(True))
@@ -127,8 +170,13 @@ def unpack(df: DataFrame, column: str, key: bytes | None = None, document: str |
         e["labels"],
         lambda x: x["path"].isNotNull() & x["carrier"].isin("str", "bytes", "scalar") & (x["label"] >= 0) & (x["label"] < F.size(e["label_pool"])),
     )
-    entries_ok = e["labels"].isNotNull() & (F.size(e["labels"]) <= MOST_ENTRIES) & entry_ok & (F.size(F.array_distinct(paths)) == F.size(paths))
-    sources_ok = (F.size(e["run"]["sources"]) <= MOST_LIST) & F.forall(e["run"]["sources"], lambda s: _name_ok(s["name"]) & _agents_ok(s["ingested_by"]))
+    entries_ok = e["labels"].isNotNull() & (F.size(e["labels"]) <= MOST_ENTRIES) & entry_ok & (
+        F.size(F.array_distinct(paths)) == F.size(paths)
+    )
+    sources_ok = (F.size(e["run"]["sources"]) <= MOST_LIST) & F.forall(
+        e["run"]["sources"],
+        lambda s: _name_ok(s["name"]) & _agents_ok(s["ingested_by"]),
+    )
     run_ok = e["run"].isNull() | (sources_ok & F.forall(e["run"]["capabilities"], lambda c: c.isin("reads_private", "reaches_external")))
     code_ok = e["mac"].isNull() | e["mac"].rlike(r"\Asha256:[0-9a-f]{64}\z")
     payload_ok = e["payload"].isNotNull() & F.try_parse_json(e["payload"]).isNotNull()
@@ -143,7 +191,10 @@ def unpack(df: DataFrame, column: str, key: bytes | None = None, document: str |
             keyed = F.coalesce(keyed, F.when(e["around"].isNull(), F.lit("siblings not signed")))
             verified = verified & (e["around"] == _around(_siblings(F.col(document)), e["mac"], key))
     why = F.when(loose["version"].isNull() | (loose["version"] != WIRE_VERSION), F.lit("version"))
-    why = why.when(~F.coalesce(shape_ok, no), F.lit("schema")).when(keyed.isNotNull(), keyed).when(~F.coalesce(verified, no), F.lit("wrong code"))
+    why = why.when(~F.coalesce(shape_ok, no), F.lit("schema")).when(keyed.isNotNull(), keyed).when(
+        ~F.coalesce(verified, no),
+        F.lit("wrong code"),
+    )
     df = df.withColumn("reject_reason", why)
     return df.withColumn("envelope", F.when(F.col("reject_reason").isNull(), e)).drop("__e", "__wire")
 
@@ -156,7 +207,14 @@ def label_at(envelope: Column, path: str, carrier: str = "str") -> Column:
 
 def labels_of(envelope: Column) -> Column:
     """Every labeled leaf: ARRAY<STRUCT<path, carrier, label>>."""
-    return F.transform(envelope["labels"], lambda x: F.struct(x["path"].alias("path"), x["carrier"].alias("carrier"), F.get(envelope["label_pool"], x["label"]).alias("label")))
+    return F.transform(
+        envelope["labels"],
+        lambda x: F.struct(
+            x["path"].alias("path"),
+            x["carrier"].alias("carrier"),
+            F.get(envelope["label_pool"], x["label"]).alias("label"),
+        ),
+    )
 
 
 def value_at(envelope: Column, path: str) -> Column:
@@ -191,7 +249,10 @@ def replay_texts(unpacked: DataFrame, run_id: str = "run_id", seq: str = "seq",
     """(run_id, seq, text, label) of every labeled text of the payload: what the reader's audit has to know of."""
     rows = unpacked.withColumn("__v", F.try_parse_json("envelope.payload"))
     rows = nested.with_leaves(rows, "__v", "__texts", depth)
-    named = F.transform(labels_of(F.col("envelope")), lambda x: F.struct(x["path"].alias("path"), x["label"].alias("label"), x["carrier"].alias("carrier")))
+    named = F.transform(
+        labels_of(F.col("envelope")),
+        lambda x: F.struct(x["path"].alias("path"), x["label"].alias("label"), x["carrier"].alias("carrier")),
+    )
     texts = F.transform("__texts", lambda x: F.struct(x["path"].alias("path"), x["text"].alias("text")))
     found = _each(rows, run_id, seq, F.arrays_zip(F.array(F.struct(named.alias("named"), texts.alias("texts"))).alias("both")))
     found = found.select("run_id", "seq", F.explode_outer("item.both.named").alias("named"), F.col("item.both.texts").alias("texts"))
@@ -243,7 +304,10 @@ def strip(value: Column, kind: T.DataType) -> tuple[Column, Column]:
             one = F.array(F.struct(path.alias("path"), v["label"].alias("label"), F.lit("str").alias("carrier"))).cast(entry)
             return F.when(v["label"].isNotNull(), one).otherwise(none)
         if isinstance(of, T.StructType):
-            return F.concat(none, *[F.coalesce(found(v[f.name], f.dataType, F.concat(path, nested.path_step(F.lit(f.name)))), none) for f in of.fields])
+            return F.concat(
+                none,
+                *[F.coalesce(found(v[f.name], f.dataType, F.concat(path, nested.path_step(F.lit(f.name)))), none) for f in of.fields],
+            )
         if isinstance(of, T.ArrayType):
             each = F.transform(v, lambda x, k: found(x, of.elementType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
             return F.coalesce(F.flatten(each), none)
@@ -277,7 +341,10 @@ def pack_into(document: Column, envelope: Column, key: bytes | None = None) -> C
     whole = canonical(document)
     free = F.try_variant_get(F.try_parse_json(document), f"$.{SIDECAR}", "variant").isNull()
     comma = F.when(whole == "{}", F.lit("")).otherwise(F.lit(","))
-    return F.when(free & whole.startswith("{"), F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), comma, F.lit(f'"{SIDECAR}":'), envelope, F.lit("}")))
+    return F.when(
+        free & whole.startswith("{"),
+        F.concat(F.substring(whole, F.lit(1), F.length(whole) - 1), comma, F.lit(f'"{SIDECAR}":'), envelope, F.lit("}")),
+    )
 
 
 def unpack_from(document: Column) -> Column:

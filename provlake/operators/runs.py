@@ -63,7 +63,14 @@ def with_run_state(calls: DataFrame, ingress: DataFrame | None, policy: Policy,
     if replayed is not None or any(trust.tools_with(policy, c) for c in CAPABILITIES):
         firsts = first_capabilities(calls, policy, replayed).withColumnRenamed("run_id", "__run")
         out = out.join(firsts, out["run_id"] == firsts["__run"], "left").drop("__run")
-        so_far = F.concat(*[F.when(F.col(f"__first_{c}") <= F.col("seq"), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in CAPABILITIES])
+        so_far = F.concat(
+            *[
+                F.when(
+                    F.col(f"__first_{c}") <= F.col("seq"),
+                    F.array(F.lit(c)),
+                ).otherwise(F.array().cast("array<string>")) for c in CAPABILITIES
+            ]
+        )
         out = out.withColumn("run_capabilities", F.array_sort(F.array_union(so_far, own))).drop(*[f"__first_{c}" for c in CAPABILITIES])
     else:
         out = out.withColumn("run_capabilities", F.array().cast("array<string>"))

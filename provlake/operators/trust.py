@@ -71,7 +71,13 @@ def resolve_labels(policy: Policy, labels: Column) -> Column:
 
     def one(x: Column) -> Column:
         trust = F.when(label_is_untrusted(policy, x), F.lit("untrusted")).otherwise(F.lit("trusted"))
-        return F.struct(x["source"].alias("source"), trust.alias("trust"), x["lineage"].alias("lineage"), x["ingested_by"].alias("ingested_by"), x["endorsements"].alias("endorsements"))
+        return F.struct(
+            x["source"].alias("source"),
+            trust.alias("trust"),
+            x["lineage"].alias("lineage"),
+            x["ingested_by"].alias("ingested_by"),
+            x["endorsements"].alias("endorsements"),
+        )
 
     return F.transform(labels, one)
 
@@ -98,4 +104,17 @@ def no_entries() -> Column:
     return F.array().cast(f"array<{RUN_ENTRY}>")
 
 
-__all__ = ["CAPABILITIES", "agent_groups", "all_sources", "is_untrusted", "label_is_untrusted", "resolve_labels", "source_trust", "sources_by_join", "tool_capabilities", "tools_with", "trifecta", "untrusted_sources"]
+__all__ = [
+    "CAPABILITIES",
+    "agent_groups",
+    "all_sources",
+    "is_untrusted",
+    "label_is_untrusted",
+    "resolve_labels",
+    "source_trust",
+    "sources_by_join",
+    "tool_capabilities",
+    "tools_with",
+    "trifecta",
+    "untrusted_sources",
+]

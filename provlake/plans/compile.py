@@ -45,7 +45,13 @@ def context(col: Callable[[str], Column] = F.col) -> dict[str, Typed]:
     """The names that a rule can use, over the columns that operators.decide prepares."""
     session()
     empty = F.lit(None)
-    label = Typed(empty, "struct", fields={k: Typed(empty, "string") for k in ("source", "trust")} | {k: text_list(empty) for k in ("lineage", "ingested_by", "endorsements")})
+    label = Typed(
+        empty,
+        "struct",
+        fields={k: Typed(empty, "string") for k in ("source", "trust")} | {
+            k: text_list(empty) for k in ("lineage", "ingested_by", "endorsements")
+        },
+    )
     return {
         "tool": Typed(col("tool"), "string"),
         "args": Typed(col("args"), "variant"),
@@ -58,7 +64,12 @@ def context(col: Callable[[str], Column] = F.col) -> dict[str, Typed]:
     }
 
 
-_VARIANT_AS = {"string": ("string", ("STRING",)), "int": ("bigint", ("BIGINT",)), "double": ("double", ("BIGINT", "DOUBLE", "FLOAT")), "bool": ("boolean", ("BOOLEAN",))}
+_VARIANT_AS = {
+    "string": ("string", ("STRING",)),
+    "int": ("bigint", ("BIGINT",)),
+    "double": ("double", ("BIGINT", "DOUBLE", "FLOAT")),
+    "bool": ("boolean", ("BOOLEAN",)),
+}
 _CAST = {"string": "string", "int": "bigint", "uint": "bigint", "double": "double", "bool": "boolean"}
 _NUMBERS = ("int", "double")
 _ORDER: dict[str, Callable[[Column, Column], Column]] = {
@@ -70,10 +81,39 @@ _ORDER: dict[str, Callable[[Column, Column], Column]] = {
     ">=": lambda x, y: x >= y,
 }
 # The names of CEL's types, by what schema_of_variant says first.
-_TYPE_NAMES = {"STRING": "string", "BIGINT": "int", "DOUBLE": "double", "FLOAT": "double", "DECIMAL": "double", "BOOLEAN": "bool", "VOID": "null_type", "ARRAY": "list", "OBJECT": "map"}
+_TYPE_NAMES = {
+    "STRING": "string",
+    "BIGINT": "int",
+    "DOUBLE": "double",
+    "FLOAT": "double",
+    "DECIMAL": "double",
+    "BOOLEAN": "bool",
+    "VOID": "null_type",
+    "ARRAY": "list",
+    "OBJECT": "map",
+}
 _TYPES = frozenset({*_TYPE_NAMES.values(), "bytes", "uint", "type", "google"} - {"google"})
-_KIND_TYPES = {"bool": "bool", "string": "string", "int": "int", "double": "double", "bytes": "bytes", "null": "null_type", "list": "list", "struct": "map"}
-_GETTERS = {"getFullYear": (F.year, 0), "getMonth": (F.month, -1), "getDayOfMonth": (F.dayofmonth, -1), "getDate": (F.dayofmonth, 0), "getDayOfYear": (F.dayofyear, -1), "getDayOfWeek": (F.dayofweek, -1), "getHours": (F.hour, 0), "getMinutes": (F.minute, 0), "getSeconds": (F.second, 0)}
+_KIND_TYPES = {
+    "bool": "bool",
+    "string": "string",
+    "int": "int",
+    "double": "double",
+    "bytes": "bytes",
+    "null": "null_type",
+    "list": "list",
+    "struct": "map",
+}
+_GETTERS = {
+    "getFullYear": (F.year, 0),
+    "getMonth": (F.month, -1),
+    "getDayOfMonth": (F.dayofmonth, -1),
+    "getDate": (F.dayofmonth, 0),
+    "getDayOfYear": (F.dayofyear, -1),
+    "getDayOfWeek": (F.dayofweek, -1),
+    "getHours": (F.hour, 0),
+    "getMinutes": (F.minute, 0),
+    "getSeconds": (F.second, 0),
+}
 _UNITS = {"h": 3_600_000_000, "m": 60_000_000, "s": 1_000_000, "ms": 1_000, "us": 1}
 
 
@@ -296,7 +336,9 @@ class Compiler:
         if "variant" in (a.kind, b.kind):
             if {a.kind, b.kind} == {"variant", "list"} and name in ("==", "!="):
                 a, b = (x if x.kind == "variant" else Typed(_variant(x.col), "variant") for x in (a, b))
-            if not {a.kind, b.kind} <= {"variant", "string", "bool", *_NUMBERS} or ("bool" in (a.kind, b.kind) and name not in ("==", "!=")):
+            if not {a.kind, b.kind} <= {"variant", "string", "bool", *_NUMBERS} or (
+                "bool" in (a.kind, b.kind) and name not in ("==", "!=")
+            ):
                 raise CelError(f"cannot compare a {a.kind} with a {b.kind} by {name}")
             return Typed(_compared(name, a, b), "bool")
         x, y, kind = self._pair(a, b)
@@ -387,7 +429,12 @@ class Compiler:
         if node.name == "type":
             return Typed(_type_of(x), "type")
         if node.name == "timestamp" and x.kind in ("string", "variant", "timestamp"):
-            return x if x.kind == "timestamp" else Typed(F.try_to_timestamp(F.when(_as(x, "string").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T.*(?:Z|[+-][0-9]{2}:[0-9]{2})\z"), _as(x, "string"))), "timestamp")
+            return x if x.kind == "timestamp" else Typed(
+                F.try_to_timestamp(
+                    F.when(_as(x, "string").rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T.*(?:Z|[+-][0-9]{2}:[0-9]{2})\z"), _as(x, "string"))
+                ),
+                "timestamp",
+            )
         if node.name == "duration" and x.kind in ("string", "variant", "duration"):
             return x if x.kind == "duration" else Typed(_duration(_as(x, "string")), "duration")
         if node.name == "bytes" and x.kind == "string":

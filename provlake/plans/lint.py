@@ -59,7 +59,14 @@ def _compared(call: Node) -> list[str]:
 def _legs(policy: Policy, tree: Node) -> list[tuple[str, str, str]]:
     declared = {c for s in policy.sinks.values() for c in s.capabilities or ()}
     any_declares = any(s.capabilities is not None for s in policy.sinks.values())
-    named = [leg for field in (None, "trifecta") for c in _calls(tree, "contains", "trifecta" if field is None else "run", field) for leg in _literals(c.args)]
+    named = [
+        leg for field in (None, "trifecta") for c in _calls(
+            tree,
+            "contains",
+            "trifecta" if field is None else "run",
+            field,
+        ) for leg in _literals(c.args)
+    ]
     named += [leg for c in _calls(tree, "exists", "run", "trifecta") for leg in _compared(c)]
     out = []
     for leg in named:
@@ -94,11 +101,15 @@ def _of_rule(policy: Policy, rule: Rule) -> list[tuple[str, str, str]]:
     for call in _calls(tree, "exists", "agent", "groups"):
         out += [("warning", "undeclared_group", f"no agent is declared in group {g!r}") for g in _compared(call) if g not in policy.groups]
     if any(n.kind == "binary" and n.name in ("==", "!=") and any(is_field(bare(a), "t", "source") for a in n.args) for n in tree.walk()):
-        out.append(("warning", "label_source", "t.source names one of several sources once values are combined; test the whole t.lineage instead"))
+        out.append(
+            ("warning", "label_source", "t.source names one of several sources once values are combined; test the whole t.lineage instead")
+        )
     if rule.action == "allow":
         for field in ("sources", "untrusted_sources", "ingested_by", "trifecta"):
             if _calls(tree, "all", "run", field):
-                out.append(("warning", "run_all_allows", f"an empty run.{field} satisfies all(...), so this allows runs that nothing is known of"))
+                out.append(
+                    ("warning", "run_all_allows", f"an empty run.{field} satisfies all(...), so this allows runs that nothing is known of")
+                )
         names = _names_read(tree)
         if "agent" in names and not names & set(PROVENANCE):
             out.append(("warning", "identity_allows", "asks who calls but not where the arguments came from"))
@@ -118,7 +129,15 @@ def check(policy: Policy) -> list[Problem]:
     declares = any(s.capabilities is not None for s in policy.sinks.values())
     for key, sink in policy.sinks.items():
         if declares and sink.capabilities is None:
-            out.append(Problem("warning", key, None, "capabilities", "other sinks say what they can do, this one does not: write an empty list if it can do nothing"))
+            out.append(
+                Problem(
+                    "warning",
+                    key,
+                    None,
+                    "capabilities",
+                    "other sinks say what they can do, this one does not: write an empty list if it can do nothing",
+                )
+            )
         out += _of_sink(policy, key, sink)
     return out
 
@@ -138,7 +157,9 @@ def _of_sink(policy: Policy, key: str, sink: Sink) -> list[Problem]:
         if not any(code in ("parse", "any_macro") for _, code, _ in found):
             parsed.append(rule)
     for s in shadowed(tuple(parsed), policy.agents):
-        out.append(Problem("error", key, s.later, "shadowed", f"cannot be reached: rule {s.earlier!r} takes all its agents, such as {s.witness}"))
+        out.append(
+            Problem("error", key, s.later, "shadowed", f"cannot be reached: rule {s.earlier!r} takes all its agents, such as {s.witness}")
+        )
     return out
 
 

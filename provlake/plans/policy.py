@@ -178,9 +178,21 @@ def from_document(data: object) -> Policy:
             raise ConfigError(f"sinks: {key!r} is not of the form namespace.tool")
         s = _keys(s or {}, f"sinks.{key}", {"capabilities", "rules"})
         can = s.get("capabilities")
-        can = None if can is None else tuple(_one_of(c, CAPABILITIES, f"sinks.{key}.capabilities") for c in _list(can, f"sinks.{key}.capabilities"))
-        sinks[key] = Sink(can, tuple(_rule(r, f"sinks.{key}.rules.{n}") for n, r in enumerate(_list(s.get("rules") or [], f"sinks.{key}.rules"))))
-    return Policy(sources, agents, sinks, _one_of(defaults.get("sink_action", "require_approval"), ACTIONS, "defaults.sink_action"), None if mode is None else _one_of(mode, MODES, "defaults.fail_mode"), version)
+        can = None if can is None else tuple(
+            _one_of(c, CAPABILITIES, f"sinks.{key}.capabilities") for c in _list(can, f"sinks.{key}.capabilities")
+        )
+        sinks[key] = Sink(
+            can,
+            tuple(_rule(r, f"sinks.{key}.rules.{n}") for n, r in enumerate(_list(s.get("rules") or [], f"sinks.{key}.rules"))),
+        )
+    return Policy(
+        sources,
+        agents,
+        sinks,
+        _one_of(defaults.get("sink_action", "require_approval"), ACTIONS, "defaults.sink_action"),
+        None if mode is None else _one_of(mode, MODES, "defaults.fail_mode"),
+        version,
+    )
 
 
 def read_document(path: str) -> object:

@@ -158,7 +158,17 @@ def _conversations(spark: SparkSession, sf_dir: str, mode: str = "enforce") -> D
 
 
 def decide_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conversations(spark, sf_dir).select("run_id", "seq", "tool", "action", "outcome", F.coalesce("matched_rule", F.lit("-")).alias("rule"), "max_trust", joined(F.col("untrusted_sources")).alias("untrusted"), ordered(F.col("trifecta")).alias("trifecta"))
+    return _conversations(spark, sf_dir).select(
+        "run_id",
+        "seq",
+        "tool",
+        "action",
+        "outcome",
+        F.coalesce("matched_rule", F.lit("-")).alias("rule"),
+        "max_trust",
+        joined(F.col("untrusted_sources")).alias("untrusted"),
+        ordered(F.col("trifecta")).alias("trifecta"),
+    )
 
 
 DECIDE_SQL = f"""WITH {_CONV}
@@ -182,7 +192,14 @@ SELECT mode, CASE WHEN mode = 'dry_run' THEN 'allow' WHEN v = 'error' THEN CASE
 
 
 def run_tainted_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conversations(spark, sf_dir).select("run_id", "seq", "run_tainted", joined(F.col("run_sources")).alias("run_sources"), joined(F.col("run_untrusted_sources")).alias("run_untrusted"), joined(F.col("run_ingested_by")).alias("run_ingested_by"))
+    return _conversations(spark, sf_dir).select(
+        "run_id",
+        "seq",
+        "run_tainted",
+        joined(F.col("run_sources")).alias("run_sources"),
+        joined(F.col("run_untrusted_sources")).alias("run_untrusted"),
+        joined(F.col("run_ingested_by")).alias("run_ingested_by"),
+    )
 
 
 TAINTED_SQL = f"""WITH {_CONV},
@@ -197,7 +214,13 @@ FROM calls c LEFT JOIN s USING (run_id, turn) LEFT JOIN g USING (run_id, turn)""
 
 def run_trifecta_rule_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decide.check(tables.event_calls(spark, sf_dir), policy(EVENTS), tables.event_ingress(spark, sf_dir))
-    return got.select("event_id", "action", F.coalesce("matched_rule", F.lit("-")).alias("rule"), "run_tainted", ordered(F.col("run_trifecta")).alias("run_trifecta"))
+    return got.select(
+        "event_id",
+        "action",
+        F.coalesce("matched_rule", F.lit("-")).alias("rule"),
+        "run_tainted",
+        ordered(F.col("run_trifecta")).alias("run_trifecta"),
+    )
 
 
 RULE_OF_TWO_SQL = f"""WITH {_EVENT}
@@ -227,7 +250,21 @@ def decide_lines_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def args_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tests = {"big": "args.k > 50", "has_k": "has(args.k)", "has_z": "has(args.z)", "sum": "args.k + 1 == 8", "text": 'args.k == "7"', "between": "args.k >= 20 && args.k <= 30 || args.k == 99", "absorbed": 'args.z == "x" && args.k < 0', "modulo": "int(args.k) % 7 == 3", "choice": "args.k > 50 ? args.k < 60 : args.k < 5", "member": '"k" in args', "tool_in": 'tool in ["default.view", "default.click"]', "ends": 'tool.endsWith("view") || tool.startsWith("default.s") || tool.contains("urch")', "matched": 'tool.matches("^default\\\\.[cs]")'}
+    tests = {
+        "big": "args.k > 50",
+        "has_k": "has(args.k)",
+        "has_z": "has(args.z)",
+        "sum": "args.k + 1 == 8",
+        "text": 'args.k == "7"',
+        "between": "args.k >= 20 && args.k <= 30 || args.k == 99",
+        "absorbed": 'args.z == "x" && args.k < 0',
+        "modulo": "int(args.k) % 7 == 3",
+        "choice": "args.k > 50 ? args.k < 60 : args.k < 5",
+        "member": '"k" in args',
+        "tool_in": 'tool in ["default.view", "default.click"]',
+        "ends": 'tool.endsWith("view") || tool.startsWith("default.s") || tool.contains("urch")',
+        "matched": 'tool.matches("^default\\\\.[cs]")',
+    }
     calls = tables.event_calls(spark, sf_dir).withColumn("args", F.try_parse_json("args"))
     scope = {"args": Typed(F.col("args"), "variant"), "tool": Typed(F.col("tool"), "string")}
     said = [F.coalesce(to_column(t, scope).cast("string"), F.lit("error")).alias(k) for k, t in tests.items()]
@@ -242,7 +279,20 @@ SELECT event_id, (k > 50)::VARCHAR AS big, 'true' AS has_k, 'false' AS has_z, (k
 
 def cel_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantifiers and list functions over the run's context."""
-    tests = {"any_user1": 'run.sources.exists(s, s == "user_1")', "all_users": 'run.sources.all(s, s.startsWith("user_"))', "one_user0": 'run.sources.exists_one(s, s == "user_0")', "mapped": 'size(run.sources.map(s, s + "!")) == size(run.sources)', "filtered": 'size(run.sources.filter(s, s != "user_2")) >= 1', "nested": 'taint.exists(t, t.lineage.exists(s, s == "user_2"))', "ingested": 'taint.exists(t, t.ingested_by.exists(a, a == "agent-1"))', "first": 'size(run.sources) > 0 && run.sources[0] == "user_0"', "legs": 'trifecta.contains("reads_private") || run.trifecta.contains("reaches_external")', "agent": 'agent.id == "agent-2" || "staff" in agent.groups', "counted": "run.sources.reduce(n, s, 0, n + 1) == 2", "unlabeled": "size(taint) == 0"}
+    tests = {
+        "any_user1": 'run.sources.exists(s, s == "user_1")',
+        "all_users": 'run.sources.all(s, s.startsWith("user_"))',
+        "one_user0": 'run.sources.exists_one(s, s == "user_0")',
+        "mapped": 'size(run.sources.map(s, s + "!")) == size(run.sources)',
+        "filtered": 'size(run.sources.filter(s, s != "user_2")) >= 1',
+        "nested": 'taint.exists(t, t.lineage.exists(s, s == "user_2"))',
+        "ingested": 'taint.exists(t, t.ingested_by.exists(a, a == "agent-1"))',
+        "first": 'size(run.sources) > 0 && run.sources[0] == "user_0"',
+        "legs": 'trifecta.contains("reads_private") || run.trifecta.contains("reaches_external")',
+        "agent": 'agent.id == "agent-2" || "staff" in agent.groups',
+        "counted": "run.sources.reduce(n, s, 0, n + 1) == 2",
+        "unlabeled": "size(taint) == 0",
+    }
     rules = "".join(f"      - {{name: r, when: '{t}', action: allow}}\n" for t in tests.values())
     p = policy(CONVERSATIONS)
     from_text(f'version: "2.0"\nsinks:\n  default.x:\n    rules:\n{rules}')  # each compiles as a rule of a policy, too
@@ -265,7 +315,11 @@ SELECT run_id, turn AS seq, list_contains(s, 'user_1')::VARCHAR AS any_user1, 't
 def _two_labels() -> tuple[Column, Column]:
     key = F.col("doc_id")
     a = labels.fresh(F.col("source"), key, F.concat(F.lit("a"), (key % 2).cast("string")))
-    b = labels.fresh(F.concat(F.lit("label_"), F.col("quality").cast("string")), F.concat(F.lit("q"), key.cast("string")), F.concat(F.lit("a"), (key % 3).cast("string")))
+    b = labels.fresh(
+        F.concat(F.lit("label_"), F.col("quality").cast("string")),
+        F.concat(F.lit("q"), key.cast("string")),
+        F.concat(F.lit("a"), (key % 3).cast("string")),
+    )
     return F.when(key % 5 != 0, a), F.when(F.col("quality").isNotNull(), b)
 
 
@@ -279,7 +333,17 @@ def label_merge_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     rows = rows.withColumns({"m": labels.merge(a, b), "d": labels.derive("model", labels.present(a, b), F.col("doc_id"), F.lit("a9"))})
     m, d = F.col("m"), F.col("d")
-    return rows.select("doc_id", F.coalesce(m["source"], F.lit("-")).alias("source"), F.coalesce(joined(m["lineage"]), F.lit("-")).alias("lineage"), F.coalesce(joined(m["ingested_by"]), F.lit("-")).alias("ingested_by"), F.coalesce(joined(m["endorsements"]), F.lit("-")).alias("endorsements"), F.coalesce(m["value_id"] == a["value_id"], F.lit(False)).alias("same_id"), F.coalesce(d["source"], F.lit("-")).alias("derived"), F.coalesce(joined(d["ingested_by"]), F.lit("-")).alias("derived_by"), F.coalesce(joined(d["endorsements"]), F.lit("-")).alias("derived_endorsements"))
+    return rows.select(
+        "doc_id",
+        F.coalesce(m["source"], F.lit("-")).alias("source"),
+        F.coalesce(joined(m["lineage"]), F.lit("-")).alias("lineage"),
+        F.coalesce(joined(m["ingested_by"]), F.lit("-")).alias("ingested_by"),
+        F.coalesce(joined(m["endorsements"]), F.lit("-")).alias("endorsements"),
+        F.coalesce(m["value_id"] == a["value_id"], F.lit(False)).alias("same_id"),
+        F.coalesce(d["source"], F.lit("-")).alias("derived"),
+        F.coalesce(joined(d["ingested_by"]), F.lit("-")).alias("derived_by"),
+        F.coalesce(joined(d["endorsements"]), F.lit("-")).alias("derived_endorsements"),
+    )
 
 
 MERGE_SQL = """WITH x AS (
@@ -298,8 +362,18 @@ def endorsement_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
     fresh = labels.fresh(F.col("source"), F.col("doc_id"))
     made = F.when(F.col("quality") == 1, labels.endorse(fresh, "reviewed")).otherwise(labels.endorse(fresh, "seen"))
-    calls = rows.select(F.col("doc_id").cast("string").alias("run_id"), F.col("doc_id").alias("seq"), F.lit("agent-1").alias("agent_id"), F.lit("publish").alias("tool"), F.lit("{}").alias("args"), F.array(made).alias("labels"), labels.endorsement_record(fresh, "reviewed", "by label")["kind"].alias("recorded"))
-    p = from_text('version: "2.0"\nsources: [{name: src1, trust: trusted}]\nsinks: {default.publish: {rules: [{name: gate, require_endorsement: reviewed, action: block}, {name: rest, action: allow}]}}')
+    calls = rows.select(
+        F.col("doc_id").cast("string").alias("run_id"),
+        F.col("doc_id").alias("seq"),
+        F.lit("agent-1").alias("agent_id"),
+        F.lit("publish").alias("tool"),
+        F.lit("{}").alias("args"),
+        F.array(made).alias("labels"),
+        labels.endorsement_record(fresh, "reviewed", "by label")["kind"].alias("recorded"),
+    )
+    p = from_text(
+        'version: "2.0"\nsources: [{name: src1, trust: trusted}]\nsinks: {default.publish: {rules: [{name: gate, require_endorsement: reviewed, action: block}, {name: rest, action: allow}]}}'
+    )
     return decide.check(calls, p).select(F.col("seq").alias("doc_id"), "tool", "action", "matched_rule", "recorded")
 
 
@@ -310,8 +384,21 @@ FROM documents JOIN labels USING (doc_id)"""
 def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages enter untrusted runs, documents are unlabeled arguments of calls in them; a run is a number mod 8."""
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    ingress = bench.select((F.col("item_id") % 8).cast("string").alias("run_id"), F.col("item_id").alias("seq"), F.concat(F.lit("bench_"), (F.col("item_id") % 3).cast("string")).alias("source"), "text")
-    leaves = docs.select((F.col("doc_id") % 8).cast("string").alias("run_id"), (F.col("doc_id") + 20).alias("seq"), F.lit("agent-1").alias("agent_id"), F.concat(F.lit("default."), F.col("lang")).alias("tool"), F.lit("body").alias("argument"), "text", F.when(F.col("doc_id") % 11 == 0, labels.fresh("web", F.col("doc_id"))).otherwise(labels.none()).alias("label"))
+    ingress = bench.select(
+        (F.col("item_id") % 8).cast("string").alias("run_id"),
+        F.col("item_id").alias("seq"),
+        F.concat(F.lit("bench_"), (F.col("item_id") % 3).cast("string")).alias("source"),
+        "text",
+    )
+    leaves = docs.select(
+        (F.col("doc_id") % 8).cast("string").alias("run_id"),
+        (F.col("doc_id") + 20).alias("seq"),
+        F.lit("agent-1").alias("agent_id"),
+        F.concat(F.lit("default."), F.col("lang")).alias("tool"),
+        F.lit("body").alias("argument"),
+        "text",
+        F.when(F.col("doc_id") % 11 == 0, labels.fresh("web", F.col("doc_id"))).otherwise(labels.none()).alias("label"),
+    )
     p = from_text('version: "2.0"\nsources: [{name: bench_0, trust: trusted}]')
     return audit.findings(leaves, p, ingress).select("run_id", "source", "tool", "argument", "seq", "agent_id")
 
@@ -325,7 +412,14 @@ SELECT leaf.r::VARCHAR AS run_id, source, tool, 'body' AS argument, min(seq) AS
 def inspect_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decide.check(tables.event_calls(spark, sf_dir), policy(EVENTS), tables.event_ingress(spark, sf_dir), "monitor")
     recs = decide.events(got).withColumns({c: F.lit(None).cast("string") for c in ("run_id", "agent_id")})
-    return records.counts(recs).select("run_id", F.coalesce("agent_id", F.lit("-")).alias("agent_id"), "level", "n_events", "n_findings", "n_endorsements")
+    return records.counts(recs).select(
+        "run_id",
+        F.coalesce("agent_id", F.lit("-")).alias("agent_id"),
+        "level",
+        "n_events",
+        "n_findings",
+        "n_endorsements",
+    )
 
 
 INSPECT_SQL = f"""WITH {_EVENT}
@@ -334,7 +428,9 @@ FROM state GROUP BY GROUPING SETS ((run_id, agent_id), (run_id))"""
 
 
 def sink_default_fallthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = from_text('version: "2.0"\ndefaults: {sink_action: block, fail_mode: monitor}\nsinks: {default.view: {capabilities: []}, default.click: {rules: [{name: low, when: "args.k < 10", action: allow}]}}')
+    p = from_text(
+        'version: "2.0"\ndefaults: {sink_action: block, fail_mode: monitor}\nsinks: {default.view: {capabilities: []}, default.click: {rules: [{name: low, when: "args.k < 10", action: allow}]}}'
+    )
     got = decide.check(tables.event_calls(spark, sf_dir), p, mode="enforce", env_mode=None)
     return got.groupBy("tool", "action", "mode", F.coalesce("matched_rule", F.lit("-")).alias("rule")).agg(F.count("*").alias("n"))
 
@@ -346,10 +442,33 @@ SELECT 'default.' || e AS tool, CASE WHEN e = 'click' AND k < 10 THEN 'allow' EL
 def groups_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as calls by customers; the market segment decides the agent's groups."""
     segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    p = from_document({"version": "2.0", "agents": {s: {"groups": ["buyers"] + (["heavy"] if s in ("BUILDING", "MACHINERY") else [])} for s in segments[:4]}, "sinks": {"default.order": {"rules": [{"name": "heavy", "when": 'agent.groups.exists(g, g == "heavy") && args.price > 100000.0', "action": "block"}, {"name": "buyers", "when": '"buyers" in agent.groups', "action": "allow"}]}}}).compile_check()
+    p = from_document(
+        {
+            "version": "2.0",
+            "agents": {s: {"groups": ["buyers"] + (["heavy"] if s in ("BUILDING", "MACHINERY") else [])} for s in segments[:4]},
+            "sinks": {
+                "default.order": {
+                    "rules": [
+                        {"name": "heavy", "when": 'agent.groups.exists(g, g == "heavy") && args.price > 100000.0', "action": "block"},
+                        {"name": "buyers", "when": '"buyers" in agent.groups', "action": "allow"},
+                    ]
+                }
+            },
+        }
+    ).compile_check()
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    calls = orders.select(F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").alias("seq"), F.upper("c_mktsegment").alias("agent_id"), F.lit("order").alias("tool"), F.to_json(F.struct(F.col("o_totalprice").alias("price"))).alias("args"))
-    return decide.check(calls, p).groupBy("agent_id", "action", F.coalesce("matched_rule", F.lit("-")).alias("rule")).agg(F.count("*").alias("n"))
+    calls = orders.select(
+        F.col("o_custkey").cast("string").alias("run_id"),
+        F.col("o_orderkey").alias("seq"),
+        F.upper("c_mktsegment").alias("agent_id"),
+        F.lit("order").alias("tool"),
+        F.to_json(F.struct(F.col("o_totalprice").alias("price"))).alias("args"),
+    )
+    return decide.check(calls, p).groupBy(
+        "agent_id",
+        "action",
+        F.coalesce("matched_rule", F.lit("-")).alias("rule"),
+    ).agg(F.count("*").alias("n"))
 
 
 GROUPS_SQL = """WITH b AS (SELECT upper(c_mktsegment) AS a, o_totalprice AS p FROM orders JOIN customer ON o_custkey = c_custkey)
@@ -360,7 +479,11 @@ SELECT a AS agent_id, CASE WHEN a = 'BUILDING' AND p > 100000 THEN 'block' WHEN
 def unlabeled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, known = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").select("doc_id")
     with_, without = docs.join(known, "doc_id", "left_semi"), docs.join(known, "doc_id", "left_anti")
-    return with_.groupBy("source").agg(F.count("*").alias("labeled")).join(without.groupBy("source").agg(F.count("*").alias("unlabeled")), "source", "full").select("source", F.coalesce("labeled", F.lit(0)).alias("labeled"), F.coalesce("unlabeled", F.lit(0)).alias("unlabeled"))
+    return with_.groupBy("source").agg(F.count("*").alias("labeled")).join(without.groupBy("source").agg(F.count("*").alias("unlabeled")), "source", "full").select(
+        "source",
+        F.coalesce("labeled", F.lit(0)).alias("labeled"),
+        F.coalesce("unlabeled", F.lit(0)).alias("unlabeled"),
+    )
 
 
 UNLABELED_SQL = "SELECT source, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS labeled, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabeled FROM documents GROUP BY source"
@@ -377,7 +500,17 @@ def _said(x: Labeled, name: str) -> list[Column]:
 
 
 def _label_ops(docs: DataFrame, head: Labeled, lang: Labeled) -> DataFrame:
-    cases = {"added": strings.concat(head, lang), "radded": strings.concat(plain(">> "), head), "replaced": strings.replace(head, "e", lang, 2), "formatted": strings.percent(Labeled(F.lit("%s/%s"), labels.none()), lang, head), "filled": strings.format_text("{0}-{x}", labels.none(), lang, x=head), "joined": strings.join(Labeled(F.lit(", "), labels.fresh("sep", F.lit(1))), head, lang), "lost": strings.join_plain(", ", head, lang), "spec": strings.format_spec(head, "30"), "upper": strings.upper(lang)}
+    cases = {
+        "added": strings.concat(head, lang),
+        "radded": strings.concat(plain(">> "), head),
+        "replaced": strings.replace(head, "e", lang, 2),
+        "formatted": strings.percent(Labeled(F.lit("%s/%s"), labels.none()), lang, head),
+        "filled": strings.format_text("{0}-{x}", labels.none(), lang, x=head),
+        "joined": strings.join(Labeled(F.lit(", "), labels.fresh("sep", F.lit(1))), head, lang),
+        "lost": strings.join_plain(", ", head, lang),
+        "spec": strings.format_spec(head, "30"),
+        "upper": strings.upper(lang),
+    }
     return docs.select("doc_id", *[c for k, x in cases.items() for c in _said(x, k)])
 
 
@@ -400,7 +533,24 @@ def _value_ops(docs: DataFrame, text: Labeled, head: Labeled) -> DataFrame:
     padded = Labeled(F.concat(F.lit(" \t"), head.value, F.lit("\n ")), labels.none())
     part = strings.partition(head, " ")
     rpart = strings.rpartition(head, " ")
-    return docs.select("doc_id", strings.strip(padded).value.alias("stripped"), strings.strip(head, "T.e").value.alias("stripped_chars"), F.array_join(strings.split(padded).value, "|").alias("words"), F.array_join(strings.split(head, "e", 2).value, "|").alias("split2"), strings.slice_(text, -5).value.alias("tail"), strings.ljust(head, 30, "*").value.alias("ljust"), strings.rjust(head, 30).value.alias("rjust"), strings.zfill(Labeled((F.col("doc_id") * -1).cast("string"), labels.none()), 8).value.alias("zfill"), strings.removeprefix(head, "The ").value.alias("noprefix"), strings.capitalize(strings.upper(Labeled(F.col("lang"), labels.none()))).value.alias("capital"), part.value["head"].alias("first_word"), rpart.value["tail"].alias("last_word"), F.size(strings.splitlines(text).value).alias("n_lines"), strings.repeat(Labeled(F.col("lang"), labels.none()), 3).value.alias("thrice"), F.hex(strings.encode(Labeled(F.col("lang"), labels.none())).value).alias("encoded"))
+    return docs.select(
+        "doc_id",
+        strings.strip(padded).value.alias("stripped"),
+        strings.strip(head, "T.e").value.alias("stripped_chars"),
+        F.array_join(strings.split(padded).value, "|").alias("words"),
+        F.array_join(strings.split(head, "e", 2).value, "|").alias("split2"),
+        strings.slice_(text, -5).value.alias("tail"),
+        strings.ljust(head, 30, "*").value.alias("ljust"),
+        strings.rjust(head, 30).value.alias("rjust"),
+        strings.zfill(Labeled((F.col("doc_id") * -1).cast("string"), labels.none()), 8).value.alias("zfill"),
+        strings.removeprefix(head, "The ").value.alias("noprefix"),
+        strings.capitalize(strings.upper(Labeled(F.col("lang"), labels.none()))).value.alias("capital"),
+        part.value["head"].alias("first_word"),
+        rpart.value["tail"].alias("last_word"),
+        F.size(strings.splitlines(text).value).alias("n_lines"),
+        strings.repeat(Labeled(F.col("lang"), labels.none()), 3).value.alias("thrice"),
+        F.hex(strings.encode(Labeled(F.col("lang"), labels.none())).value).alias("encoded"),
+    )
 
 
 def string_ops_values_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,9 +573,27 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     agent = F.when(F.col("doc_id") % 7 == 0, F.lit("bad agent")).when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.lit("a-1"))
     tool = F.when(F.col("doc_id") % 11 == 0, F.lit("a.b.c")).when(F.col("doc_id") % 3 == 0, F.lit("ns.tool")).otherwise(F.lit("bare"))
     args = F.when(F.col("doc_id") % 13 == 0, F.lit("{")).otherwise(F.lit("{}"))
-    calls = docs.select(F.lit(None).cast("string").alias("run_id"), F.col("doc_id").alias("seq"), agent.alias("agent_id"), tool.alias("tool"), args.alias("args"))
-    got = decide.release(decide.check(calls, from_text('version: "2.0"\nsinks: {ns.tool: {rules: [{name: all, action: allow}]}}')), lambda df: F.col("seq") % 2 == 0)
-    return got.select(F.col("seq").alias("doc_id"), "tool", "agent_id", F.coalesce("reject_reason", F.lit("-")).alias("reject_reason"), F.coalesce("action", F.lit("-")).alias("action"), "released", F.coalesce(decide.message(), F.lit("-")).alias("message"), names.explicit_agent_is_valid(F.col("agent_id")).alias("explicit"))
+    calls = docs.select(
+        F.lit(None).cast("string").alias("run_id"),
+        F.col("doc_id").alias("seq"),
+        agent.alias("agent_id"),
+        tool.alias("tool"),
+        args.alias("args"),
+    )
+    got = decide.release(
+        decide.check(calls, from_text('version: "2.0"\nsinks: {ns.tool: {rules: [{name: all, action: allow}]}}')),
+        lambda df: F.col("seq") % 2 == 0,
+    )
+    return got.select(
+        F.col("seq").alias("doc_id"),
+        "tool",
+        "agent_id",
+        F.coalesce("reject_reason", F.lit("-")).alias("reject_reason"),
+        F.coalesce("action", F.lit("-")).alias("action"),
+        "released",
+        F.coalesce(decide.message(), F.lit("-")).alias("message"),
+        names.explicit_agent_is_valid(F.col("agent_id")).alias("explicit"),
+    )
 
 
 REJECTED_SQL = """WITH b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'bad agent' WHEN doc_id % 5 = 0 THEN 'default' ELSE 'a-1' END AS agent_id, CASE WHEN doc_id % 11 = 0 THEN 'a.b.c' WHEN doc_id % 3 = 0 THEN 'ns.tool' ELSE 'default.bare' END AS tool,
@@ -441,14 +609,29 @@ def envelope_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.to_json(F.struct("role", "turn", "text")).alias("body"))
     label = labels.fresh(F.concat(F.lit("user_"), (F.col("conv_id") % 3).cast("string")), F.concat_ws("/", "conv_id", "turn"))
     leaves = F.array(F.struct(F.lit("$.role").alias("path"), label.alias("label"), F.lit("str").alias("carrier")))
-    run = F.array(F.struct(F.lit("web").alias("source"), F.lit("untrusted").alias("trust"), F.array(F.lit("b"), F.lit("a")).alias("ingested_by")))
-    sent = t.withColumn("signed", envelope.pack(F.col("body"), leaves, run, F.array(F.lit("reads_private")), key, "k1")).withColumn("plain", envelope.pack(F.col("body"), leaves))
+    run = F.array(
+        F.struct(F.lit("web").alias("source"), F.lit("untrusted").alias("trust"), F.array(F.lit("b"), F.lit("a")).alias("ingested_by"))
+    )
+    sent = t.withColumn(
+        "signed",
+        envelope.pack(F.col("body"), leaves, run, F.array(F.lit("reads_private")), key, "k1"),
+    ).withColumn("plain", envelope.pack(F.col("body"), leaves))
     case = F.col("conv_id") % 6
-    got = F.when(case == 0, F.col("signed")).when(case == 1, F.replace(F.col("signed"), F.lit("untrusted"), F.lit("trusted"))).when(case == 2, F.replace(F.col("signed"), F.lit("user_"), F.lit("hacker_"))).when(case == 3, F.replace(F.col("signed"), F.lit('"version":3'), F.lit('"version":2'))).when(case == 4, F.replace(F.col("plain"), F.lit('"label":0'), F.lit('"label":9'))).otherwise(F.col("plain"))
+    got = F.when(case == 0, F.col("signed")).when(case == 1, F.replace(F.col("signed"), F.lit("untrusted"), F.lit("trusted"))).when(case == 2, F.replace(F.col("signed"), F.lit("user_"), F.lit("hacker_"))).when(
+        case == 3,
+        F.replace(F.col("signed"), F.lit('"version":3'), F.lit('"version":2')),
+    ).when(case == 4, F.replace(F.col("plain"), F.lit('"label":0'), F.lit('"label":9'))).otherwise(F.col("plain"))
     sent = sent.withColumn("wire", envelope.unpack_from(envelope.pack_into(F.lit('{"other":1}'), got)))
     read = envelope.unpack(sent, "wire", key)
     e = F.col("envelope")
-    return read.select("conv_id", "turn", F.coalesce("reject_reason", F.lit("-")).alias("reject_reason"), F.coalesce(envelope.label_at(e, "$.role")["source"], F.lit("-")).alias("label"), F.coalesce(envelope.value_at(e, "$.role"), F.lit("-")).alias("role"), F.coalesce(joined(F.get(e["run"]["sources"], F.lit(0))["ingested_by"]), F.lit("-")).alias("ingested_by"))
+    return read.select(
+        "conv_id",
+        "turn",
+        F.coalesce("reject_reason", F.lit("-")).alias("reject_reason"),
+        F.coalesce(envelope.label_at(e, "$.role")["source"], F.lit("-")).alias("label"),
+        F.coalesce(envelope.value_at(e, "$.role"), F.lit("-")).alias("role"),
+        F.coalesce(joined(F.get(e["run"]["sources"], F.lit(0))["ingested_by"]), F.lit("-")).alias("ingested_by"),
+    )
 
 
 ENVELOPE_SQL = """SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '-' WHEN 1 THEN '-' WHEN 2 THEN 'wrong code' WHEN 3 THEN 'version' WHEN 4 THEN 'schema' ELSE 'not signed' END AS reject_reason,
@@ -456,7 +639,19 @@ ENVELOPE_SQL = """SELECT conv_id, turn, CASE conv_id % 6 WHEN 0 THEN '-' WHEN 1
 
 
 def variant_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.try_parse_json(F.to_json(F.struct("role", F.array(F.struct(F.col("role").alias("r"), "turn")).alias("deep"), F.struct(F.struct(F.struct(F.struct(F.struct("role").alias("e")).alias("d")).alias("c")).alias("b")).alias("a")))).alias("v"))
+    t = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.try_parse_json(
+            F.to_json(
+                F.struct(
+                    "role",
+                    F.array(F.struct(F.col("role").alias("r"), "turn")).alias("deep"),
+                    F.struct(F.struct(F.struct(F.struct(F.struct("role").alias("e")).alias("d")).alias("c")).alias("b")).alias("a"),
+                )
+            )
+        ).alias("v"),
+    )
     return nested.explode_variant(t, "v", ["conv_id", "turn"], 4)
 
 
@@ -476,11 +671,31 @@ UNION ALL SELECT conv_id, turn, unnest(['$.text', '$.deep[0].r']) AS path, text
 
 def describe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decide.events(_conversations(spark, sf_dir, "monitor"))
-    extra = {c: F.lit(None).cast(k) for c, k in (("source", "string"), ("tool", "string"), ("argument", "string"), ("kind", "string"), ("note", "string"), ("lineage", "array<string>"), ("agent_id", "string"), ("run_id", "string"), ("session_id", "string"))}
+    extra = {
+        c: F.lit(None).cast(k) for c, k in (
+            ("source", "string"),
+            ("tool", "string"),
+            ("argument", "string"),
+            ("kind", "string"),
+            ("note", "string"),
+            ("lineage", "array<string>"),
+            ("agent_id", "string"),
+            ("run_id", "string"),
+            ("session_id", "string"),
+        )
+    }
     got = got.withColumns(extra)
     r = F.struct(*got.columns)
     a = describe.span_attributes(r)
-    return got.select(F.col("decision.run_id").alias("run"), describe.event(r).alias("event"), describe.decision(F.col("decision"), markup=True).alias("decision"), a["provlake.outcome"].alias("outcome"), a["provlake.run_ingested_sources"].alias("ingested"), F.map_contains_key(a, F.lit("provlake.session_id")).alias("has_session"), a["gen_ai.tool.name"].alias("tool_name"))
+    return got.select(
+        F.col("decision.run_id").alias("run"),
+        describe.event(r).alias("event"),
+        describe.decision(F.col("decision"), markup=True).alias("decision"),
+        a["provlake.outcome"].alias("outcome"),
+        a["provlake.run_ingested_sources"].alias("ingested"),
+        F.map_contains_key(a, F.lit("provlake.session_id")).alias("has_session"),
+        a["gen_ai.tool.name"].alias("tool_name"),
+    )
 
 
 DESCRIBE_SQL = f"""WITH {_CONV},
@@ -505,7 +720,34 @@ FROM said"""
 
 def policy_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static checks of a faulty policy."""
-    p = from_document({"version": "2.0", "agents": {"a": {"groups": ["g"]}, "b": {"groups": ["g"]}}, "sinks": {"default.x": {"capabilities": [], "rules": [{"name": "r1", "when": 'agent.groups.exists(g, g == "g")', "action": "block"}, {"name": "r2", "when": 'agent.id == "a"', "action": "block"}, {"name": "r3", "when": 'trifecta.contains("reads_all")', "action": "block"}, {"name": "r4", "when": "taint.any(t, true)", "action": "block"}, {"name": "r5", "when": 'taint.all(t, t.source == "web")', "action": "allow"}, {"name": "r6", "when": "run.nothing", "action": "block"}, {"name": "r7", "action": "allow"}, {"name": "r8", "action": "allow"}]}, "default.y": {"rules": [{"name": "s1", "when": 'agent.id == "z"', "action": "allow"}, {"name": "s2", "when": "a ==", "action": "allow"}, {"name": "s3", "when": 'run.sources.all(s, s == "q")', "action": "allow"}]}}})
+    p = from_document(
+        {
+            "version": "2.0",
+            "agents": {"a": {"groups": ["g"]}, "b": {"groups": ["g"]}},
+            "sinks": {
+                "default.x": {
+                    "capabilities": [],
+                    "rules": [
+                        {"name": "r1", "when": 'agent.groups.exists(g, g == "g")', "action": "block"},
+                        {"name": "r2", "when": 'agent.id == "a"', "action": "block"},
+                        {"name": "r3", "when": 'trifecta.contains("reads_all")', "action": "block"},
+                        {"name": "r4", "when": "taint.any(t, true)", "action": "block"},
+                        {"name": "r5", "when": 'taint.all(t, t.source == "web")', "action": "allow"},
+                        {"name": "r6", "when": "run.nothing", "action": "block"},
+                        {"name": "r7", "action": "allow"},
+                        {"name": "r8", "action": "allow"},
+                    ],
+                },
+                "default.y": {
+                    "rules": [
+                        {"name": "s1", "when": 'agent.id == "z"', "action": "allow"},
+                        {"name": "s2", "when": "a ==", "action": "allow"},
+                        {"name": "s3", "when": 'run.sources.all(s, s == "q")', "action": "allow"},
+                    ]
+                },
+            },
+        }
+    )
     return lint.frame(spark, lint.check(p)).select("severity", "sink", F.coalesce("rule", F.lit("-")).alias("rule"), "code")
 
 
@@ -515,10 +757,23 @@ LINT_SQL = """SELECT * FROM (VALUES ('error','default.x','r2','shadowed'), ('err
 
 def explain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = policy(CONVERSATIONS)
-    rows = [(who, explain.frame(spark, got)) for who, got in (("agent-0", explain.for_agent(p, "agent-0")), ("agent-3", explain.for_agent(p, "agent-3")), ("group staff", explain.for_group(p, "staff")))]
+    rows = [
+        (who, explain.frame(spark, got)) for who, got in (
+            ("agent-0", explain.for_agent(p, "agent-0")),
+            ("agent-3", explain.for_agent(p, "agent-3")),
+            ("group staff", explain.for_group(p, "staff")),
+        )
+    ]
     out = None
     for who, df in rows:
-        part = df.where("sink = 'default.tool_0'").select(F.lit(who).alias("who"), "ord", "rule", "outcome", F.coalesce("shadowed_by", F.lit("-")).alias("shadowed_by"), "depends_on_member")
+        part = df.where("sink = 'default.tool_0'").select(
+            F.lit(who).alias("who"),
+            "ord",
+            "rule",
+            "outcome",
+            F.coalesce("shadowed_by", F.lit("-")).alias("shadowed_by"),
+            "depends_on_member",
+        )
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -550,7 +805,16 @@ def args_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ten, quarter = F.col("event_id") % 10, (F.col("event_id") % 7) / F.lit(4)
     k = F.get_json_object("props", "$.k").cast("long")
     number = lambda c: F.regexp_replace(F.format_number(c, 2), ",", "")
-    parts = ['{"k":', k, ',"ten":', ten, ',"quarter":', number(quarter), ',"half":', F.when(ten % 2 == 0, F.lit("0.5")).otherwise(F.lit("0.500"))]
+    parts = [
+        '{"k":',
+        k,
+        ',"ten":',
+        ten,
+        ',"quarter":',
+        number(quarter),
+        ',"half":',
+        F.when(ten % 2 == 0, F.lit("0.5")).otherwise(F.lit("0.500")),
+    ]
     parts += [',"fixed":1.25,"kind":"', F.col("event_type"), '","other":"purchase","none":null,"pair":[', k, ",", ten, "]}"]
     text = F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
     calls = table(spark, sf_dir, "events").where("event_type <> 'error'").select("event_id", F.parse_json(text).alias("args"))
@@ -582,9 +846,19 @@ def string_ops_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tabs": strings.expandtabs(strings.encode(plain(F.concat("lang", F.lit("\t"), "lang"))), 8).value,
         "cap": strings.capitalize(strings.lower(strings.encode(plain(F.col("lang"))))).value,
     }
-    counts = {"n_bytes": F.octet_length(b.value), "n_words": F.size(strings.split(b).value), "n_lines": F.size(strings.splitlines(b).value), "code": strings.item(b, 0).value}
+    counts = {
+        "n_bytes": F.octet_length(b.value),
+        "n_words": F.size(strings.split(b).value),
+        "n_lines": F.size(strings.splitlines(b).value),
+        "code": strings.item(b, 0).value,
+    }
     texts = [F.decode(v, "UTF-8").alias(k) for k, v in made.items()]
-    return table(spark, sf_dir, "documents").select("doc_id", *texts, *[F.coalesce(v, F.lit(-1)).cast("long").alias(k) for k, v in counts.items()], strings.upper(b).label["source"].alias("label"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        *texts,
+        *[F.coalesce(v, F.lit(-1)).cast("long").alias(k) for k, v in counts.items()],
+        strings.upper(b).label["source"].alias("label"),
+    )
 
 
 _AZ, _ZA = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -623,12 +897,26 @@ SELECT doc_id, replace(lower(t), 'ß', 'ss') AS folded,
 
 def typed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of typed values: mapped, collected and counted; bytes are leaves, too."""
-    value = F.struct("text", F.struct("lang", "n_chars").alias("about"), F.array("source", "lang").alias("list"), F.create_map(F.lit("k"), F.col("source")).alias("map"), F.encode("lang", "UTF-8").alias("raw"))
+    value = F.struct(
+        "text",
+        F.struct("lang", "n_chars").alias("about"),
+        F.array("source", "lang").alias("list"),
+        F.create_map(F.lit("k"), F.col("source")).alias("map"),
+        F.encode("lang", "UTF-8").alias("raw"),
+    )
     t = table(spark, sf_dir, "documents").select("doc_id", value.alias("v"))
     kind = t.schema["v"].dataType
     marked = nested.map_leaves(F.col("v"), kind, lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">")))
     found = nested.collect_leaves(F.col("v"), kind)
-    return t.select("doc_id", marked["about"]["lang"].alias("lang"), marked["list"][0].alias("source"), marked["raw"].alias("raw"), F.size(found).cast("long").alias("n"), joined(F.slice(found, 2, 10)).alias("rest"), F.lit(len(list(nested.leaf_paths(kind)))).cast("long").alias("n_paths"))
+    return t.select(
+        "doc_id",
+        marked["about"]["lang"].alias("lang"),
+        marked["list"][0].alias("source"),
+        marked["raw"].alias("raw"),
+        F.size(found).cast("long").alias("n"),
+        joined(F.slice(found, 2, 10)).alias("rest"),
+        F.lit(len(list(nested.leaf_paths(kind)))).cast("long").alias("n_paths"),
+    )
 
 
 TYPED_SQL = """SELECT doc_id, '<' || lang || '>' AS lang, '<' || source || '>' AS source, '<' || lang || '>' AS raw,
@@ -640,8 +928,21 @@ def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("source", F.lit("none")).alias("source"))
     a = labels.endorse(labels.fresh(F.col("source"), F.col("doc_id"), F.lit("reader")), "checked")
     b = F.when(F.col("doc_id") % 3 == 0, labels.fresh(F.concat(F.lit("lang_"), "lang"), F.col("doc_id")))
-    t = t.select("doc_id", labels.track_model_call([a, b], F.col("doc_id"), F.lit("writer")).alias("label"), labels.track_model_call([labels.none()], F.col("doc_id")).alias("nothing"), labels.endorsement_record(a, "checked", "seen", F.lit("reader")).alias("record"))
-    return t.select("doc_id", "label.source", joined(F.col("label.lineage")).alias("lineage"), joined(F.col("label.ingested_by")).alias("agents"), F.size("label.endorsements").cast("long").alias("endorsements"), F.col("nothing").isNull().alias("unlabeled"), F.concat_ws("/", "record.kind", "record.note", "record.agent_id").alias("record"))
+    t = t.select(
+        "doc_id",
+        labels.track_model_call([a, b], F.col("doc_id"), F.lit("writer")).alias("label"),
+        labels.track_model_call([labels.none()], F.col("doc_id")).alias("nothing"),
+        labels.endorsement_record(a, "checked", "seen", F.lit("reader")).alias("record"),
+    )
+    return t.select(
+        "doc_id",
+        "label.source",
+        joined(F.col("label.lineage")).alias("lineage"),
+        joined(F.col("label.ingested_by")).alias("agents"),
+        F.size("label.endorsements").cast("long").alias("endorsements"),
+        F.col("nothing").isNull().alias("unlabeled"),
+        F.concat_ws("/", "record.kind", "record.note", "record.agent_id").alias("record"),
+    )
 
 
 MODEL_SQL = """SELECT doc_id, 'model' AS source, concat_ws(',', coalesce(source, 'none'), CASE WHEN doc_id % 3 = 0 THEN 'lang_' || lang END) AS lineage,
@@ -665,7 +966,10 @@ def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         logging.getLogger("provlake").removeFilter(_quiet)
     good, bad = records.read(spark, path)
-    counted = records.tree(good).groupBy("run_id", "agent_id").agg(F.count("*").alias("n"), F.count_if(F.length("summary") > 0).alias("n_said"))
+    counted = records.tree(good).groupBy("run_id", "agent_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.length("summary") > 0).alias("n_said"),
+    )
     return counted.join(bad.agg(F.count("*").alias("n_bad")), how="cross")
 
 
@@ -698,9 +1002,19 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("labels_json"),
     )
     decided = decide_stream(log, policy(EVENTS), ttl_ms=None)
-    decided = decided.select(F.try_variant_get("args", "$.event_id", "long").alias("event_id"), "run_tainted", joined(F.col("run_trifecta")).alias("run_trifecta"), "action", F.coalesce("matched_rule", F.lit("-")).alias("rule"), "late")
+    decided = decided.select(
+        F.try_variant_get("args", "$.event_id", "long").alias("event_id"),
+        "run_tainted",
+        joined(F.col("run_trifecta")).alias("run_trifecta"),
+        "action",
+        F.coalesce("matched_rule", F.lit("-")).alias("rule"),
+        "late",
+    )
     try:
-        query = decided.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+        query = decided.writeStream.format("parquet").option("path", f"{place}/out").option(
+            "checkpointLocation",
+            f"{place}/state",
+        ).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
@@ -716,7 +1030,12 @@ def laundered_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns enter as untrusted content; the next assistant turn repeats them in a nested argument, without a label."""
     p = from_text('version: "2.0"\nsources: [{name: user_0, trust: trusted}]')
     said = tables.conversation_ingress(spark, sf_dir).where(F.length("text") >= 12)
-    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("They said: "), "text").alias("quote"))).alias("parts"), F.lit("a note of no one").alias("note")))
+    body = F.to_json(
+        F.struct(
+            F.array(F.struct(F.concat(F.lit("They said: "), "text").alias("quote"))).alias("parts"),
+            F.lit("a note of no one").alias("note"),
+        )
+    )
     calls = said.select("run_id", (F.col("seq") + 1).alias("seq"), "agent_id", F.lit("default.post").alias("tool"), body.alias("args"))
     return audit.findings(audit.argument_leaves(calls), p, said).select("run_id", "source", "tool", "argument", "seq")
 
@@ -729,20 +1048,37 @@ def envelope_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes beside the keys of a document, some of which are changed; what the sound ones bring into a reader's run."""
     key = b"0123456789abcdef0123456789abcdef"
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("body"))
-    leaves = F.array(F.struct(F.lit("$.text").alias("path"), labels.fresh("web", F.concat_ws("/", "conv_id", "turn")).alias("label"), F.lit("str").alias("carrier")))
+    leaves = F.array(
+        F.struct(
+            F.lit("$.text").alias("path"),
+            labels.fresh("web", F.concat_ws("/", "conv_id", "turn")).alias("label"),
+            F.lit("str").alias("carrier"),
+        )
+    )
     run = F.array(F.struct(F.lit("web").alias("source"), F.lit("untrusted").alias("trust"), F.array(F.lit("a")).alias("ingested_by")))
     wire = envelope.pack(F.col("body"), leaves, run, F.array(F.lit("reads_private")), key)
     sent = t.withColumn("sent", wire).withColumn("own", F.concat(F.lit('{"amount":'), F.col("turn").cast("string"), F.lit(',"to":"x"}')))
     sent = sent.withColumn("d", envelope.pack_into(F.col("own"), F.col("sent"), key))
     case = F.col("conv_id") % 4
-    changed = F.when(case == 1, F.regexp_replace("d", '"amount":[0-9]+', '"amount":999')).when(case == 2, F.replace("d", F.lit('"label_pool":[{'), F.lit('"label_pool":[{"more":1,'))).when(case == 3, F.replace("d", F.lit('"to":"x"'), F.lit('"to": "x"'))).otherwise(F.col("d"))
-    sent = sent.withColumn("d", changed).withColumn("wire", envelope.unpack_from(F.col("d"))).withColumns({"run_id": F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), "seq": F.col("turn")})
+    changed = F.when(case == 1, F.regexp_replace("d", '"amount":[0-9]+', '"amount":999')).when(
+        case == 2,
+        F.replace("d", F.lit('"label_pool":[{'), F.lit('"label_pool":[{"more":1,')),
+    ).when(case == 3, F.replace("d", F.lit('"to":"x"'), F.lit('"to": "x"'))).otherwise(F.col("d"))
+    sent = sent.withColumn("d", changed).withColumn("wire", envelope.unpack_from(F.col("d"))).withColumns(
+        {"run_id": F.concat(F.lit("conv-"), F.col("conv_id").cast("string")), "seq": F.col("turn")}
+    )
     read = envelope.unpack(sent, "wire", key, "d")
     brought = envelope.replay_capabilities(read).groupBy("run_id", "seq").agg(joined(F.collect_set("capability")).alias("brought"))
     texts = envelope.replay_texts(read).select("run_id", "seq", F.length("text").cast("long").alias("text_chars"))
     out = read.select("conv_id", "turn", "run_id", "seq", F.coalesce("reject_reason", F.lit("-")).alias("reject_reason"))
     out = out.join(brought, ["run_id", "seq"], "left").join(texts, ["run_id", "seq"], "left")
-    return out.select("conv_id", "turn", "reject_reason", F.coalesce("brought", F.lit("-")).alias("brought"), F.coalesce("text_chars", F.lit(-1)).cast("long").alias("text_chars"))
+    return out.select(
+        "conv_id",
+        "turn",
+        "reject_reason",
+        F.coalesce("brought", F.lit("-")).alias("brought"),
+        F.coalesce("text_chars", F.lit(-1)).cast("long").alias("text_chars"),
+    )
 
 
 DOCUMENT_SQL = """SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN CASE WHEN turn = 999 THEN '-' ELSE 'wrong code' END WHEN 2 THEN 'schema' ELSE '-' END AS reject_reason,
@@ -757,9 +1093,20 @@ def starter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         p, problems = load(path), lint.validate(path)
     other = from_text(STARTER.replace("action: block", "action: require_approval", 1))
     mentions = {r["rule"]: (r["agents"], r["groups"]) for key in p.sinks for r in explain.for_tool(p, key)}
-    rows = [(key, n, r.name, r.action, ",".join(mentions[r.name][0] + mentions[r.name][1]) or "-") for key, s in p.sinks.items() for n, r in enumerate(s.rules)]
+    rows = [
+        (
+            key,
+            n,
+            r.name,
+            r.action,
+            ",".join(mentions[r.name][0] + mentions[r.name][1]) or "-",
+        ) for key, s in p.sinks.items() for n, r in enumerate(s.rules)
+    ]
     same = p.fingerprint == from_text(STARTER).fingerprint and p.fingerprint != other.fingerprint
-    return spark.createDataFrame([(*row, len(problems), same) for row in rows], "sink string, ord int, rule string, action string, mentions string, n_problems int, fingerprint_tells boolean")
+    return spark.createDataFrame(
+        [(*row, len(problems), same) for row in rows],
+        "sink string, ord int, rule string, action string, mentions string, n_problems int, fingerprint_tells boolean",
+    )
 
 
 STARTER_SQL = """SELECT * FROM (VALUES ('desk.refund', 0, 'own_desk', 'allow', 'refund-clerk', 0, true), ('desk.refund', 1, 'unread_sources', 'block', '-', 0, true),

@@ -23,7 +23,14 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = lines.select("value", parsed.alias("r"))
     r = F.col("r")
     sound = r.isNotNull() & r["_corrupt"].isNull() & r["record_type"].isin(*TYPES)
-    needs = F.when(r["record_type"] == "event", r["decision"]["action"].isNotNull() & r["decision"]["tool"].isNotNull() & r["decision"]["run_ingress"].isNotNull() & r["outcome"].isNotNull()).when(r["record_type"] == "finding", r["source"].isNotNull() & r["tool"].isNotNull() & r["argument"].isNotNull()).otherwise(r["kind"].isNotNull() & r["value_id"].isNotNull())
+    needs = F.when(
+        r["record_type"] == "event",
+        r["decision"]["action"].isNotNull() & r["decision"]["tool"].isNotNull() & r["decision"][
+            "run_ingress"
+        ].isNotNull() & r["outcome"].isNotNull(),
+    ).when(r[
+        "record_type"
+    ] == "finding", r["source"].isNotNull() & r["tool"].isNotNull() & r["argument"].isNotNull()).otherwise(r["kind"].isNotNull() & r["value_id"].isNotNull())
     good = F.coalesce(sound & needs, F.lit(False))
     return rows.where(good).select("r.*").drop("_corrupt"), rows.where(~good).select("value")
 
@@ -104,7 +111,12 @@ def counts(records: DataFrame, run_id: str | None = None) -> DataFrame:
     if run_id is not None:
         rows = rows.where(F.col("run_id") == run_id)
     n = [F.count_if(F.col("record_type") == t).alias(f"n_{t}s") for t in TYPES]
-    return rows.rollup("run_id", "agent_id").agg(F.grouping_id().alias("__g"), *n).where("__g < 3").select("run_id", "agent_id", F.when(F.col("__g") == 1, "run").otherwise("agent").alias("level"), *[f"n_{t}s" for t in TYPES])
+    return rows.rollup("run_id", "agent_id").agg(F.grouping_id().alias("__g"), *n).where("__g < 3").select(
+        "run_id",
+        "agent_id",
+        F.when(F.col("__g") == 1, "run").otherwise("agent").alias("level"),
+        *[f"n_{t}s" for t in TYPES],
+    )
 
 
 def tree(records: DataFrame, run_id: str | None = None) -> DataFrame:

@@ -59,7 +59,20 @@ class RunState(StatefulProcessor):
                 if not late:
                     can += [c for c in self.can.get(tool, []) if c not in can]
                 entries = [{"source": s, "trust": self.trusts.get(s, "untrusted"), "ingested_by": a} for s, a in seen.items()]
-                out.append((key[0], row.seq, row.agent_id, row.session_id, row.tool, row.args_json, row.labels_json, json.dumps(entries), json.dumps(sorted({*can, *self.can.get(tool, [])})), late))
+                out.append(
+                    (
+                        key[0],
+                        row.seq,
+                        row.agent_id,
+                        row.session_id,
+                        row.tool,
+                        row.args_json,
+                        row.labels_json,
+                        json.dumps(entries),
+                        json.dumps(sorted({*can, *self.can.get(tool, [])})),
+                        late,
+                    )
+                )
         if open_:
             self.state.update((json.dumps(seen), json.dumps(can), int(last)))
         else:
@@ -81,13 +94,24 @@ def run_state(log: DataFrame, policy: Policy, ttl_ms: int | None = 24 * 3600 * 1
     ship(log.sparkSession)
     can = {k: list(s.capabilities) for k, s in policy.sinks.items() if s.capabilities}
     keyed = log.where("run_id IS NOT NULL").groupBy("run_id")
-    return keyed.transformWithStateInPandas(RunState(dict(policy.sources), can, ttl_ms), OUTPUT, "Append", "None" if ttl_ms is None else "ProcessingTime")
+    return keyed.transformWithStateInPandas(
+        RunState(dict(policy.sources), can, ttl_ms),
+        OUTPUT,
+        "Append",
+        "None" if ttl_ms is None else "ProcessingTime",
+    )
 
 
 def decide_stream(log: DataFrame, policy: Policy, mode: str = "enforce", ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Decisions of a streaming log; late calls carry late = true and are not to be acted on again."""
     calls = run_state(log, policy, ttl_ms)
-    calls = calls.withColumn("args", F.coalesce("args_json", F.lit("{}"))).withColumn("labels", F.from_json("labels_json", f"array<{decide.trust.LABEL}>"))
+    calls = calls.withColumn("args", F.coalesce("args_json", F.lit("{}"))).withColumn(
+        "labels",
+        F.from_json("labels_json", f"array<{decide.trust.LABEL}>"),
+    )
     calls = decide.prepared(calls.drop("args_json", "labels_json"))
-    calls = calls.withColumn("run_ingress", F.from_json("run_json", f"array<{RUN_ENTRY}>")).withColumn("run_capabilities", F.from_json("capabilities", "array<string>")).drop("run_json", "capabilities")
+    calls = calls.withColumn("run_ingress", F.from_json("run_json", f"array<{RUN_ENTRY}>")).withColumn(
+        "run_capabilities",
+        F.from_json("capabilities", "array<string>"),
+    ).drop("run_json", "capabilities")
     return decide.decide(runs.derived(calls), policy, mode)
