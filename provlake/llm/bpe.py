@@ -20,7 +20,11 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPACE = r"\t-\r \x85\xa0"
-PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?[^\w{_SPACE}_]+(?:_+[^\w{_SPACE}]*)*| ?_[^{_SPACE}0-9A-Za-zª-ɏ]*|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+PIECE = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[^\W_]+| ?[^\w{
+        _SPACE
+    }_]+(?:_+[^\w{_SPACE}]*)*| ?_[^{_SPACE}0-9A-Za-zª-ɏ]*|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 _OUTSIDE = re.compile("[^\x00-ɏ‐-‧]")
 _CACHE: dict[tuple[str, bool], "Pieces"] = {}
 _RANKED: dict[str, "Ranked"] = {}
@@ -121,7 +125,9 @@ class Ranked:
 
         made = json.loads(self.tokenizer.to_str(pretty=False))
         cut, model = made["pre_tokenizer"] or {}, made["model"]
-        if made["normalizer"] is not None or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        if made["normalizer"] is not None or cut.get("type") != "ByteLevel" or cut.get(
+            "add_prefix_space"
+        ) or not cut.get("use_regex", True):
             return None
         if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix")):
             return None
@@ -136,7 +142,12 @@ class Ranked:
             return None
         if any([t.id for t in self.tokenizer.model.tokenize(s)] != [i] for s, i in strings.items()):
             return None
-        return tiktoken.Encoding("ranked", pat_str=PRE_TOKEN, mergeable_ranks={bytes(letters[x] for x in s): i for s, i in strings.items()}, special_tokens={})
+        return tiktoken.Encoding(
+            "ranked",
+            pat_str=PRE_TOKEN,
+            mergeable_ranks={bytes(letters[x] for x in s): i for s, i in strings.items()},
+            special_tokens={},
+        )
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

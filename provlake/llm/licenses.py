@@ -212,9 +212,20 @@ NAMES = [
     ("{ofl|sil ofl|sil open font|open font}", "OFL-{v:1.1}"),
 ]
 _CC_PARTS = {"nc": "NC", "noncommercial": "NC", "sa": "SA", "sharealike": "SA", "nd": "ND", "noderivatives": "ND", "noderivs": "ND"}
-_LEADS = frozenset("licensed released distributed available provided published covered redistributed shared issued offered redistributable relicensed governed".split())
+_LEADS = frozenset(
+    "licensed released distributed available provided published covered redistributed shared issued offered redistributable relicensed governed".split()
+)
 _BETWEEN = frozenset("the terms and conditions of a an either both its your choice any following in our new same".split())
-_LATER = tuple(tuple(x.split()) for x in ("or any later version", "or at your option any later version", "or later version", "or later", "and later", "or newer"))
+_LATER = tuple(
+    tuple(x.split()) for x in (
+        "or any later version",
+        "or at your option any later version",
+        "or later version",
+        "or later",
+        "and later",
+        "or newer",
+    )
+)
 #: The most words of <x>; sentences of a rule may stand so many sentences apart.
 GAP, APART = 12, 24
 
@@ -261,7 +272,10 @@ _NAMED = _tree([(to, name) for name, to in NAMES])
 
 
 def normalise(text: str) -> str:
-    text = _JOINED.sub(lambda m: ("v" if m[1].lower() == "v" else m[1]) + (" " if m[1].lower() in ("v", "version") else " v "), _URL.sub(" url ", text))
+    text = _JOINED.sub(
+        lambda m: ("v" if m[1].lower() == "v" else m[1]) + (" " if m[1].lower() in ("v", "version") else " v "),
+        _URL.sub(" url ", text),
+    )
     return re.sub(r"\blicence", "license", text.lower())
 
 
@@ -328,7 +342,9 @@ def _name(words: list[str], at: int) -> tuple[str, int] | None:
     end, to, _, _ = got
     if to == "CC-BY":
         parts, numbers = [], ""
-        while end < len(words) and (words[end] in _CC_PARTS or words[end] in ("share", "alike", "non", "commercial", "no", "derivatives", "derivs", "license", "by")):
+        while end < len(words) and (
+            words[end] in _CC_PARTS or words[end] in ("share", "alike", "non", "commercial", "no", "derivatives", "derivs", "license", "by")
+        ):
             two = "".join(words[end : end + 2])
             if words[end] in _CC_PARTS or two in _CC_PARTS:
                 parts.append(_CC_PARTS[words[end] if words[end] in _CC_PARTS else two])
@@ -376,7 +392,16 @@ def _names(words: list[str], at: int) -> tuple[str, int] | None:
 def _notice(words: list[str]) -> tuple[str, int] | None:
     """The licences that a sentence names, and where that part of it ends."""
     for k, w in enumerate(words):
-        if w == "under" and k and (words[k - 1] in _LEADS or words[k - 1] in ("only", "is", "are", "and", "code", "software") or words[max(0, k - 3) : k] and _LEADS & set(words[max(0, k - 3) : k])):
+        if w == "under" and k and (
+            words[k - 1] in _LEADS or words[k - 1] in (
+                "only",
+                "is",
+                "are",
+                "and",
+                "code",
+                "software",
+            ) or words[max(0, k - 3) : k] and _LEADS & set(words[max(0, k - 3) : k])
+        ):
             at = k + 1
             while at < len(words) and words[at] in _BETWEEN:
                 at += 1

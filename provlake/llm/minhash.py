@@ -179,7 +179,11 @@ def _tile_links(words: int, percent: int, least: int):
 def _mixed_buckets(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links between members of one bucket that are in different components."""
     kind, least = members.schema["doc"].dataType.simpleString(), least_agreement(percent)
-    known = members.join(labels, members["doc"] == labels["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+    known = members.join(labels, members["doc"] == labels["node"], "left").select(
+        "key",
+        "doc",
+        F.coalesce("component", "doc").alias("comp"),
+    )
     sizes = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("g"), F.count("*").alias("parts"))
     mixed = mixed.where("parts > 1 AND g > 2")  # of two members, the one pair has been tested with the star
@@ -194,7 +198,10 @@ def _mixed_buckets(members: DataFrame, labels: DataFrame, sigs: DataFrame, texts
     each = {c: F.sequence(F.lit(0), F.col(c) - 1) for c in "ot"}
     with_main = F.when(F.col("is_main"), F.transform(each["o"], lambda b: F.struct(F.col("own").alias("a"), b.alias("b"))))
     with_main = with_main.otherwise(F.transform(each["t"], lambda a: F.struct(a.alias("a"), F.col("own").alias("b"))))
-    pair = F.transform(each["o"], lambda b: F.struct((F.lit(-1) - F.least(b, F.col("own"))).alias("a"), F.greatest(b, F.col("own")).alias("b")))
+    pair = F.transform(
+        each["o"],
+        lambda b: F.struct((F.lit(-1) - F.least(b, F.col("own"))).alias("a"), F.greatest(b, F.col("own")).alias("b")),
+    )
     with_others = F.when(~F.col("is_main"), pair).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
     tiles = rows.select("key", "doc", "comp", "sig", side.alias("side"), F.explode(F.concat(with_main, with_others)).alias("tile"))
     tiles = tiles.select("key", "tile.a", "tile.b", "doc", "comp", "sig", "side")
@@ -214,7 +221,14 @@ def _repeated(rows: DataFrame, *cols: str) -> bool:
     return not rows.groupBy(*cols).agg(F.count("*").alias("c")).where("c > 1").isEmpty()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85, apart: bool = False) -> DataFrame:
+def near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    percent: int = 85,
+    apart: bool = False,
+) -> DataFrame:
     """id, n_shingles, component_id and kept for every row. percent: documents link if 100 |A and B| >= percent |A or B|.
 
     apart: rows that repeat an id and have different sets are documents of their own. Then text_hash (xxhash64 of the
@@ -233,11 +247,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Where one id has several sets each of these is a node, a text in the order of the ids; else the id is the node.
     node = F.col("id")
     if by_set:
-        node = F.concat(F.lpad((F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.lit("|"), F.hex("fp"))
+        node = F.concat(
+            F.lpad((F.col("id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"),
+            F.lit("|"),
+            F.hex("fp"),
+        )
     sketched = sketched.withColumn("node", F.when(F.col("id").isNotNull() & (F.col("n") > 0), node))
     full = sketched.where("node IS NOT NULL")
     reps = written(full.groupBy("fp").agg(F.min("node").alias("rep"), F.first("sig").alias("sig")), "reps")
-    copies = full.select("node", "fp").join(reps.select("fp", "rep"), "fp").select(F.col("node").alias("u"), F.col("rep").alias("v")).where("u != v")
+    copies = full.select("node", "fp").join(reps.select("fp", "rep"), "fp").select(
+        F.col("node").alias("u"),
+        F.col("rep").alias("v"),
+    ).where("u != v")
 
     if by_set and not apart:
         one = full.groupBy("id").agg(F.min("node").alias("v"))
@@ -248,7 +269,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = written(banded.join(written(buckets.select("key", "hub"), "buckets"), "key"), "members")
     pairs = members.where("doc != hub").select("hub", "doc").distinct()
     sigs = reps.select(F.col("rep").alias("node"), "sig")
-    signed = pairs.join(sigs.withColumnsRenamed({"node": "hub", "sig": "s1"}), "hub").join(sigs.withColumnsRenamed({"node": "doc", "sig": "s2"}), "doc")
+    signed = pairs.join(
+        sigs.withColumnsRenamed({"node": "hub", "sig": "s1"}),
+        "hub",
+    ).join(sigs.withColumnsRenamed({"node": "doc", "sig": "s2"}), "doc")
     likely = written(signed.where(_agree(least)("s1", "s2")).select("hub", "doc"), "likely")
 
     # Texts of documents that share a bucket with another, for the exact tests.
@@ -275,4 +299,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component = F.coalesce(of_top, F.col("id"))
     kept = F.col("id").isNull() | (component == F.col("id"))
     more_columns = ["text_hash", F.hex("fp").alias("set_id"), F.coalesce(top == F.col("node"), F.lit(True)).alias("least")] if apart else []
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *more_columns)
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        kept.alias("kept"),
+        *more_columns,
+    )

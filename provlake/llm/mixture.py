@@ -46,7 +46,16 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"])).otherwise(F.array(F.lit(1.0)))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str, float] | None = None, tau: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
+def mix(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: dict[str, float] | None = None,
+    tau: float = 0.5,
+    epochs: float = 1.0,
+    seed: int = 17,
+) -> DataFrame:
     """The rows of df as often as drawn, in global random order, as (row STRUCT<all columns>, copy, n_copies, rate, shuffle_key).
 
     weights: target share of each source, in characters; sources without one get none. None: shares follow the
@@ -69,7 +78,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rate = F.when(held, F.col("__wanted") / F.col("__size") * scale).otherwise(without)
     table = sources.withColumn("__rate", rate).withColumn("__parts", F.greatest(F.ceil(F.col("__rate") / PART), F.lit(1)))
     table = table.select("__source", "__rate", "__parts", poisson_cdf(F.col("__rate") / F.col("__parts")).alias("__cdf"))
-    docs = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[source_col].alias("__key"), uniform(seed, df[id_col]).alias("__u"), df[id_col].alias("__id"))
+    docs = df.select(
+        F.struct(*[df[c] for c in df.columns]).alias("row"),
+        df[source_col].alias("__key"),
+        uniform(seed, df[id_col]).alias("__u"),
+        df[id_col].alias("__id"),
+    )
     if n <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(table), F.col("__key").eqNullSafe(F.col("__source")))
     else:

@@ -129,10 +129,26 @@ def pieces_of(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacit
     length = F.when(F.col("piece") == 0, F.col("__first")).otherwise(F.lit(capacity)).cast("long")
     part = F.substring(F.col("__got"), (start * 4 + 1).cast("int"), (length * 4).cast("int")) if with_ids else None
     crc = F.crc32(part) if with_ids else F.get(F.col("__got"), F.col("piece") + 1)
-    return out.select(id_col, "piece", start.alias("start"), length.alias("length"), crc.alias("ids_crc32"), *([part.alias("ids")] if with_ids else []))
-
-
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, buckets: int = 64) -> DataFrame:
+    return out.select(
+        id_col,
+        "piece",
+        start.alias("start"),
+        length.alias("length"),
+        crc.alias("ids_crc32"),
+        *([part.alias("ids")] if with_ids else []),
+    )
+
+
+def pack(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str = "byte_bpe_50k.json",
+    capacity: int = 2048,
+    end_id: int = 0,
+    with_ids: bool = False,
+    buckets: int = 64,
+) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id and offset of every piece (with_ids: its ids too, as bytes).
 
     buckets: into so many parts, at least, the pieces of one length are dealt for counting; more on large corpora.
@@ -144,12 +160,28 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
     buckets = max(buckets, sum(histogram.values()) // 1_000_000)
     dealt = cut.withColumn("__bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    sizes = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).select(
+        "length",
+        "__bucket",
+        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+    )
     own = Window.partitionBy("length", "__bucket").orderBy(id_col, "piece", "ids_crc32")
     ranked = dealt.withColumn("__rank", F.row_number().over(own)).join(sizes, ["length", "__bucket"])
     ranked = ranked.withColumn("__j", F.col("__before") + F.col("__rank") - 1)
     # At most a few rows for each length up to the capacity: a proven bound.
     table = spark.createDataFrame(runs, RUNS).withColumnRenamed("length", "__length")
     at = F.col("__j") - F.col("run_from")
-    placed = ranked.join(F.broadcast(table), (F.col("length") == F.col("__length")) & (F.col("__j") >= F.col("run_from")) & (F.col("__j") < F.col("run_to")))
-    return placed.select(id_col, "piece", "start", "length", "ids_crc32", (F.col("first_bin") + F.floor(at / F.col("in_bin"))).cast("long").alias("sequence_id"), (F.col("filled") + at % F.col("in_bin") * F.col("length")).cast("long").alias("offset"), *(["ids"] if with_ids else []))
+    placed = ranked.join(
+        F.broadcast(table),
+        (F.col("length") == F.col("__length")) & (F.col("__j") >= F.col("run_from")) & (F.col("__j") < F.col("run_to")),
+    )
+    return placed.select(
+        id_col,
+        "piece",
+        "start",
+        "length",
+        "ids_crc32",
+        (F.col("first_bin") + F.floor(at / F.col("in_bin"))).cast("long").alias("sequence_id"),
+        (F.col("filled") + at % F.col("in_bin") * F.col("length")).cast("long").alias("offset"),
+        *(["ids"] if with_ids else []),
+    )

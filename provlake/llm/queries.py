@@ -50,7 +50,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     first = F.filter("spans", lambda s: s["kind"].isin(base))
-    return found.select("row.doc_id", *map(count, base), F.sha2(secrets.listed(first).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+    return found.select(
+        "row.doc_id",
+        *map(count, base),
+        F.sha2(secrets.listed(first).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixture, op3_toxicity, op4_neighbours, op5_html_text, op6_licenses, op7_minhash, op8_secrets, op9_packing, op10_topk)}
+    return {
+        f.__name__: f for f in (
+            op1_token_counts,
+            op2_mixture,
+            op3_toxicity,
+            op4_neighbours,
+            op5_html_text,
+            op6_licenses,
+            op7_minhash,
+            op8_secrets,
+            op9_packing,
+            op10_topk,
+        )
+    }
 
 
 MIXTURE_SQL = """

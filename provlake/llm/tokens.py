@@ -20,7 +20,13 @@ from provlake.llm import bpe
 from provlake.runtime import ship, bounded_batches
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
+def token_counts(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    tokenizer: str = "byte_bpe_50k.json",
+    limit: int = 1024,
+) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit (more than `limit` tokens) of every row.
 
     tokenizer: a name of the public tokenizers, or the path of a tokenizers JSON file that every worker can open.

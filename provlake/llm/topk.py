@@ -104,7 +104,14 @@ def _written(score: int) -> tuple[int, str | None]:
     return _LONG - 1, digits
 
 
-def search_shard(held: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, scale: float, k: int) -> tuple[pd.DataFrame, int]:
+def search_shard(
+    held: dict[str, np.ndarray],
+    qids: np.ndarray,
+    queries: np.ndarray,
+    pivots: np.ndarray,
+    scale: float,
+    k: int,
+) -> tuple[pd.DataFrame, int]:
     """(query_id, vec_id, score, beyond) of each query's k best in the shard, and how many candidates were evaluated."""
     ids, rows = held["ids"], held["rows"]
     with np.errstate(over="ignore"):
@@ -151,10 +158,19 @@ def search_shard(held: dict[str, np.ndarray], qids: np.ndarray, queries: np.ndar
                 others += list(zip(top.tolist(), top_ids.tolist()))
             for score, vec in sorted(others, key=lambda x: (-x[0], x[1]))[:k]:
                 out.append((int(qid), vec, *_written(score)))
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "beyond"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64", "beyond": object}), evaluated
-
-
-def top_products(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "beyond"]).astype(
+        {"query_id": "int64", "vec_id": "int64", "score": "int64", "beyond": object}
+    ), evaluated
+
+
+def top_products(
+    df: DataFrame,
+    is_query: Column,
+    k: int = 5,
+    scale: float = 256.0,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+) -> DataFrame:
     """query_id, rank, vec_id and score (integer inner product) of each query's k highest; is_query: a condition on `id`."""
     ship(df.sparkSession)
     rows = vectors.clean(df, id_col, vec_col, zeros=True)

@@ -196,14 +196,24 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_labelled: int = MAX_LABELLED,
+) -> Model:
     """The model from labelled rows whose crc32 of the id as text leaves a remainder by 5 (the others are held out)."""
     ship(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # bounded, so it may be broadcast
-    sample = written(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id").select("text", "y"), "labelled")
+    sample = written(
+        docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id").select("text", "y"),
+        "labelled",
+    )
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     base = {f" {w} ": PRIOR_WEIGHT for w in INSULTS}
@@ -223,7 +233,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = _automaton(terms, tuple(EXCEPTIONS))
         for batch in batches:
-            yield pd.DataFrame([(*features(t, found), y) for t, y in zip(batch["text"], batch["y"])], columns=["total", "words", "y"]).astype("float64")
+            yield pd.DataFrame(
+                [(*features(t, found), y) for t, y in zip(batch["text"], batch["y"])],
+                columns=["total", "words", "y"],
+            ).astype("float64")
 
     rows = np.array(sample.mapInPandas(measure, "total double, words double, y double").collect())  # at most max_labelled rows of three numbers
     x = np.column_stack([np.ones(len(rows)), np.log1p(rows[:, 0]), np.log1p(100 * rows[:, 0] / np.maximum(rows[:, 1], 1))])
