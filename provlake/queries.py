@@ -970,7 +970,7 @@ def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(F.length("summary") > 0).alias("n_said"),
     )
-    return counted.join(bad.agg(F.count("*").alias("n_bad")), how="cross")
+    return counted.withColumn("n_bad", F.lit(bad.count()).cast("long"))
 
 
 def _quiet(record: logging.LogRecord) -> bool:
