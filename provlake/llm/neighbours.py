@@ -8,8 +8,8 @@ vector lies within R.
 The window reaches R to either side, so a vector at distance R collides with probability p = 0.68 (a standard normal
 within one deviation); the threshold lies MARGIN binomial deviations below p * PROJECTIONS. Projections come in blocks of
 orthogonal directions, which makes a vector's number of collisions follow its distance more closely than independent ones
-would, so recall is higher than the binomial says: 0.998 to 1.0 on the test tables (tests/llm/test_vectors.py), where
-the share of vectors verified is 18 % of 2,000 and 7 % of 10,000. The vectors of those tables have no structure: the
+would, so recall is higher than the binomial says: 0.99 to 1.0 on the test tables (tests/llm/test_vectors.py), where
+the share of vectors verified is 15 % of 2,000 and 7 % of 8,000. The vectors of those tables have no structure: the
 tenth neighbour is at 1.17 where the mean vector is at 1.41. That is why so many projections are needed.
 
 Vectors that are null or zero, hold null or non-finite components, or have another length than most take no part, nor do

@@ -8,8 +8,8 @@ Scores are exact integers.
 The lower bound is the greatest one that the distances to all pivots together allow. They fix a vector's place in the
 space the pivots span and its distance r from that space; two vectors then are at least as far apart as their places are,
 with r and r' laid in one direction. That is never below the greatest difference of distances to one pivot, the plain
-form, by which almost nothing is ruled out here (95 % of the candidates of sf0.1 were evaluated, as the test vectors
-point in random directions); with it 9 % of them are. Pivots are the vectors of a sample that lie farthest from the
+form, by which almost nothing is ruled out here (97 % of the candidates of sf0.1 would be evaluated, as the test vectors
+point in random directions); with it 8 % of them are. Pivots are the vectors of a sample that lie farthest from the
 space of those chosen before, as many as PIVOT_SHARE of the dimensions.
 
 Vectors that are null, hold null or non-finite components, or have another length than most take no part, nor do rows
