@@ -44,7 +44,9 @@ class Rule:
 
 # A key without its END line: headers, lines of base64 (indented, quoted or with written-out line breaks), a short last one.
 _NL, _INDENT, _REST = r"(?:\r?\n|\r|(?:\\r)?\\n)", r"[\x20\t\"'>#*]*+", r"(?=[\s\"',;\\]|\z)"
-_UNENDED = rf"""(?:(?:["',+\x20\t]*+{_NL}{_INDENT}[A-Za-z-]++:\x20[^\r\n\\]*+)*+(?:{_NL}(?={_NL}))?+(?:(?:["',+\x20\t]|{_NL})++{_INDENT}[A-Za-z0-9+/=]{{16,}}+{_REST})++(?:(?:["',+\x20\t]*+{_NL})++{_INDENT}[A-Za-z0-9+/=]{{1,15}}+(?=["',;\x20\t]*+(?:[\r\n\\]|\z)))?+)?+"""
+_UNENDED = rf"""(?:(?:["',+\x20\t]*+{_NL}{
+    _INDENT
+}[A-Za-z-]++:\x20[^\r\n\\]*+)*+(?:{_NL}(?={_NL}))?+(?:(?:["',+\x20\t]|{_NL})++{_INDENT}[A-Za-z0-9+/=]{{16,}}+{_REST})++(?:(?:["',+\x20\t]*+{_NL})++{_INDENT}[A-Za-z0-9+/=]{{1,15}}+(?=["',;\x20\t]*+(?:[\r\n\\]|\z)))?+)?+"""
 # From BEGIN to the END line if that is what the next five dashes start.
 PEM = rf"""(-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY-----)(?:(?>(?s:.*?)-----)END (?:[A-Z]+ )*PRIVATE KEY-----|{_UNENDED}))"""
 
@@ -74,7 +76,12 @@ def _possible(text: Column, lower: Column, rule: Rule) -> Column:
 
 def can_match(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Whether a text can hold a match of any rule; false for a null text."""
-    return F.coalesce(reduce(or_, [_possible(text, F.lower(text), r) for r in rules]), F.lit(False))
+    needles = sorted({x for r in rules for x in r.needles})
+    # As an element of a list the text is put in lower case once, not for every needle.
+    some = F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [low.contains(x) for x in needles])) if needles else F.lit(False)
+    if not all(r.needles for r in rules):
+        some = some | text.rlike(HEX_RUN)
+    return F.coalesce(some, F.lit(False))
 
 
 def _spans(text: Column, lower: Column, rule: Rule, no: int) -> Column:
@@ -91,7 +98,10 @@ def _spans(text: Column, lower: Column, rule: Rule, no: int) -> Column:
         return F.struct(end.alias("at"), F.concat(a["all"], F.array(one)).alias("all"))
 
     found = F.filter(F.aggregate(rows, acc, step, lambda a: a["all"]), lambda s: s["size"] >= rule.least)
-    spans = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+    spans = F.transform(
+        found,
+        lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(rule.kind).alias("kind")),
+    )
     return F.when(possible, spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
@@ -127,13 +137,22 @@ def up_to_date(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     return spark.read.schema(ENTRY).parquet(folder) if stored or not added.isEmpty() else added
 
 
-def findings(df: DataFrame, ledger: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
+def findings(
+    df: DataFrame,
+    ledger: DataFrame,
+    text_col: str = "text",
+    rules: tuple[Rule, ...] = RULES,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """Every row of df, as (row STRUCT<the columns kept, all by default>, spans), with what the ledger holds for its blob."""
     row, can = F.struct(*[df[c] for c in keep or df.columns]).alias("row"), can_match(df[text_col], rules)
     none = F.array().cast(SPAN).alias("spans")
     known = ledger.where((F.col("rules") == version(rules)) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
     paths = df.where(can).select(row, blob_of(df[text_col]).alias("__blob"))
-    joined = paths.join(known, paths["__blob"] == known["blob"], "left").select("row", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    joined = paths.join(known, paths["__blob"] == known["blob"], "left").select(
+        "row",
+        F.coalesce("spans", F.array().cast(SPAN)).alias("spans"),
+    )
     return joined.unionByName(df.where(~can).select(row, none))
 
 
