@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,64 @@ def test_state_of_an_ended_run_is_gone(spark, tmp_path):
         assert state.count() == 0, name
     assert {(r["run_id"], r["seq"]): r["run_tainted"] for r in spark.table("gone_runs").collect()} == {("q", 1): False, ("r", 2): True, ("r", 3): True, ("r", 5): False}
     assert sorted(tuple(r) for r in spark.table("gone_audit").collect()) == [("q", "s", "send", "x", 1, "a"), ("r", "web", "send", "to", 2, "a")]
+
+
+def test_stream_of_many_runs(spark, tmp_path, monkeypatch):
+    """Many runs of a bucket go through one call of the processor, over several batches; places that repeat within a batch
+    and places below zero are decided as in a whole log."""
+    from provlake.streaming import runs as streaming
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    monkeypatch.setattr(streaming, "BUCKETS", 7)
+    rnd = random.Random(11)
+    batches, calls, ingress, ended = [[], [], []], [], [], set()
+    for run in range(400):
+        for seq in sorted(rnd.choices(range(-4, 5), k=6)):
+            row = {"run_id": str(run), "seq": seq, "agent_id": rnd.choice(["x", "y"])}
+            if rnd.random() < 0.4:
+                row |= {"kind": "ingress", "source": rnd.choice(["web_search", "internal_kb"])}
+                ingress.append((row["run_id"], seq, row["agent_id"], row["source"], ""))
+            else:
+                row |= {"kind": "call", "tool": rnd.choice(["read_inbox", "send_email", "summary"]), "args_json": TO}
+                calls.append((row["run_id"], seq, row["agent_id"], row["tool"], TO, []))
+            batches[(seq > -2) + (seq > 1)].append(row)
+        if run % 3 == 0:
+            batches[2].append({"run_id": str(run), "seq": 9, "kind": "run_end"})
+            ended.add(str(run))
+    schema = "run_id string, seq long, kind string, agent_id string, session_id string, source string, tool string, args_json string, labels_json string"
+    for n, part in enumerate(batches):
+        rnd.shuffle(part)
+        spark.createDataFrame([tuple(row.get(c.split()[0]) for c in schema.split(", ")) for row in part], schema).coalesce(1).write.json(str(tmp_path / f"log-{n}"))
+    columns = ["run_id", "seq", "agent_id", "tool", "action", "matched_rule", "run_ingress", "run_capabilities", "run_trifecta"]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "log-*"))
+    place = str(tmp_path / "cp")
+    q = streaming.decide_stream(stream, from_text(LOOP), ttl_ms=None).select(*columns, "late").writeStream.format("memory").queryName("many").outputMode("append").option("checkpointLocation", place).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    batch = decide.check(spark.createDataFrame(calls, CALL), from_text(LOOP), spark.createDataFrame(ingress, INGRESS)).select(*columns)
+    assert spark.table("many").where("late").count() == 0
+    assert sorted(map(repr, spark.table("many").drop("late").collect())) == sorted(map(repr, batch.collect()))
+    state = spark.read.format("statestore").option("path", place).option("stateVarName", "run").load()
+    assert state.select("key").distinct().count() == 7
+    assert {r[0]["run_id"] for r in state.select("user_map_key").collect()} == {r["run_id"] for part in batches for r in part} - ended
+
+
+def test_stream_keeps_the_place_of_an_end(spark, tmp_path):
+    """With a time to live, rows that come after their run's end are known as late, others of the bucket are not."""
+    from provlake.streaming.runs import decide_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "run_id string, seq long, kind string, agent_id string, session_id string, source string, tool string, args_json string, labels_json string"
+    (tmp_path / "log").mkdir()
+    stream = spark.readStream.schema(schema).json(str(tmp_path / "log"))
+    q = decide_stream(stream, from_text(LOOP)).select("run_id", "seq", "run_tainted", "late").writeStream.format("memory").queryName("kept_ends").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        first, second, third = [("r", 1, "ingress"), ("r", 2, "run_end"), ("q", 1, "ingress"), ("p", 1, "call")], [("r", 2, "call"), ("r", 3, "call"), ("q", 1, "call"), ("q", 2, "call")], [("r", 3, "call"), ("r", 4, "call")]
+        for rows, n in ((first, 1), (second, 5), (third, 7)):
+            spark.createDataFrame([(run, seq, kind, "a", None, "web_search", "summary", "{}", None) for run, seq, kind in rows], schema).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
+            until = time.time() + 60  # such a stream has no last batch
+            while spark.table("kept_ends").count() < n and time.time() < until and q.exception() is None:
+                time.sleep(0.2)
+    finally:
+        q.stop()
+    got = {(r["run_id"], r["seq"], r["late"], r["run_tainted"]) for r in spark.table("kept_ends").collect()}
+    assert got == {("p", 1, False, False), ("r", 2, True, False), ("r", 3, False, False), ("q", 1, True, True), ("q", 2, False, True), ("r", 3, True, False), ("r", 4, False, False)}
